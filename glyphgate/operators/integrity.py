@@ -47,6 +47,7 @@ class Signature:
 
 
 # literals that every match of the signature contains
+_MODES = ("do anything now", "jailbreak mode", "developer mode enabled")
 _OVERRIDE = (("ignor",), ("instru",))
 _NEEDS = {
     "FAKE_SYSTEM_TOKEN": (("sys",),),
@@ -68,18 +69,19 @@ _NEEDS = {
     "ROLE_HIJACK_FR": (("maintenant", "agissez comme"),),
     "ROLE_HIJACK_DE": (("du bist jetzt", "agiere als"),),
     "ROLE_HIJACK_PT": (("você", "aja como"),),
-    "JAILBREAK_DAN": (("dan", "do anything now", "jailbreak mode", "developer mode enabled"),),
+    "JAILBREAK_DAN": (("dan", *_MODES),),
     "HYPOTHETICAL_FRAME": (("hypothetical", "restrictions", "imagine you"),),
     "CONFIDENCE_MANIPULATION": (("comply", "instru"),),
 }
 # a cheaper pattern that every match of the signature also satisfies
 _GATES = {
     "DELIMITER_INJECTION": r"[-=#*~_`<>|]{3}",
+    "JAILBREAK_DAN": r"(?i)dan(?![0-9a-z_])",
     # "://" or a dot inside a name
     "DATA_EXFILTRATION": r"[.:](?:(?<=:)//|(?<=\.)[a-zA-Z0-9-])",
 }
 # literals that stand in for the gate pattern
-_GATE_WORDS = {"DATA_EXFILTRATION": ("curl", "wget", "exfiltrate")}
+_GATE_WORDS = {"JAILBREAK_DAN": _MODES, "DATA_EXFILTRATION": ("curl", "wget", "exfiltrate")}
 
 
 def _fixed_signature(id: str, layer: str, pattern: str, fold: bool) -> Signature:
@@ -95,10 +97,6 @@ SIGNATURES: tuple[Signature, ...] = (
 )
 BY_ID = {s.id: s for s in SIGNATURES}
 
-# "some run of 16+ base64 characters" in one anchored, possessive pass
-_B64 = "[A-Za-z0-9+/]"
-_LONG_RUN = rf"\A(?:[^A-Za-z0-9+/]*+{_B64}{{1,15}}+(?!{_B64}))*+[^A-Za-z0-9+/]*+{_B64}{{16}}"
-
 
 def base64_payload(text: str) -> str:
     """SQL test: a base64 run decodes to printable text that holds an instruction keyword."""
@@ -109,8 +107,9 @@ def base64_payload(text: str) -> str:
         f" ELSE {decoded} RLIKE {sql_string(regex.java(fixed.BASE64_KEYWORD, True))}"
         f" AND NOT {decoded} RLIKE {sql_string(fixed.BASE64_CONTROL)} END"
     )
-    runs = f"regexp_extract_all({text}, {sql_string(fixed.BASE64_RUN)}, 0)"
-    return f"CASE WHEN {text} RLIKE {sql_string(_LONG_RUN)} THEN exists({runs}, run -> {hides_keyword}) END"
+    # a run holds no space, so only the long space-separated words can hold one
+    words = f"concat_ws(' ', filter(split({text}, ' '), w -> octet_length(w) >= 16))"
+    return f"exists(regexp_extract_all({words}, {sql_string(fixed.BASE64_RUN)}, 0), run -> {hides_keyword})"
 
 
 def _literals(sigs: Sequence[Signature]) -> list[str]:
