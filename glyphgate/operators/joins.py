@@ -11,7 +11,7 @@ SALTS = 32
 
 def estimated_bytes(df: DataFrame) -> int:
     """Size of a frame as the optimizer estimates it."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def lookup_join(facts: DataFrame, dim: DataFrame, on: str, how: str = "left",

@@ -13,7 +13,7 @@ very many entities does not stall its task.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -118,9 +118,12 @@ def _spans(pieces: str) -> str:
             " (x, s) -> named_struct('s', s, 'e', s + length(x.v), 'p', x.p, 'v', x.v))")
 
 
-def _with_pieces(df: DataFrame, text: str, types: Sequence[DataType], when: Column | None) -> DataFrame:
+def _with_pieces(df: DataFrame, text: str, types: Sequence[DataType], when: Column | None,
+                 checked: bool = True) -> DataFrame:
     """Stage column ``__pieces``: all matches ``v`` of all types ``p`` with the length ``g`` of the gap before."""
     keep = df.columns
+    if not checked:  # a digit tail may be implied by the check only
+        types = [replace(t, digit_tail=None) for t in types]
     body = name(text)
     if when is not None:
         df, body = df.select("*", F.when(when, F.col(body)).alias("__body")), "__body"
@@ -165,7 +168,7 @@ def candidates(df: DataFrame, text_col: str = "text", types: Sequence[DataType]
     """
     types = types or data_types()
     keep = df.columns
-    staged = once(_with_pieces(df, text_col, types, None), keep, __c=_candidates(types, checked))
+    staged = once(_with_pieces(df, text_col, types, None, checked), keep, __c=_candidates(types, checked))
     return staged.select(
         *map(name, keep),
         F.transform(F.coalesce("__c", F.expr(_EMPTY)), lambda x: F.struct(
