@@ -6,6 +6,8 @@ describes an input on both sides; what is compared is the operators' work on it.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -224,14 +226,16 @@ def paid_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_inputs(sql: str) -> str:
     """Oracle text with the derived inputs it names as common table expressions."""
-    names = [n for n in DERIVED if f" {n}" in sql]
+    def names_in(text: str, known) -> list[str]:
+        return [n for n in known if re.search(rf"(?:FROM|JOIN) {n}\b", text)]
+
     extra = {
         "free_keys": "SELECT email, sha256(raw_key) AS key_hash, requests_this_month, month_bucket FROM free_raw",
         "paid_keys": "SELECT user_id, tier, sha256(raw_key) AS key_hash, requests_this_month, revoked_at FROM paid_raw",
         "prices": "SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{n}')" for p, n in PRICES) + ") AS v(price_id, plan)",
     }
-    more = [n for n in extra if f" {n}" in sql]
-    names += [n for n in ("free_raw", "paid_raw") if f" {n}" in " ".join(extra[m] for m in more) and n not in names]
+    more = names_in(sql, extra)
+    names = names_in(" ".join([sql, *(extra[m] for m in more)]), DERIVED)
     parts = [f"{n} AS ({_select(n)})" for n in names] + [f"{n} AS ({extra[n]})" for n in more]
     if not parts:
         return sql
