@@ -57,8 +57,8 @@ def is_email_shape(c: Column) -> Column:
 
 def lookup(mapping: Mapping[str, object], key: Column) -> Column:
     """Value of a fixed mapping, null when the key is unknown."""
-    literal = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
-    return F.try_element_at(literal, key)
+    entries = ", ".join(sql_string(x) if isinstance(x, str) else str(x) for pair in mapping.items() for x in pair)
+    return F.try_element_at(F.expr(f"map({entries})"), key)
 
 
 def mask(v: Column) -> Column:
@@ -69,6 +69,12 @@ def mask(v: Column) -> Column:
     return F.when(n <= 4, short).otherwise(long)
 
 
+def mask_sql(v: str) -> str:
+    """:func:`mask` as SQL over a lambda variable."""
+    return (f"if(length({v}) <= 4, concat(left({v}, 1), repeat('*', greatest(length({v}) - 1, 1))),"
+            f" concat(left({v}, 2), repeat('*', least(length({v}) - 4, 8)), right({v}, 2)))")
+
+
 def sql_string(value: str) -> str:
     """A SQL string literal."""
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"

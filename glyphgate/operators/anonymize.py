@@ -71,5 +71,5 @@ def substitute(df: DataFrame, id_col: str, text_col: str, entities: DataFrame, s
     listed = entities.groupBy(id_col).agg(F.array_sort(F.collect_list(
         F.struct(F.col("start").alias("s"), F.col("end").alias("e"), F.col(shown).alias("v")))).alias("__found"))
     joined = df.select(id_col, text_col).join(listed, id_col, "left")
-    replaced = personal_data.replace_spans(F.col(text_col), F.col("__found"), lambda x: x["v"])
+    replaced = personal_data.replace_spans(text_col, "__found", "x.v")
     return joined.select(id_col, F.coalesce(replaced, F.col(text_col)).alias(text_col))

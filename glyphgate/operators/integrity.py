@@ -199,14 +199,14 @@ def signature_stats(df: DataFrame, text_col: str = "text",
             .groupBy("signature", "with_signature").agg(F.count("*").alias("n")))
 
 
-def confidence(hits: Column, structural: Sequence[str] | None = None) -> Column:
-    """Score of a hit list; null without hits."""
+def confidence(hits: str, structural: Sequence[str] | None = None) -> Column:
+    """Score of a hit-list column; null without hits."""
     ids = structural if structural is not None else [s.id for s in SIGNATURES if s.layer == "structural"]
-    n = F.size(hits)
+    n = f"size({name(hits)})"
+    bonus = f"arrays_overlap({name(hits)}, array({', '.join(map(sql_string, ids))}))" if ids else "false"
     score = (
-        F.lit(fixed.CONFIDENCE_BASE)
-        + F.least(n * fixed.CONFIDENCE_PER_HIT, F.lit(fixed.CONFIDENCE_HIT_CAP))
-        + F.when(F.arrays_overlap(hits, F.array(*[F.lit(i) for i in ids])), fixed.CONFIDENCE_STRUCTURAL).otherwise(0.0)
-        + F.when(n >= fixed.CONFIDENCE_MULTIPLE_FROM, fixed.CONFIDENCE_MULTIPLE).otherwise(0.0)
+        f"{fixed.CONFIDENCE_BASE}D + least({n} * {fixed.CONFIDENCE_PER_HIT}D, {fixed.CONFIDENCE_HIT_CAP}D)"
+        f" + if({bonus}, {fixed.CONFIDENCE_STRUCTURAL}D, 0D)"
+        f" + if({n} >= {fixed.CONFIDENCE_MULTIPLE_FROM}, {fixed.CONFIDENCE_MULTIPLE}D, 0D)"
     )
-    return F.when(n > 0, F.least(F.round(score, 4), F.lit(fixed.CONFIDENCE_MAX)))
+    return F.expr(f"CASE WHEN {n} > 0 THEN least(round({score}, 4), {fixed.CONFIDENCE_MAX}D) END")

@@ -169,11 +169,10 @@ def candidates(df: DataFrame, text_col: str = "text", types: Sequence[DataType]
     types = types or data_types()
     keep = df.columns
     staged = once(_with_pieces(df, text_col, types, None, checked), keep, __c=_candidates(types, checked))
-    return staged.select(
+    return staged.selectExpr(
         *map(name, keep),
-        F.transform(F.coalesce("__c", F.expr(_EMPTY)), lambda x: F.struct(
-            _type_of(x["p"], types).alias("type"), x["p"].alias("priority"), x["v"].alias("value"),
-            x["s"].alias("start"), x["e"].alias("end"))).alias(out_col))
+        f"transform(coalesce(__c, {_EMPTY}), x -> named_struct('type', {_type_of('x.p', types)}, 'priority', x.p,"
+        f" 'value', x.v, 'start', x.s, 'end', x.e)) AS {name(out_col)}")
 
 
 # --- resolution ----------------------------------------------------------------
@@ -217,16 +216,17 @@ def find(df: DataFrame, text_col: str = "text", types: Sequence[DataType] | None
     return once(ordered, keep, **{out_col: f"CASE WHEN size(__c) > 0 THEN {_resolve('__c')} ELSE {_EMPTY} END"})
 
 
-def _type_of(p: Column, types: Sequence[DataType]) -> Column:
-    return F.element_at(F.array(*[F.lit(t.type) for t in types]), p)
+def _type_of(p: str, types: Sequence[DataType]) -> str:
+    return f"element_at(array({', '.join(sql_string(t.type) for t in types)}), {p})"
 
 
 _ASTRAL = r"[\x{10000}-\x{10FFFF}]"
+_NOT_ASTRAL = r"[^\x{10000}-\x{10FFFF}]"
 
 
-def entities(found: Column, text: Column, types: Sequence[DataType] | None = None,
+def entities(found: str, text: str, types: Sequence[DataType] | None = None,
              offsets: str = "utf16", masked: bool = True) -> Column:
-    """Public entity array ``type, value, start, end``.
+    """Public entity array ``type, value, start, end`` from the span column ``found`` of ``text``.
 
     ``offsets='utf16'`` counts UTF-16 units: characters outside the BMP before a
     position count twice; only texts that hold any pay for it.
@@ -234,38 +234,35 @@ def entities(found: Column, text: Column, types: Sequence[DataType] | None = Non
     if offsets not in ("utf16", "codepoint"):
         raise ValueError(f"offsets must be 'utf16' or 'codepoint', not {offsets!r}")
     types = types or data_types()
+    spans, body = name(found), name(text)
 
-    def build(at: Callable[[Column], Column]) -> Column:
-        return F.transform(found, lambda x: F.struct(
-            _type_of(x["p"], types).alias("type"),
-            (columns.mask(x["v"]) if masked else x["v"]).alias("value"),
-            at(x["s"]).alias("start"), at(x["e"]).alias("end")))
+    def build(at: Callable[[str], str]) -> str:
+        return (f"transform({spans}, x -> named_struct('type', {_type_of('x.p', types)},"
+                f" 'value', {columns.mask_sql('x.v') if masked else 'x.v'}, 'start', {at('x.s')}, 'end', {at('x.e')}))")
 
     plain = build(lambda p: p)
     if offsets == "codepoint":
-        return plain
-    wide = build(lambda p: p + F.length(F.regexp_replace(F.substr(text, F.lit(1), p), r"[^\x{10000}-\x{10FFFF}]", "")))
-    return F.when((F.size(found) > 0) & text.rlike(_ASTRAL), wide).otherwise(plain)
+        return F.expr(plain)
+    wide = build(lambda p: f"{p} + length(regexp_replace(substring({body}, 1, {p}), {sql_string(_NOT_ASTRAL)}, ''))")
+    return F.expr(f"CASE WHEN size({spans}) > 0 AND {body} RLIKE {sql_string(_ASTRAL)} THEN {wide} ELSE {plain} END")
 
 
-def replace_spans(text: Column, found: Column, shown: Callable[[Column], Column]) -> Column:
-    """The text with each span replaced by ``shown(span)``; null without spans."""
-    def cut(i: Column) -> Column:
-        return F.when(i == 0, F.lit(0)).otherwise(F.get(found, i - 1)["e"])
+def replace_spans(text: str, found: str, shown: str) -> Column:
+    """The text with each span replaced by ``shown`` (SQL over the span ``x``); null without spans."""
+    spans, body = name(found), name(text)
+    cut = f"if(i = 0, 0, {spans}[i - 1].e)"
+    pieces = f"transform({spans}, (x, i) -> concat(substring({body}, {cut} + 1, x.s - {cut}), {shown}))"
+    rest = f"substring({body}, element_at({spans}, -1).e + 1)"
+    return F.expr(f"CASE WHEN size({spans}) > 0 THEN concat(array_join({pieces}, ''), {rest}) END")
 
-    pieces = F.transform(found, lambda x, i: F.concat(F.substr(text, cut(i) + 1, x["s"] - cut(i)), shown(x)))
-    rest = F.substr(text, F.element_at(found, -1)["e"] + 1)
-    return F.when(F.size(found) > 0, F.concat(F.array_join(pieces, ""), rest))
 
-
-def redacted(text: Column, found: Column, types: Sequence[DataType] | None = None,
-             mode: str = "redact") -> Column:
+def redacted(text: str, found: str, types: Sequence[DataType] | None = None, mode: str = "redact") -> Column:
     """Redact in place: ``redact`` writes ``[TYPE]``, ``mask`` the masked value."""
     types = types or data_types()
     if mode == "redact":
-        return replace_spans(text, found, lambda x: F.concat(F.lit("["), _type_of(x["p"], types), F.lit("]")))
+        return replace_spans(text, found, f"concat('[', {_type_of('x.p', types)}, ']')")
     if mode == "mask":
-        return replace_spans(text, found, lambda x: columns.mask(x["v"]))
+        return replace_spans(text, found, columns.mask_sql("x.v"))
     raise ValueError(f"unknown redaction mode {mode!r}")
 
 
@@ -278,7 +275,7 @@ def personal_data(df: DataFrame, id_col: str, text_col: str = "text",
     types = types or data_types()
     found = find(df.select(id_col, text_col), text_col, types)
     some = found.where(F.size("__found") > 0)
-    listed = some.select(id_col, entities(F.col("__found"), F.col(f"`{text_col}`"), types, offsets, masked).alias("__e"))
+    listed = some.select(id_col, entities("__found", text_col, types, offsets, masked).alias("__e"))
     return listed.select(id_col, F.posexplode("__e").alias("__pos", "__x")).select(
         id_col, (F.col("__pos") + 1).alias("ordinal"), "__x.type", "__x.value", "__x.start", "__x.end")
 
@@ -289,7 +286,7 @@ def redact(df: DataFrame, text_col: str = "text", types: Sequence[DataType] | No
     types = types or data_types()
     keep = [F.col(f"`{c}`") for c in df.columns]
     found = find(df, text_col, types)
-    return found.select(*keep, redacted(F.col(f"`{text_col}`"), F.col("__found"), types, mode).alias(out_col))
+    return found.select(*keep, redacted(text_col, "__found", types, mode).alias(out_col))
 
 
 def profile(df: DataFrame, id_col: str, text_col: str, by: Sequence[str],
@@ -302,15 +299,10 @@ def profile(df: DataFrame, id_col: str, text_col: str, by: Sequence[str],
     types = types or data_types()
     found = find(df.select(id_col, *by, text_col), text_col, types).where(F.size("__found") > 0)
     names = list(dict.fromkeys(t.type for t in types))
-    kinds = F.transform("__found", lambda x: _type_of(x["p"], types))
-
-    def count_of(type_: str) -> Column:
-        return F.size(F.filter("__kinds", lambda k: k == type_))
-
-    per_type = F.filter(F.array(*[F.struct(F.lit(n).alias("type"), count_of(n).alias("k")) for n in names]),
-                        lambda s: s["k"] > 0)
-    return (found.select(*by, kinds.alias("__kinds"))
-            .select(*by, F.inline(per_type))
+    counts = ", ".join(f"named_struct('type', {sql_string(n)}, 'k', size(filter(__kinds, k -> k = {sql_string(n)})))"
+                       for n in names)
+    return (found.selectExpr(*map(name, by), f"transform(__found, x -> {_type_of('x.p', types)}) AS __kinds")
+            .selectExpr(*map(name, by), f"inline(filter(array({counts}), c -> c.k > 0))")
             .groupBy(*by, "type")
             .agg(F.sum("k").alias("entities"), F.count("*").alias("texts")))
 

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from glyphgate.sources.texts import spread
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations")
 AS_OF_YEAR = 2026
@@ -184,6 +186,10 @@ DERIVED = {
 }
 
 
+# texts are long and few: these inputs are spread by key before anything reads the text
+TEXT_KEYS = {"texts": "doc_id", "page_texts": "page_id", "turns": "turn"}
+
+
 def _select(name: str) -> str:
     columns, source, where = DERIVED[name]
     listed = ", ".join(f"{sql} AS {alias}" for alias, sql in columns.items())
@@ -202,7 +208,8 @@ def derive(df: DataFrame, name: str) -> DataFrame:
 
 
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return derive(table(spark, sf_dir, DERIVED[name][1]), name)
+    source = table(spark, sf_dir, DERIVED[name][1])
+    return derive(spread(source, TEXT_KEYS[name]) if name in TEXT_KEYS else source, name)
 
 
 def billing_events(spark: SparkSession, sf_dir: str) -> DataFrame:

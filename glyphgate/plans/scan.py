@@ -61,13 +61,13 @@ def scan(df: DataFrame, id_col: str, text_col: str = "text", *,
         base = base.withColumn("signatures", F.array().cast("array<string>"))
     if "privacy" in wanted:
         base = personal_data.find(base, text_col, types, _selected(row_modules, "privacy"))
-        listed = personal_data.entities(F.col("__found"), text, types, offsets)
-        clean = personal_data.redacted(text, F.col("__found"), types, mode)
+        listed = personal_data.entities("__found", text_col, types, offsets)
+        clean = personal_data.redacted(text_col, "__found", types, mode)
     else:
         listed, clean = F.array().cast(ENTITY_ARRAY), F.lit(None).cast("string")
     staged = base.select(
         *columns, "signatures", listed.alias("entities"), clean.alias("anonymized_input"),
-        integrity.confidence(F.col("signatures"), [s.id for s in sigs if s.layer == "structural"]).alias("confidence"))
+        integrity.confidence("signatures", [s.id for s in sigs if s.layer == "structural"]).alias("confidence"))
     judged = staged.withColumn(
         "verdict", F.when(text.isNotNull(), report.verdict(F.col("signatures"), F.col("entities"))))
     return judged.select(
@@ -91,7 +91,7 @@ def scan_hybrid(df: DataFrame, id_col: str, text_col: str = "text", **options) -
     blocked = F.size("__first") > 0
     structural = [s.id for s in sigs if s.layer == "structural"]
     judged = (done.withColumn("signatures", F.col("__first"))
-              .withColumn("confidence", integrity.confidence(F.col("__first"), structural))
+              .withColumn("confidence", integrity.confidence("__first", structural))
               .withColumn("verdict", F.when(blocked, fixed.VERDICTS[0]).otherwise(F.col("verdict"))))
     return judged.withColumn(
         "sha256", report.digest(F.col("verdict"), F.col("signatures"), F.col("entities"))).drop("__first")

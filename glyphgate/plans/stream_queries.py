@@ -18,7 +18,8 @@ def stream(spark, sf_dir: str, name: str) -> DataFrame:
     """A derived input read as a stream."""
     source = inputs.DERIVED[name][1]
     schema = table(spark, sf_dir, source).schema
-    return derive(jobs.read_parquet_stream(spark, sf_dir, schema, f"{source}.parquet"), name)
+    key = inputs.TEXT_KEYS.get(name)
+    return derive(jobs.read_parquet_stream(spark, sf_dir, schema, f"{source}.parquet", spread_by=key), name)
 
 
 def finish(streaming_query) -> None:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from glyphgate.operators.billing import EVENT_SCHEMA
+from glyphgate.operators.joins import estimated_bytes
 
 FORMATS = ("parquet", "json", "csv", "orc", "text")
 
@@ -54,6 +55,23 @@ def read_billing_events(spark: SparkSession, path: str, stream: bool = False) ->
     return (spark.readStream if stream else spark.read).schema(EVENT_SCHEMA).json(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread a small table of long texts over all cores.
+
+    A table of less than one input split per core, say a single file with one row group,
+    would be scanned by a few tasks.  Its rows are then hashed by key, at most a split per
+    core of shuffled data.  Larger tables and streams keep their input splits, unshuffled.
+    """
+    if df.isStreaming:
+        return df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    if estimated_bytes(df) >= cores * split:
+        return df
+    return df.repartition(4 * cores, key)
+
+
 DIMENSIONS = {
     "free_api_keys": ("key_hash", "email", "requests_this_month", "month_bucket"),
     "api_keys": ("key_hash", "user_id", "tier", "requests_this_month", "revoked_at"),

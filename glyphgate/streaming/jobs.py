@@ -19,9 +19,11 @@ from glyphgate.sources import sinks
 
 
 def read_parquet_stream(spark: SparkSession, folder: str, schema: StructType | str, pattern: str = "*.parquet",
-                        files_per_batch: int = 1000) -> DataFrame:
-    return (spark.readStream.schema(schema).option("pathGlobFilter", pattern)
-            .option("maxFilesPerTrigger", files_per_batch).parquet(folder))
+                        files_per_batch: int = 1000, spread_by: str | None = None) -> DataFrame:
+    """Parquet files as a stream; ``spread_by`` hashes each batch over the cores, for few and large row groups."""
+    df = (spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+          .option("maxFilesPerTrigger", files_per_batch).parquet(folder))
+    return df.repartition(4 * spark.sparkContext.defaultParallelism, spread_by) if spread_by else df
 
 
 def _start(writer, checkpoint: str, once: bool) -> StreamingQuery:
