@@ -199,14 +199,26 @@ def signature_stats(df: DataFrame, text_col: str = "text",
             .groupBy("signature", "with_signature").agg(F.count("*").alias("n")))
 
 
-def confidence(hits: str, structural: Sequence[str] | None = None) -> Column:
-    """Score of a hit-list column; null without hits."""
-    ids = structural if structural is not None else [s.id for s in SIGNATURES if s.layer == "structural"]
-    n = f"size({name(hits)})"
-    bonus = f"arrays_overlap({name(hits)}, array({', '.join(map(sql_string, ids))}))" if ids else "false"
+def signatures_expression(text: str, sigs: Sequence[Signature] = SIGNATURES) -> str:
+    """The hit list as one SQL expression, for callers that have no DataFrame stages."""
+    has = {w: f"contains(lower({text}), {sql_string(w)})" for w in _literals(sigs)}
+    listed = ", ".join(f"if(coalesce({_flag(s, text, has)}, false), {sql_string(s.id)}, NULL)" for s in sigs)
+    return f"array_compact(array({listed}))"
+
+
+def confidence_sql(hits: str, structural_ids: str) -> str:
+    """Score of a hit list; ``structural_ids`` lists quoted ids."""
+    n = f"size({hits})"
+    bonus = f"arrays_overlap({hits}, array({structural_ids}))" if structural_ids else "false"
     score = (
         f"{fixed.CONFIDENCE_BASE}D + least({n} * {fixed.CONFIDENCE_PER_HIT}D, {fixed.CONFIDENCE_HIT_CAP}D)"
         f" + if({bonus}, {fixed.CONFIDENCE_STRUCTURAL}D, 0D)"
         f" + if({n} >= {fixed.CONFIDENCE_MULTIPLE_FROM}, {fixed.CONFIDENCE_MULTIPLE}D, 0D)"
     )
-    return F.expr(f"CASE WHEN {n} > 0 THEN least(round({score}, 4), {fixed.CONFIDENCE_MAX}D) END")
+    return f"CASE WHEN {n} > 0 THEN least(round({score}, 4), {fixed.CONFIDENCE_MAX}D) END"
+
+
+def confidence(hits: str, structural: Sequence[str] | None = None) -> Column:
+    """Score of a hit-list column; null without hits."""
+    ids = structural if structural is not None else [s.id for s in SIGNATURES if s.layer == "structural"]
+    return F.expr(confidence_sql(name(hits), ", ".join(map(sql_string, ids))))

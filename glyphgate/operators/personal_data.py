@@ -23,6 +23,7 @@ from glyphgate.functions.columns import name, once, sql_string
 _SPAN = "struct<s:int,e:int,p:int,v:string>"
 _EMPTY = f"cast(array() AS array<{_SPAN}>)"
 _CHUNK = 256
+_RUN = 64
 
 
 @dataclass(frozen=True)
@@ -118,36 +119,45 @@ def _spans(pieces: str) -> str:
             " (x, s) -> named_struct('s', s, 'e', s + length(x.v), 'p', x.p, 'v', x.v))")
 
 
+def _numeric_gate(body: str, types: Sequence[DataType]) -> str:
+    tails = [t.digit_tail for t in types if t.digit_tail]
+    return f"{body} RLIKE {sql_string(rf'\d(?:{"|".join(tails)})')}" if tails else "false"
+
+
+def _matches(t: DataType, body: str, numeric: str) -> str:
+    """All matches of a type, null where its gate says there are none."""
+    found = f"regexp_extract_all({body}, {sql_string(t.pattern)}, 0)"
+    if t.digit_tail:
+        return f"CASE WHEN {numeric} AND {body} RLIKE {sql_string(rf'\d{t.digit_tail}')} THEN {found} END"
+    return f"CASE WHEN {body} RLIKE {sql_string(t.gate)} THEN {found} END" if t.gate else found
+
+
+def _pieces(types: Sequence[DataType], body: str, ref: Callable[[int], str]) -> str:
+    """Matches ``v`` of all types ``p`` with the length ``g`` of the gap before; ``ref(i)`` names the matches of type i."""
+    def of_type(i: int, t: DataType) -> str:
+        gaps = f"split({body}, {sql_string(t.pattern)}, -1)"
+        return (f"CASE WHEN size({ref(i)}) > 0 THEN zip_with({ref(i)}, {gaps},"
+                f" (v, g) -> named_struct('p', {i + 1}, 'v', v, 'g', length(g))) END")
+
+    any_match = " OR ".join(f"coalesce(size({ref(i)}), 0) > 0" for i in range(len(types)))
+    listed = ", ".join(of_type(i, t) for i, t in enumerate(types))
+    # the gap after the last match has no match to go with
+    return f"CASE WHEN {any_match} THEN filter(flatten(array_compact(array({listed}))), x -> x.v IS NOT NULL) END"
+
+
 def _with_pieces(df: DataFrame, text: str, types: Sequence[DataType], when: Column | None,
                  checked: bool = True) -> DataFrame:
-    """Stage column ``__pieces``: all matches ``v`` of all types ``p`` with the length ``g`` of the gap before."""
+    """Stage column ``__pieces``."""
     keep = df.columns
     if not checked:  # a digit tail may be implied by the check only
         types = [replace(t, digit_tail=None) for t in types]
     body = name(text)
     if when is not None:
         df, body = df.select("*", F.when(when, F.col(body)).alias("__body")), "__body"
-    tails = [t.digit_tail for t in types if t.digit_tail]
-    numeric = f"{body} RLIKE {sql_string(rf'\d(?:{"|".join(tails)})')}" if tails else "false"
-    df = df.selectExpr("*", f"{numeric} AS __numeric")
-
-    def matches(t: DataType) -> str:
-        found = f"regexp_extract_all({body}, {sql_string(t.pattern)}, 0)"
-        if t.digit_tail:
-            return f"CASE WHEN __numeric AND {body} RLIKE {sql_string(rf'\d{t.digit_tail}')} THEN {found} END"
-        return f"CASE WHEN {body} RLIKE {sql_string(t.gate)} THEN {found} END" if t.gate else found
-
-    def pieces(i: int, t: DataType) -> str:
-        gaps = f"split({body}, {sql_string(t.pattern)}, -1)"
-        return (f"CASE WHEN size(__m_{i}) > 0 THEN zip_with(__m_{i}, {gaps},"
-                f" (v, g) -> named_struct('p', {i + 1}, 'v', v, 'g', length(g))) END")
-
-    staged = once(df, [*keep, *({"__body"} & {body})], **{f"__m_{i}": matches(t) for i, t in enumerate(types)})
-    any_match = " OR ".join(f"coalesce(size(__m_{i}), 0) > 0" for i in range(len(types)))
-    listed = ", ".join(pieces(i, t) for i, t in enumerate(types))
-    # the gap after the last match has no match to go with
-    return once(staged, keep, __pieces=(
-        f"CASE WHEN {any_match} THEN filter(flatten(array_compact(array({listed}))), x -> x.v IS NOT NULL) END"))
+    df = df.selectExpr("*", f"{_numeric_gate(body, types)} AS __numeric")
+    staged = once(df, [*keep, *({"__body"} & {body})],
+                  **{f"__m_{i}": _matches(t, body, "__numeric") for i, t in enumerate(types)})
+    return once(staged, keep, __pieces=_pieces(types, body, lambda i: f"__m_{i}"))
 
 
 def _checked(spans: str, types: Sequence[DataType]) -> str:
@@ -155,9 +165,9 @@ def _checked(spans: str, types: Sequence[DataType]) -> str:
     return f"filter({spans}, x -> CASE x.p {rules} ELSE true END)" if rules else spans
 
 
-def _candidates(types: Sequence[DataType], checked: bool) -> str:
-    spans = _spans("__pieces")
-    return f"CASE WHEN size(__pieces) > 0 THEN {_checked(spans, types) if checked else spans} END"
+def _candidates(types: Sequence[DataType], checked: bool, pieces: str = "__pieces") -> str:
+    spans = _spans(pieces)
+    return f"CASE WHEN size({pieces}) > 0 THEN {_checked(spans, types) if checked else spans} END"
 
 
 def candidates(df: DataFrame, text_col: str = "text", types: Sequence[DataType] | None = None,
@@ -243,17 +253,40 @@ def entities(found: str, text: str, types: Sequence[DataType] | None = None,
     plain = build(lambda p: p)
     if offsets == "codepoint":
         return F.expr(plain)
-    wide = build(lambda p: f"{p} + length(regexp_replace(substring({body}, 1, {p}), {sql_string(_NOT_ASTRAL)}, ''))")
+    def count(part: str) -> str:
+        return f"length(regexp_replace({part}, {sql_string(_NOT_ASTRAL)}, ''))"
+
+    def at(p: str) -> str:
+        return f"{p} + w + {count(f'substring(c.t, 1, {p} - c.b)')}"
+
+    shifted = build(at).replace(f"transform({spans},", "transform(c.run,", 1)
+    wide = f"flatten({_by_chunk(spans, body, f'transform(array({count(f"substring({body}, 1, c.b)")}), w -> {shifted})[0]')})"
     return F.expr(f"CASE WHEN size({spans}) > 0 AND {body} RLIKE {sql_string(_ASTRAL)} THEN {wide} ELSE {plain} END")
 
 
+def _by_chunk(spans: str, body: str, inner: str) -> str:
+    """``inner`` per run of spans, with ``c``: the spans ``run``, the text ``t`` around them and its offset ``b``.
+
+    Positions in a string are found by counting from its start, so a text with very many
+    spans is cut into pieces first.
+    """
+    first = f"k * {_RUN}"
+    begin = f"if(k = 0, 0, {spans}[{first} - 1].e)"
+    end = f"{spans}[least(size({spans}), {first} + {_RUN}) - 1].e"
+    chunk = (f"named_struct('b', {begin}, 't', substring({body}, {begin} + 1, {end} - {begin}),"
+             f" 'run', slice({spans}, {first} + 1, {_RUN}))")
+    return (f"transform(sequence(0, int((size({spans}) - 1) div {_RUN})),"
+            f" k -> transform(array({chunk}), c -> {inner})[0])")
+
+
 def replace_spans(text: str, found: str, shown: str) -> Column:
     """The text with each span replaced by ``shown`` (SQL over the span ``x``); null without spans."""
     spans, body = name(found), name(text)
-    cut = f"if(i = 0, 0, {spans}[i - 1].e)"
-    pieces = f"transform({spans}, (x, i) -> concat(substring({body}, {cut} + 1, x.s - {cut}), {shown}))"
+    cut = "if(i = 0, c.b, c.run[i - 1].e)"
+    pieces = f"transform(c.run, (x, i) -> concat(substring(c.t, {cut} - c.b + 1, x.s - {cut}), {shown}))"
+    whole = _by_chunk(spans, body, f"array_join({pieces}, '')")
     rest = f"substring({body}, element_at({spans}, -1).e + 1)"
-    return F.expr(f"CASE WHEN size({spans}) > 0 THEN concat(array_join({pieces}, ''), {rest}) END")
+    return F.expr(f"CASE WHEN size({spans}) > 0 THEN concat(array_join({whole}, ''), {rest}) END")
 
 
 def redacted(text: str, found: str, types: Sequence[DataType] | None = None, mode: str = "redact") -> Column:
@@ -266,6 +299,25 @@ def redacted(text: str, found: str, types: Sequence[DataType] | None = None, mod
     raise ValueError(f"unknown redaction mode {mode!r}")
 
 
+def entities_expression(text: str, types: Sequence[DataType] | None = None) -> str:
+    """Masked entities of a text as one SQL expression, for callers that have no DataFrame stages.
+
+    Intermediate values are bound by one-element ``transform`` calls.  Offsets are code points.
+    """
+    types = types or data_types()
+
+    def let(var: str, value: str, body: str) -> str:
+        return f"transform(array({value}), {var} -> {body})[0]"
+
+    matched = ", ".join(f"'__m_{i}', {_matches(t, text, 'true')}" for i, t in enumerate(types))
+    public = (f"transform(found, x -> named_struct('type', {_type_of('x.p', types)}, 'value', {columns.mask_sql('x.v')},"
+              " 'start', x.s, 'end', x.e))")
+    chosen = f"CASE WHEN size(cands) > 0 THEN {_resolve('cands')} ELSE {_EMPTY} END"
+    return let("hit", f"named_struct({matched})", let(
+        "parts", _pieces(types, text, lambda i: f"hit.__m_{i}"), let(
+            "cands", f"array_sort({_candidates(types, True, 'parts')})", let("found", chosen, public))))
+
+
 # --- tables --------------------------------------------------------------------
 
 def personal_data(df: DataFrame, id_col: str, text_col: str = "text",
