@@ -23,7 +23,8 @@ def secret_hash(spark: SparkSession, secret: str | bytes) -> Keyed:
     def hashed(values: pd.Series) -> pd.Series:
         return values.map(lambda v: hmac.new(key.value, v.encode(), hashlib.sha256).hexdigest(), na_action="ignore")
 
-    return hashed
+    # called nondeterministic so that filters on the result are not rewritten into second calls
+    return hashed.asNondeterministic()
 
 
 def prefix_hash(key: str) -> Keyed:

@@ -73,7 +73,8 @@ def sign(df: DataFrame, secret: str | bytes | None, out_col: str = "report_hash"
 
         return payload.map(one, na_action="ignore")
 
-    return df.withColumn(out_col, signed(_payload()))
+    # called nondeterministic so that filters on the result are not rewritten into second calls
+    return df.withColumn(out_col, signed.asNondeterministic()(_payload()))
 
 
 def verify(df: DataFrame, secret: str | bytes, hash_col: str = "report_hash") -> DataFrame:
