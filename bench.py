@@ -15,7 +15,7 @@ HEADLINE = (
     "pii_pseudo", "flt_guard", "flt_guard_ctx", "adm_outcome", "win_admit", "win_rate", "win_rate_hot",
     "win_latest_sub", "agg_usage_key", "agg_quota", "agg_pct", "agg_metrics", "snk_audit", "str_scan",
 )
-RUNS = 2
+RUNS = 3
 
 
 def session(cpus: str) -> SparkSession:

@@ -49,18 +49,26 @@ def token_table(df: DataFrame, id_col: str, text_col: str,
 
 
 def pseudonyms(df: DataFrame, id_col: str, text_col: str,
-               types: Sequence[personal_data.DataType] | None = None) -> DataFrame:
+               types: Sequence[personal_data.DataType] | None = None, folder: str | None = None) -> DataFrame:
     """Entity table with a ``pseudonym`` per value: ``TYPE_n``, the same for equal values of the whole table.
 
-    A value that fills a large share of all entities is spread by the lookup join.
+    Values are told apart by their SHA-256.  Entities are read several times (to number the
+    values, and to name them), so with ``folder`` they are stored there once, without raw
+    values, and the texts are scanned once.  A value that fills a large share of all entities
+    is spread by the lookup join.
     """
-    rows = personal_data.personal_data(df, id_col, text_col, types, masked=False).withColumn(
-        "__value", F.concat_ws(":", "type", "value"))
-    numbers = running.dense_numbers(rows, "type", "value", "__n").select(
-        F.concat_ws(":", "type", "value").alias("__value"), "__n")
-    numbered = joins.lookup_join(rows, numbers, "__value")
+    found = personal_data.personal_data(df, id_col, text_col, types, masked=False)
+    rows = (found.withColumn("__hash", F.sha2("value", 256))
+            .withColumn("value", columns.mask(F.col("value"))))
+    if folder:
+        rows.write.mode("errorifexists").parquet(folder)
+        rows = df.sparkSession.read.parquet(folder)
+    rows = rows.withColumn("__key", F.concat_ws(":", "type", "__hash"))
+    numbers = running.dense_numbers(rows, "type", "__hash", "__n").select(
+        F.concat_ws(":", "type", "__hash").alias("__key"), "__n")
+    numbered = joins.lookup_join(rows, numbers, "__key")
     return numbered.select(
-        id_col, "ordinal", "type", columns.mask(F.col("value")).alias("value"), "start", "end",
+        id_col, "ordinal", "type", "value", "start", "end",
         F.concat_ws("_", "type", F.col("__n").cast("string")).alias("pseudonym"))
 
 

@@ -26,17 +26,16 @@ def count_before(df: DataFrame, keys: Sequence[str], ts: str, tie: str, flag: Co
             .drop("__slice", "__flag", "__offset"))
 
 
-def dense_numbers(values: DataFrame, group: str, value: str, out_col: str) -> DataFrame:
-    """Number the distinct values of each group 1, 2, ... in the order of their SHA-256.
+def dense_numbers(values: DataFrame, group: str, hashed: str, out_col: str) -> DataFrame:
+    """Number the distinct hashes of each group 1, 2, ... in their order.
 
-    Hash order makes equal-sized buckets from the first three hex digits, so numbering is
-    an offset per bucket plus a count inside the bucket; no task sorts a whole group.
+    The first three hex digits make equal-sized buckets, so numbering is an offset per
+    bucket plus a count inside the bucket; no task sorts a whole group.
     """
-    keyed = (values.select(group, value).distinct()
-             .withColumn("__hash", F.sha2(value, 256)).withColumn("__bucket", F.left("__hash", F.lit(3))))
+    keyed = values.select(group, hashed).distinct().withColumn("__bucket", F.left(hashed, F.lit(3)))
     sizes = keyed.groupBy(group, "__bucket").count()
     earlier = Window.partitionBy(group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(group, "__bucket", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("__offset"))
-    inside = Window.partitionBy(group, "__bucket").orderBy("__hash")
+    inside = Window.partitionBy(group, "__bucket").orderBy(hashed)
     return keyed.join(offsets, [group, "__bucket"]).select(
-        group, value, (F.col("__offset") + F.row_number().over(inside)).alias(out_col))
+        group, hashed, (F.col("__offset") + F.row_number().over(inside)).alias(out_col))

@@ -10,7 +10,7 @@ from glyphgate.plans import inputs, oracle
 from glyphgate.plans.inputs import AS_OF_YEAR, derived, table
 from glyphgate.plans.registry import query
 from glyphgate.plans.scan import scan, scan_dedup, scan_hybrid
-from glyphgate.sources import texts as sources
+from glyphgate.sources import sinks, texts as sources
 
 SECRET = "fixture-secret"
 
@@ -240,7 +240,7 @@ def pii_tokenize_keyed(spark, sf_dir):
        f"WITH {ENTS}, numbered AS (SELECT *, dense_rank() OVER (PARTITION BY type ORDER BY sha256(v)) AS k FROM ents)"
        " SELECT doc_id, s AS start, e AS \"end\", type || '_' || k AS pseudonym FROM numbered")
 def pii_pseudo(spark, sf_dir):
-    rows = anonymize.pseudonyms(texts(spark, sf_dir), "doc_id", "text", types())
+    rows = anonymize.pseudonyms(texts(spark, sf_dir), "doc_id", "text", types(), sinks.work_dir(spark))
     return rows.select("doc_id", F.col("start").cast("bigint").alias("start"),
                        F.col("end").cast("bigint").alias("end"), "pseudonym")
 
