@@ -44,7 +44,8 @@ def month_key(ts: Column) -> Column:
 
 
 def iso_millis(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    """ISO text in UTC, whatever the session's time zone."""
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
 def norm_email(c: Column) -> Column:
