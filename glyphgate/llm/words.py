@@ -12,7 +12,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 4 << 20
 _BLOCK = 1 << 16
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
