@@ -13,10 +13,9 @@ the hash of a segment's content is a key under which they meet.  Three refinemen
   Both order equal contents alike, so the most telling agreed one is left out by neither.
 * A set of a size near the top of its band also emits the keys of the next band.
 
-Sets that meet are verified on the n-grams themselves.  Equal sets are collapsed first.  A group
-that shares a key isn't expanded into pairs: pivots of the group are compared with its members, groups
-that verified links have made one component are done, and the number of pivots grows until
-all groups are done.
+Equal sets are collapsed first.  A group that shares a key isn't expanded into pairs: its sets join one
+*cluster*, and each cluster is compared in blocks of ``BLOCK`` sets against blocks, on the n-grams themselves, by
+counting common n-grams in a matrix product.  A task holds two blocks at most and returns links only.
 """
 
 from __future__ import annotations
@@ -35,7 +34,8 @@ from glyphgate.operators.joins import lookup_join
 NGRAM, PERCENT = 5, 80
 BAND_RATIO = 1.5
 COLLISION_WEIGHT, COLLISION_RATE = 1000.0, 0.3   # cost of sharing a key by chance, per n-gram of a segment
-PIVOTS = (1, 4, 16)                              # per group and round; the last one repeats, doubled each time
+BLOCK = 512                                      # sets of a cluster that a task compares with as many others
+COLUMNS = 4096                                   # n-grams that are counted at a time
 _U = np.uint64
 
 
@@ -227,30 +227,26 @@ def _prepare(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int,
 
 
 def _meet(packed: DataFrame, parts: int) -> DataFrame:
-    """``key``, ``node`` for each key that two different sets have."""
+    """Edges ``a``, ``b`` that connect all sets with a common key: from one of them to each other one."""
+    def star(key: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((node, key))
+        key, node = key[order], node[order]
+        first = np.ones(len(key), bool)
+        first[1:] = key[1:] != key[:-1]
+        centre = node[first][np.cumsum(first) - 1]
+        edges = np.unique(np.stack([centre, node], 1)[centre != node], axis=0).view(np.int64)
+        return pa.record_batch([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads = []
         for batch in batches:
             for blob, more in zip(batch.column("heads").to_pylist(), batch.column("met").to_pylist(), strict=True):
                 heads.append(_unpack(blob))
-                key, node = _unpack(more)
-                if len(key):
-                    yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(node.view(np.int64))], ["key", "node"])
-        if not heads:
-            return
-        key, node = (np.concatenate(x) for x in zip(*heads, strict=True))
-        order = np.lexsort((node, key))
-        key, node = key[order], node[order]
-        first = np.ones(len(key), bool)
-        first[1:] = key[1:] != key[:-1]
-        group = np.cumsum(first) - 1
-        edge = np.append(np.flatnonzero(first), len(key))
-        several = node[edge[:-1]] != node[edge[1:] - 1]
-        keep = several[group]
-        yield pa.record_batch([pa.array(key[keep].view(np.int64)), pa.array(node[keep].view(np.int64))], ["key", "node"])
+                yield star(*_unpack(more))
+        if heads:
+            yield star(*(np.concatenate(x) for x in zip(*heads, strict=True)))
 
-    return (packed.repartition(parts, "part").select("heads", "met")
-            .mapInArrow(run, "key long, node long"))
+    return packed.repartition(parts, "part").select("heads", "met").mapInArrow(run, "a long, b long").distinct()
 
 
 def _stored_sets(docs: DataFrame, text_col: str, n: int) -> DataFrame:
@@ -266,13 +262,62 @@ def _stored_sets(docs: DataFrame, text_col: str, n: int) -> DataFrame:
     return docs.select("node", F.col(text_col).alias("__text")).mapInArrow(run, "node long, items array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a``, ``b`` that reach the similarity."""
-    left = sets.select(F.col("node").alias("a"), F.col("items").alias("__a"))
-    right = sets.select(F.col("node").alias("b"), F.col("items").alias("__b"))
-    both = pairs.join(right, "b").join(left, "a")
-    common = F.size(F.array_intersect("__a", "__b"))
-    return both.where(100 * common >= percent * (F.size("__a") + F.size("__b") - common)).select("a", "b")
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Number of common elements of each left and each right set."""
+    items = np.concatenate([*left, *right])
+    owner = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    _, column, times = np.unique(items, return_inverse=True, return_counts=True)
+    several = times[column] > 1
+    owner, column = owner[several], np.unique(column[several], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        i, j = np.searchsorted(column, (start, start + COLUMNS))
+        held = np.zeros((len(left) + len(right), COLUMNS), np.float32)
+        held[owner[i:j], column[i:j] - start] = 1
+        out += held[:len(left)] @ held[len(left):].T
+    return np.rint(out).astype(np.int64)
+
+
+def _forest(pairs: np.ndarray, n: int) -> list[int]:
+    """Numbers of the pairs that connect what no earlier pair has connected."""
+    parent, kept = list(range(n)), []
+    def find(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+    for k, (a, b) in enumerate(pairs.tolist()):
+        a, b = find(a), find(b)
+        if a != b:
+            parent[a] = b
+            kept.append(k)
+    return kept
+
+
+def _linked(tasks: DataFrame, percent: int, spanning: bool) -> DataFrame:
+    """Links ``a`` < ``b`` within each pair of blocks; with ``spanning``, a forest that connects the same sets."""
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        node, block = table["node"].to_numpy(), table["block"].to_numpy()
+        low, high = table["low"][0].as_py(), table["high"][0].as_py()
+        items = table["items"].combine_chunks()
+        edge, flat = items.offsets.to_numpy(), items.values.to_numpy()
+        sets = [flat[edge[k]:edge[k + 1]] for k in range(len(node))]
+        i, j = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        common = _common([sets[k] for k in i], [sets[k] for k in j])
+        size = np.diff(edge)
+        hit = 100 * common >= percent * (size[i][:, None] + size[j][None, :] - common)
+        if low == high:
+            hit &= i[:, None] < j[None, :]
+        at = np.argwhere(hit)
+        pairs = np.stack([i[at[:, 0]], j[at[:, 1]]], 1) if len(at) else np.zeros((0, 2), np.int64)
+        if spanning:
+            pairs = pairs[_forest(pairs, len(node))]
+        a, b = node[pairs[:, 0]], node[pairs[:, 1]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return tasks.groupBy("cluster", "low", "high").applyInArrow(run, "a long, b long")
 
 
 class Join(NamedTuple):
@@ -285,8 +330,8 @@ def self_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
               percent: int = PERCENT, spanning: bool = True) -> Join:
     """Link documents whose sets of ``n``-word shingles have a Jaccard similarity of ``percent`` or more.
 
-    With ``spanning``, pairs already connected by verified links are not compared, so ``links`` holds
-    enough links to tell all components; otherwise it holds every link between different sets.
+    With ``spanning``, ``links`` holds enough of the links between different sets to tell all components;
+    otherwise it holds every one.
     Null or empty texts and texts without words have the empty set (``n`` 0) and link with nothing.
     Repeated rows are copies.  A null id keeps its row and counts as a copy, but is nobody's smallest id;
     a set that only rows without id hold isn't compared.
@@ -299,55 +344,20 @@ def self_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     documents = made.where("n IS NOT NULL").select("id", "n", "node", "second")
     classes = folder.kept(documents.where("n > 0").groupBy("node", "second", "n").agg(
         F.min("id").alias("first"), F.count("*").alias("copies")))
-    met = folder.kept(_meet(made.where("part IS NOT NULL").select("part", "heads", "met"), parts).distinct())
-    links = _links(docs, id_col, text_col, n, percent, spanning, met, classes, folder)
-    return Join(documents.drop("second"), classes.drop("second"), links)
-
-
-def _links(docs, id_col, text_col, n, percent, spanning, met, classes, folder) -> DataFrame:
-    spark = docs.sparkSession
-    links = spark.createDataFrame([], "a long, b long")
+    met = folder.kept(_meet(made.where("part IS NOT NULL").select("part", "heads", "met"), parts))
     if met.isEmpty():
-        return links
-    sizes = met.groupBy("key").agg(F.count("*").alias("size"))
-    weights = folder.kept(met.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("weight")))
-    wanted = folder.kept(weights.join(classes, "node").select("node", F.col("first").alias("__first")))
+        return Join(documents.drop("second"), classes.drop("second"), spark.createDataFrame([], "a long, b long"))
+    clusters = components(met, folder).withColumnRenamed("component", "cluster")
+    wanted = folder.kept(clusters.join(classes, "node").select("node", F.col("first").alias("__first")))
     texts = docs.select(F.col(id_col).cast("long").alias("__first"), F.col(text_col).alias("__t"))
     found = lookup_join(texts, wanted, "__first", "inner").dropDuplicates(["node"])
     sets = folder.kept(_stored_sets(found, "__t", n))
-    active = folder.kept(met.join(weights, "node").select("key", "node", "weight", F.col("node").alias("component")))
-    counts = wanted.select("node").join(classes.select("node", "n"), "node")
-    done, number = None, 0
-    while True:
-        pivots = PIVOTS[number] if number < len(PIVOTS) else PIVOTS[-1] << (number - len(PIVOTS) + 1)
-        number += 1
-        chosen = active.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(pivots)).alias("__k")).agg(
-            F.max(F.struct("weight", "node", "component")).alias("p"))
-        chosen = chosen.select("key", F.col("p.node").alias("pivot"), F.col("p.component").alias("pivots_component"))
-        apart = F.col("node") != F.col("pivot")
-        if spanning:
-            apart &= F.col("component") != F.col("pivots_component")
-        pairs = active.join(chosen, "key").where(apart).select(
-            F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        for side in ("a", "b"):
-            pairs = pairs.join(counts.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}")), side)
-        pairs = pairs.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b")
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = folder.kept(pairs)
-        done = pairs if done is None else done.unionByName(pairs)
-        links = folder.kept(links.unionByName(_verified(pairs, sets, percent)))
-        rest = active.join(chosen.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti")
-        if spanning and not links.isEmpty():
-            labels = components(links, folder)
-            rest = rest.drop("component").join(labels, "node", "left").select(
-                "key", "node", "weight", F.coalesce("component", "node").alias("component"))
-        rest = folder.kept(rest)
-        mark = "component" if spanning else "node"
-        open_ = rest.groupBy("key").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).where("low < high").select("key")
-        active = folder.kept(rest.join(open_, "key", "left_semi"))
-        if active.isEmpty():
-            return links
+    blocks = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    placed = clusters.join(blocks, "cluster").select("node", "cluster", "blocks", F.expr("pmod(xxhash64(node), blocks)").alias("block"))
+    tasks = sets.join(placed, "node").select(
+        "cluster", "block", "node", "items", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other")).select(
+        "cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "items")
+    return Join(documents.drop("second"), classes.drop("second"), folder.kept(_linked(tasks, percent, spanning).distinct()))
 
 
 def with_components(join: Join, folder: Folder) -> DataFrame:
