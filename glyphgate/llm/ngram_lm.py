@@ -23,8 +23,8 @@ from pyspark.sql.types import StructType
 from glyphgate.llm import words as W
 from glyphgate.sources.sinks import work_dir
 
-ORDER = 3
-CHUNK = 12 << 20
+ORDER = 2
+CHUNK = 6 << 20
 _U = np.uint64
 START, END = _U(0x5851F42D4C957F2D), _U(0x14057B7EF767814F)
 FIELDS = ("raw", "adjusted", "total", "once", "twice", "more")   # the last four describe the n-gram as a context
