@@ -1,6 +1,6 @@
 """All registered queries of the training-data operators."""
 
-from glyphgate.llm import queries_joins, queries_lm, queries_rules  # noqa: F401  (registers)
+from glyphgate.llm import queries_joins, queries_layout, queries_lm, queries_rules  # noqa: F401  (registers)
 from glyphgate.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

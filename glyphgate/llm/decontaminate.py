@@ -196,7 +196,7 @@ def _search(docs: DataFrame, block: list[tuple], per_error: int, kind) -> DataFr
                     pa.array([d for _, _, d in got], pa.int32())], ["doc", "item", "budget", "distance"])
 
     item_type = to_arrow_type(kind)
-    schema = StructType([docs.schema["doc"]]).add("item", kind).add("budget", "int").add("distance", "int")
+    schema = StructType([docs.schema["doc"]]).add("item", kind).add("budget", "integer").add("distance", "integer")
     return docs.mapInArrow(run, schema)
 
 
