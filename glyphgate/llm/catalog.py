@@ -1,6 +1,8 @@
 """All registered queries of the training-data operators."""
 
-from glyphgate.llm import queries_joins, queries_layout, queries_lm, queries_pages, queries_rules  # noqa: F401  (registers)
+from glyphgate.llm import (  # noqa: F401  (registers)
+    queries_joins, queries_layout, queries_lm, queries_native, queries_pages, queries_rules,
+)
 from glyphgate.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
