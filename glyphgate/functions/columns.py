@@ -9,6 +9,22 @@ from pyspark.sql import Column, DataFrame, functions as F
 from glyphgate.functions import fixed, regex
 
 
+ASTRAL = r"[\x{10000}-\x{10FFFF}]"
+NOT_ASTRAL = r"[^\x{10000}-\x{10FFFF}]"
+
+
+def utf16_length_sql(text: str) -> str:
+    """UTF-16 units of a text: characters outside the BMP count twice; plain ASCII is not searched for them."""
+    return (f"(length({text}) + if(octet_length({text}) = length({text}), 0,"
+            f" length(regexp_replace({text}, {sql_string(NOT_ASTRAL)}, ''))))")
+
+
+def utf16_spread_sql(text: str) -> str:
+    """The text with two private-use characters for each one outside the BMP, so that distances count units."""
+    return (f"if(octet_length({text}) = length({text}), {text},"
+            f" regexp_replace({text}, {sql_string(ASTRAL)}, '\ue000\ue000'))")
+
+
 def trim_wide(c: Column) -> Column:
     """Trim every ECMAScript blank, not just U+0020."""
     return F.regexp_replace(c, rf"^{regex.SPACE}+|{regex.SPACE}+\z", "")

@@ -1,10 +1,11 @@
 """Pattern dialects.
 
 The fixed patterns follow ECMAScript rules.  Spark runs ``java.util.regex``,
-which differs in four places that change results:
+which differs in places that change results:
 
 * ``\\b`` is Unicode-aware up to Java 18 -> spelled with ASCII look-arounds,
-* ``\\s`` knows ASCII blanks only -> spelled as an explicit class,
+* ``\\s`` and ``\\S`` know ASCII blanks only -> spelled as an explicit class,
+* ``&&`` in a class intersects -> escaped,
 * ``.`` also stops at U+0085 and ``$`` also matches before a final newline,
 * ``(?i)`` folds ASCII only -> accented letters list both cases.
 """
@@ -21,10 +22,14 @@ _ENTER = rf"(?<!{_WORD})"
 _LEAVE = rf"(?!{_WORD})"
 _OPENS = re.compile(r"(?:\(\?:)*(?:[A-Za-z0-9]|\\d|\[[A-Z])")
 BOUNDARY = rf"(?:(?<={_WORD}){_LEAVE}|{_ENTER}(?={_WORD}))"
+INSIDE = rf"(?:(?<={_WORD})(?={_WORD})|{_ENTER}{_LEAVE})"
 
 
 def java(pattern: str, ignore_case: bool = False) -> str:
-    """Rewrite an ECMAScript pattern for ``rlike`` / ``regexp_*`` in Spark."""
+    """Rewrite an ECMAScript pattern for ``rlike`` / ``regexp_*`` in Spark.
+
+    Raises ValueError for ``\\u{...}`` and ``\\p{...}``, whose meaning depends on a flag that patterns here don't have.
+    """
     out = ["(?i)"] if ignore_case else []
     in_class = False
     i = 0
@@ -35,8 +40,14 @@ def java(pattern: str, ignore_case: bool = False) -> str:
             i += 2
             if pair == r"\s":
                 out.append(rf"\s{WIDE_SPACE}" if in_class else SPACE)
+            elif pair == r"\S":
+                out.append(rf"[^\s{WIDE_SPACE}]")
             elif pair == r"\b" and not in_class:
                 out.append(BOUNDARY)
+            elif pair == r"\B" and not in_class:
+                out.append(INSIDE)
+            elif pair in (r"\u", r"\p", r"\P") and pattern[i:i + 1] == "{":
+                raise ValueError(f"{pair}{{...}} can't be translated")
             else:
                 out.append(pair)
             continue
@@ -44,8 +55,8 @@ def java(pattern: str, ignore_case: bool = False) -> str:
         if ch == "[" and not in_class:
             in_class = True
             out.append(ch)
-        elif ch == "[":
-            out.append(r"\[")
+        elif ch in "[&":
+            out.append("\\" + ch)
         elif ch == "]" and in_class:
             in_class = False
             out.append(ch)

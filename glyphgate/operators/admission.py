@@ -21,7 +21,7 @@ def parse_requests(df: DataFrame, body: str = "body", max_chars: int = fixed.API
     """
     keep = [columns.name(c) for c in df.columns]
     text = columns.name(body)
-    parsed = df.selectExpr("*", f"CASE WHEN length({text}) <= {max_chars} THEN try_parse_json({text}) END AS __json")
+    parsed = df.selectExpr("*", f"CASE WHEN {columns.utf16_length_sql(text)} <= {max_chars} THEN try_parse_json({text}) END AS __json")
 
     def field(path: str, kind: str, type_: str) -> str:
         part = f"try_variant_get(__json, '$.{path}', 'variant')"
@@ -34,9 +34,9 @@ def parse_requests(df: DataFrame, body: str = "body", max_chars: int = fixed.API
 
 
 def flag_oversize(df: DataFrame, col: str, max_bytes: int = fixed.DEMO_INPUT_LIMIT) -> DataFrame:
-    """Add ``raw_too_long`` (characters of the raw body) and ``too_large`` (UTF-8 bytes)."""
+    """Add ``raw_too_long`` (UTF-16 units of the raw body) and ``too_large`` (UTF-8 bytes)."""
     return df.withColumns({
-        "raw_too_long": F.length(col) > 2 * max_bytes,
+        "raw_too_long": F.expr(columns.utf16_length_sql(columns.name(col))) > 2 * max_bytes,
         "too_large": F.octet_length(col) > max_bytes,
     })
 

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from glyphgate.functions import fixed
+from glyphgate.operators.joins import null_safe_join
 
 BINS = 65_536
 
@@ -66,7 +67,7 @@ def percentiles(df: DataFrame, col: str, ps: Sequence[int] = (50, 95, 99), by: S
         F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__k").alias("__n"))
     share = (F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))
     bin_ = F.when(F.col("__hi") > F.col("__lo"), F.least(F.floor(share * BINS), F.lit(BINS - 1))).otherwise(0)
-    binned = values.join(bounds, groups).withColumn("__bin", bin_.cast("int"))
+    binned = null_safe_join(values, bounds, groups).withColumn("__bin", bin_.cast("int"))
     totals = binned.groupBy(*groups, "__bin").agg(F.sum("__k").alias("__b"), F.first("__n").alias("__n"))
     upto = Window.partitionBy(*groups).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
     placed = totals.withColumn("__before", F.coalesce(F.sum("__b").over(upto), F.lit(0)))
@@ -75,7 +76,7 @@ def percentiles(df: DataFrame, col: str, ps: Sequence[int] = (50, 95, 99), by: S
     wanted = (placed.select(*groups, "__bin", "__b", "__before", F.inline(target))
               .where("at >= __before AND at < __before + __b"))
     inside = Window.partitionBy(*groups, "__bin", "p").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    hits = (binned.select(*groups, "__bin", "__v", "__k").join(wanted, [*groups, "__bin"])
+    hits = (null_safe_join(binned.select(*groups, "__bin", "__v", "__k"), wanted, [*groups, "__bin"])
             .withColumn("__upto", F.col("__before") + F.sum("__k").over(inside))
             .where("at < __upto AND at >= __upto - __k"))
     out = hits.groupBy(*groups).agg(

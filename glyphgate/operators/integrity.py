@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from glyphgate.functions import fixed, regex
-from glyphgate.functions.columns import name, once, sql_string
+from glyphgate.functions.columns import name, once, sql_string, utf16_spread_sql
 
 
 @dataclass(frozen=True)
@@ -126,7 +126,9 @@ def _flag(sig: Signature, text: str, has: Mapping[str, str]) -> str:
     tests = [_any_of(has[w] for w in group) for group in sig.needs]
     if sig.gate:
         tests.append(_any_of([*(has[w] for w in sig.gate_words), f"{text} RLIKE {sql_string(sig.gate)}"]))
-    return " AND ".join([*tests, f"{text} RLIKE {sql_string(sig.pattern)}"])
+    # bounded distances count UTF-16 units
+    body = utf16_spread_sql(text) if "{0," in sig.pattern else text
+    return " AND ".join([*tests, f"{body} RLIKE {sql_string(sig.pattern)}"])
 
 
 def _flagged(df: DataFrame, text_col: str, sigs: Sequence[Signature],

@@ -41,6 +41,13 @@ def lookup_join(facts: DataFrame, dim: DataFrame, on: str, how: str = "left",
     return spread.join(repeated, [on, "__salt"], how).drop("__salt")
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Equi join in which null keys meet each other; the key columns come from the left side."""
+    renamed = right.withColumnsRenamed({c: f"__right_{c}" for c in on})
+    same = [F.col(f"`{c}`").eqNullSafe(F.col(f"`__right_{c}`")) for c in on]
+    return left.join(renamed, same, how).drop(*[f"__right_{c}" for c in on])
+
+
 def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:
     """Keys that occur more than once, with their count."""
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")

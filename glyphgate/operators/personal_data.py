@@ -75,10 +75,10 @@ def _java_pattern(kind: str, pattern: str, fold: bool) -> str:
     p = regex.tight(regex.java(pattern, fold))
     if kind == "EMAIL":
         # a match starts where its run of local characters starts (or where the last match
-        # ended), so the run is taken whole: linear on long runs.  Labels are bounded by the
-        # longest legal domain, which keeps the matcher's stack flat.
+        # ended), so the run is taken whole: linear on long runs.  Nothing follows the labels,
+        # so their loop is possessive as well, which keeps the matcher's stack flat.
         run, domain = p.split("@", 1)
-        return rf"(?:(?<!{_LOCAL})|\G){run}+@{domain.removesuffix('+')}{{1,126}}"
+        return rf"(?:(?<!{_LOCAL})|\G){run}+@{domain}+"
     if kind == "IPV6":
         return p.replace("(?i)", "(?i)(?=[A-F0-9]{0,4}:)", 1)
     return p
@@ -86,7 +86,7 @@ def _java_pattern(kind: str, pattern: str, fold: bool) -> str:
 
 def data_types(as_of_year: int | None = None) -> tuple[DataType, ...]:
     """The fixed kinds in priority order.  ``as_of_year`` bounds dates of birth (default: today's year)."""
-    year = str(as_of_year) if as_of_year is not None else "year(current_date())"
+    year = str(as_of_year) if as_of_year is not None else "year(to_utc_timestamp(current_timestamp(), current_timezone()))"
     out = []
     for type_, pattern, fold in fixed.PERSONAL_DATA:
         kind = type_ if type_ != "IP_ADDRESS" else ("IPV6" if fold else "IPV4")
@@ -302,7 +302,7 @@ def redacted(text: str, found: str, types: Sequence[DataType] | None = None, mod
 def entities_expression(text: str, types: Sequence[DataType] | None = None) -> str:
     """Masked entities of a text as one SQL expression, for callers that have no DataFrame stages.
 
-    Intermediate values are bound by one-element ``transform`` calls.  Offsets are code points.
+    Intermediate values are bound by one-element ``transform`` calls.  Offsets count UTF-16 units.
     """
     types = types or data_types()
 
@@ -310,8 +310,11 @@ def entities_expression(text: str, types: Sequence[DataType] | None = None) -> s
         return f"transform(array({value}), {var} -> {body})[0]"
 
     matched = ", ".join(f"'__m_{i}', {_matches(t, text, 'true')}" for i, t in enumerate(types))
+    def at(p: str) -> str:
+        return f"cast({columns.utf16_length_sql(f'substring({text}, 1, {p})')} AS int)"
+
     public = (f"transform(found, x -> named_struct('type', {_type_of('x.p', types)}, 'value', {columns.mask_sql('x.v')},"
-              " 'start', x.s, 'end', x.e))")
+              f" 'start', {at('x.s')}, 'end', {at('x.e')}))")
     chosen = f"CASE WHEN size(cands) > 0 THEN {_resolve('cands')} ELSE {_EMPTY} END"
     return let("hit", f"named_struct({matched})", let(
         "parts", _pieces(types, text, lambda i: f"hit.__m_{i}"), let(
@@ -363,17 +366,17 @@ def overlaps(df: DataFrame, id_col: str, text_col: str = "text",
              types: Sequence[DataType] | None = None, width: int = 64) -> DataFrame:
     """Pairs of checked candidates of different types that overlap.
 
-    The range condition becomes an equi join: each span is filed under the
-    ``width``-sized cells it covers, and a pair is reported only in the cell where
-    its overlap begins.
+    Each span is filed under the ``width``-sized cells it covers; the few spans of a cell are
+    paired in one row, and a pair is reported only in the cell where its overlap begins.
+    Texts are read once and spans shuffled once.
     """
     types = types or data_types()
     spans = (candidates(df.select(id_col, text_col), text_col, types, "c", checked=True)
              .where(F.size("c") > 1).select(id_col, F.explode("c").alias("x")).select(id_col, "x.*")
              .withColumn("cell", F.explode(F.expr(f"sequence(start div {width}, (end - 1) div {width})"))))
-    left = spans.select(id_col, "cell", *[F.col(c).alias(f"l_{c}") for c in ("type", "priority", "start", "end")])
-    right = spans.select(id_col, "cell", *[F.col(c).alias(f"r_{c}") for c in ("type", "priority", "start", "end")])
-    return (left.join(right, [id_col, "cell"])
-            .where("l_priority < r_priority AND l_start < r_end AND r_start < l_end"
-                   f" AND cell = greatest(l_start, r_start) div {width}")
-            .select(id_col, "l_type", "l_start", "l_end", "r_type", "r_start", "r_end"))
+    cells = (spans.groupBy(id_col, "cell").agg(F.collect_list(F.struct("type", "priority", "start", "end")).alias("c"))
+             .where("size(c) > 1").select(id_col, "cell", "c", F.explode("c").alias("l")))
+    met = ("filter(c, r -> l.priority < r.priority AND l.start < r.end AND r.start < l.end"
+           f" AND cell = greatest(l.start, r.start) div {width})")
+    return cells.select(id_col, "l", F.explode(F.expr(met)).alias("r")).select(
+        id_col, *[F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "lr" for c in ("type", "start", "end")])

@@ -116,20 +116,23 @@ def rate_limit(requests: DataFrame, key: str, ts: str, tie: str, limit: int, win
     """Add ``window_start`` (ms), ``position``, ``allowed``, ``remaining``, ``retry_after_s`` and ``reset_in_min``.
 
     ``ts`` is a timestamp; times count in whole milliseconds, ties are ordered by ``tie``.
+    Requests without a key or time are in no window: they stay, with nulls in all six columns.
     """
     keyed = requests.withColumns({"__ms": F.unix_millis(ts), "__slice": F.expr(f"unix_millis({ts}) div {window}")})
-    times = keyed.select(F.col(key).alias("key"), F.col("__ms").alias("ms")).distinct()
+    times = keyed.select(F.col(key).alias("key"), F.col("__ms").alias("ms")).where("key IS NOT NULL AND ms IS NOT NULL").distinct()
     starts = window_starts(times, window, requests.schema[key].dataType.simpleString(), stretch)
     dim = starts.select(F.col("key").alias(key), F.col("slice").alias("__slice"), "anchor", "earlier")
-    placed = keyed.join(dim, [key, "__slice"]).withColumn(
+    placed = keyed.join(dim, [key, "__slice"], "left").withColumn(
         "window_start", F.when(F.col("__ms") >= F.col("anchor"), F.col("anchor")).otherwise(F.col("earlier")))
-    order = Window.partitionBy(key, "window_start").orderBy("__ms", tie)
-    counted = placed.withColumn("position", F.row_number().over(order))
+    timed = F.col("window_start").isNotNull()
+    # rows outside any window are spread
+    order = Window.partitionBy(key, "window_start", F.when(~timed, F.pmod(F.xxhash64(tie), F.lit(4096)))).orderBy("__ms", tie)
+    counted = placed.withColumn("position", F.when(timed, F.row_number().over(order)))
     left = F.col("window_start") + window - F.col("__ms")
     allowed = F.col("position") <= limit
     return (counted.withColumns({
         "allowed": allowed,
-        "remaining": F.greatest(F.lit(limit) - F.col("position"), F.lit(0)),
+        "remaining": F.when(timed, F.greatest(F.lit(limit) - F.col("position"), F.lit(0))),
         "retry_after_s": F.when(~allowed, F.ceil(left / 1000)),
         "reset_in_min": F.when(~allowed, F.ceil(left / 60_000)),
     }).drop("__ms", "__slice", "anchor", "earlier"))

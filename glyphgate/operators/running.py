@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from glyphgate.operators.joins import null_safe_join
+
 
 def count_before(df: DataFrame, keys: Sequence[str], ts: str, tie: str, flag: Column,
                  out_col: str, slice_: str = "minute") -> DataFrame:
@@ -13,7 +15,8 @@ def count_before(df: DataFrame, keys: Sequence[str], ts: str, tie: str, flag: Co
 
     A window over the key alone would put all rows of a key into one task.  Here rows are
     partitioned by key and time slice: counts per slice (combined before the shuffle) give
-    each slice its offset, and the window only orders rows inside a slice.
+    each slice its offset, and the window only orders rows inside a slice.  Rows without a key
+    count as one key; rows without a time come before all others of their key.
     """
     cut = df.withColumn("__slice", F.date_trunc(slice_, ts)).withColumn("__flag", F.when(flag, 1).otherwise(0))
     per_slice = cut.groupBy(*keys, "__slice").agg(F.sum("__flag").alias("__n"))
@@ -21,7 +24,7 @@ def count_before(df: DataFrame, keys: Sequence[str], ts: str, tie: str, flag: Co
     offsets = per_slice.select(*keys, "__slice", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__offset"))
     inside = (Window.partitionBy(*keys, "__slice").orderBy(ts, tie)
               .rowsBetween(Window.unboundedPreceding, -1))
-    return (cut.join(offsets, [*keys, "__slice"])
+    return (null_safe_join(cut, offsets, [*keys, "__slice"])
             .withColumn(out_col, F.col("__offset") + F.coalesce(F.sum("__flag").over(inside), F.lit(0)))
             .drop("__slice", "__flag", "__offset"))
 

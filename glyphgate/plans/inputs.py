@@ -187,7 +187,7 @@ DERIVED = {
 
 
 # texts are long and few: these inputs are spread by key before anything reads the text
-TEXT_KEYS = {"texts": "doc_id", "page_texts": "page_id", "turns": "turn"}
+TEXT_KEYS = {"texts": ["doc_id"], "page_texts": ["page_id"], "turns": ["conv_id", "turn"]}
 
 
 def _select(name: str) -> str:

@@ -34,6 +34,13 @@ def signature_tests(text: str = "text") -> dict[str, str]:
     return tests
 
 
+def hmac(secret: str, message: str) -> str:
+    """HMAC-SHA256 of a text expression, in hex."""
+    key = secret.encode().ljust(64, b"\0")
+    inner, outer = (bytes(k ^ pad for k in key).hex() for pad in (0x36, 0x5C))
+    return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({message}))))"
+
+
 def hits_cte(source: str = "texts", id_col: str = "doc_id", name: str = "hits") -> str:
     """``name(id, sigs, n, joined)``: the ordered hit list of each text."""
     cases = ", ".join(f"CASE WHEN {t} THEN '{i}' END" for i, t in signature_tests().items())

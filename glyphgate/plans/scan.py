@@ -104,7 +104,7 @@ def scan_dedup(df: DataFrame, id_col: str, text_col: str = "text", **options) ->
     deduplication, so many copies of one text never meet in one task; the way back is a
     lookup join that spreads frequent digests.
     """
-    tagged = df.select(id_col, F.col(f"`{text_col}`").alias("__text"), F.sha2(f"`{text_col}`", 256).alias("__digest"))
+    tagged = df.select(id_col, F.col(f"`{text_col}`").alias("__text"), F.coalesce(F.sha2(f"`{text_col}`", 256), F.lit("")).alias("__digest"))
     distinct = tagged.groupBy("__digest").agg(F.any_value("__text").alias(text_col))
     results = scan(distinct, "__digest", text_col, **options)
     return joins.lookup_join(tagged.select(id_col, "__digest"), results, "__digest").drop("__digest")

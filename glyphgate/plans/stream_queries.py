@@ -18,8 +18,7 @@ def stream(spark, sf_dir: str, name: str) -> DataFrame:
     """A derived input read as a stream."""
     source = inputs.DERIVED[name][1]
     schema = table(spark, sf_dir, source).schema
-    key = inputs.TEXT_KEYS.get(name)
-    return derive(jobs.read_parquet_stream(spark, sf_dir, schema, f"{source}.parquet", spread_by=key), name)
+    return derive(jobs.read_parquet_stream(spark, sf_dir, schema, f"{source}.parquet"), name)
 
 
 def finish(streaming_query) -> None:
@@ -128,7 +127,7 @@ def str_verdict_rate_stream(spark, sf_dir):
     counted = jobs.verdict_rate(sent, "ts", delay="1 hour")
 
     def store(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+        batch.write.mode("overwrite").parquet(jobs.batch_folder(batch, f"{path}/out", number))
 
     writer = counted.writeStream.outputMode("update").foreachBatch(store)
     finish(writer.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start())

@@ -200,10 +200,9 @@ def pii_mask_mode(spark, sf_dir):
             .where("redacted IS NOT NULL").select("doc_id", "redacted"))
 
 
-@query("prj_mask", f"SELECT doc_id, {oracle.MASK} AS masked FROM (SELECT doc_id, substr(text, 1, doc_id % 20) AS v FROM texts)")
+@query("prj_mask", f"SELECT doc_id, {oracle.MASK} AS masked FROM (SELECT doc_id, text AS v FROM texts)")
 def prj_mask(spark, sf_dir):
-    cut = F.substr("text", F.lit(1), (F.col("doc_id") % 20).cast("int"))
-    return texts(spark, sf_dir).select("doc_id", columns.mask(cut).alias("masked"))
+    return texts(spark, sf_dir).select("doc_id", columns.mask(F.col("text")).alias("masked"))
 
 
 @query("pii_profile", f"WITH {ENTS} SELECT lang, type, count(*) AS entities, count(DISTINCT doc_id) AS texts"
@@ -213,7 +212,7 @@ def pii_profile(spark, sf_dir):
 
 
 @query("join_overlap",
-       f"WITH {', '.join(oracle.candidate_ctes(AS_OF_YEAR))}, every AS ({_ALL_CANDIDATES})"
+       f"WITH {', '.join(oracle.candidate_ctes(AS_OF_YEAR))}, every AS MATERIALIZED ({_ALL_CANDIDATES})"
        " SELECT a.doc_id, a.type AS l_type, a.s AS l_start, a.e AS l_end, b.type AS r_type, b.s AS r_start, b.e AS r_end"
        " FROM every a JOIN every b ON a.doc_id = b.doc_id AND a.p < b.p AND a.s < b.e AND b.s < a.e")
 def join_overlap(spark, sf_dir):
@@ -222,6 +221,7 @@ def join_overlap(spark, sf_dir):
 
 
 _KEYED = "'k:' || type || ':' || v"
+_KEYED_VALUE = "type || ':' || v"
 
 
 @query("pii_tokenize",
@@ -231,7 +231,8 @@ def pii_tokenize(spark, sf_dir):
     return anonymize.token_table(texts(spark, sf_dir), "doc_id", "text", types(), keyed=anonymize.prefix_hash("k"))
 
 
-@query("pii_tokenize_keyed")
+@query("pii_tokenize_keyed",
+       f"WITH {ENTS} SELECT DISTINCT type || '_' || left({oracle.hmac(SECRET, _KEYED_VALUE)}, 12) AS token, {oracle.MASK} AS masked FROM ents")
 def pii_tokenize_keyed(spark, sf_dir):
     return anonymize.token_table(texts(spark, sf_dir), "doc_id", "text", types(), keyed=anonymize.secret_hash(spark, SECRET))
 
@@ -330,12 +331,21 @@ def rep_ids(spark, sf_dir):
     return report.with_ids(scanned, "doc_id", "text", moment).select("doc_id", "report_id", "timestamp_utc", "verdict")
 
 
-@query("rep_hmac")
+_SIGNED = (
+    f"WITH {REP}, named AS (SELECT doc_id, verdict, sha256,"
+    " 'zp_' || upper(left(sha256(doc_id || '|' || text), 16)) AS report_id,"
+    " strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_id), '%Y-%m-%dT%H:%M:%S.%gZ') AS timestamp_utc"
+    " FROM rep JOIN texts USING (doc_id)), signed AS (SELECT *,"
+    f" {oracle.hmac(SECRET, "report_id || '.' || sha256 || '.' || timestamp_utc")} AS report_hash FROM named)")
+
+
+@query("rep_hmac", f"{_SIGNED} SELECT doc_id, report_id, sha256, timestamp_utc, report_hash FROM signed")
 def rep_hmac(spark, sf_dir):
     return signed(spark, sf_dir).select("doc_id", "report_id", "sha256", "timestamp_utc", "report_hash")
 
 
-@query("rep_verify")
+@query("rep_verify", f"{_SIGNED} SELECT verdict, verdict <> 'ANONYMIZED' OR sha256 = reverse(sha256) AS valid,"
+                     " count(*) AS reports FROM signed GROUP BY ALL")
 def rep_verify(spark, sf_dir):
     """Stored reports, some altered after signing: how many still verify."""
     stored = signed(spark, sf_dir).withColumn(

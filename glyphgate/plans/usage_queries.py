@@ -50,7 +50,8 @@ def src_requests(spark, sf_dir):
     return parsed.select("request_id", "body_ok", "input", listed.alias("modules_text"))
 
 
-@query("flt_oversize", "SELECT doc_id, length(text) > 8192 AS raw_too_long, strlen(text) > 4096 AS too_large FROM texts")
+@query("flt_oversize", "SELECT doc_id, length(text) + length(regexp_replace(text, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) > 8192"
+                       " AS raw_too_long, strlen(text) > 4096 AS too_large FROM texts")
 def flt_oversize(spark, sf_dir):
     return admission.flag_oversize(text_queries.texts(spark, sf_dir), "text").select("doc_id", "raw_too_long", "too_large")
 

@@ -55,7 +55,7 @@ def read_billing_events(spark: SparkSession, path: str, stream: bool = False) ->
     return (spark.readStream if stream else spark.read).schema(EVENT_SCHEMA).json(path)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
     """Spread a small table of long texts over all cores.
 
     A table of less than one input split per core, say a single file with one row group,
@@ -69,7 +69,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     if estimated_bytes(df) >= cores * split:
         return df
-    return df.repartition(4 * cores, key)
+    return df.repartition(4 * cores, *keys)
 
 
 DIMENSIONS = {

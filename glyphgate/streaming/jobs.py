@@ -19,11 +19,10 @@ from glyphgate.sources import sinks
 
 
 def read_parquet_stream(spark: SparkSession, folder: str, schema: StructType | str, pattern: str = "*.parquet",
-                        files_per_batch: int = 1000, spread_by: str | None = None) -> DataFrame:
-    """Parquet files as a stream; ``spread_by`` hashes each batch over the cores, for few and large row groups."""
-    df = (spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+                        files_per_batch: int = 1000) -> DataFrame:
+    """Parquet files as a stream; rows keep their input splits."""
+    return (spark.readStream.schema(schema).option("pathGlobFilter", pattern)
           .option("maxFilesPerTrigger", files_per_batch).parquet(folder))
-    return df.repartition(4 * spark.sparkContext.defaultParallelism, spread_by) if spread_by else df
 
 
 def _start(writer, checkpoint: str, once: bool) -> StreamingQuery:
@@ -49,6 +48,12 @@ def for_each_batch(df: DataFrame, handle: Callable[[DataFrame, int], None], chec
     return _start(df.writeStream.foreachBatch(handle), checkpoint, once)
 
 
+def batch_folder(batch: DataFrame, path: str, number: int) -> str:
+    """Folder of a micro-batch below that of its query: a query with a new checkpoint overwrites nothing."""
+    run = batch._jdf.sparkSession().sparkContext().getLocalProperty("sql.streaming.queryId")
+    return f"{path}/run={run}/batch={number}"
+
+
 def usage_stream(requests: DataFrame, path: str, checkpoint: str, key: str = "key_hash", ts: str = "ts",
                  once: bool = False) -> StreamingQuery:
     """Monthly usage: each batch writes its own counts; :func:`read_usage` adds them up.
@@ -58,7 +63,7 @@ def usage_stream(requests: DataFrame, path: str, checkpoint: str, key: str = "ke
     def add(batch: DataFrame, number: int) -> None:
         (batch.groupBy(key, columns.month_key(F.col(ts)).alias("month"))
          .agg(F.count("*").alias("request_count"), F.max(ts).alias("last_used_at"))
-         .write.mode("overwrite").parquet(f"{path}/batch={number}"))
+         .write.mode("overwrite").parquet(batch_folder(batch, path, number)))
 
     return for_each_batch(requests, add, checkpoint, once)
 
@@ -82,13 +87,13 @@ def subscription_stream(changes: DataFrame, path: str, checkpoint: str, once: bo
             F.max_by(row, F.when(F.col("sets_plan"), position)).alias("b"),
             F.max_by(row, F.when(F.col("creates"), position)).alias("c"))
         rows = kept.select(F.explode(F.array_distinct(F.array_compact(F.array("a", "b", "c")))).alias("r")).select("r.*")
-        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        rows.write.mode("overwrite").parquet(batch_folder(batch, path, number))
 
     return for_each_batch(changes, keep_latest, checkpoint, once)
 
 
 def read_subscriptions(spark: SparkSession, path: str) -> DataFrame:
-    return billing.latest_subscription(spark.read.parquet(path).drop("batch"))
+    return billing.latest_subscription(spark.read.parquet(path).drop("run", "batch"))
 
 
 def dedup_stream(events: DataFrame, id_col: str, ts: str, delay: str = "1 hour") -> DataFrame:

@@ -3,6 +3,9 @@
 import random
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
 from glyphgate.functions import fixed, regex
 
 ALL = fixed.STRUCTURAL + fixed.LEXICAL + fixed.PERSONAL_DATA
@@ -44,3 +47,15 @@ def test_accented_case_folding():
     p = _python(regex.java("vous êtes", True))
     assert p.search("VOUS ÊTES") and p.search("vous êtes")
     assert not _python(regex.java("system", True)).search("ſystem")
+
+
+def test_classes_that_differ(spark):
+    def matches(pattern, text):
+        return spark.range(1).select(F.lit(text).rlike(regex.java(pattern))).first()[0]
+
+    assert not matches(r"a\Sb", "a b") and matches(r"a\Sb", "axb")
+    assert matches(r"^[a&&z]$", "a") and matches(r"^[a&&z]$", "&")
+    assert matches(r"a\Bb", "ab") and not matches(r"a\B ", "a b") and matches(r"^[\S]$", "x") and not matches(r"^[\S]$", " ")
+    for refused in (r"\u{61}", r"\p{L}"):
+        with pytest.raises(ValueError):
+            regex.java(refused)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from glyphgate import guard, scan, scan_dedup, scan_hybrid, sql
 from glyphgate.functions import fixed, regex
-from glyphgate.operators import evaluate, integrity, personal_data, report
+from glyphgate.operators import admission, evaluate, integrity, personal_data, report
 
 YEAR = 2026
 ENTITIES = {
@@ -215,6 +215,8 @@ def test_heavy_texts(spark):
     df = spark.createDataFrame(list(heavy.items()), "id string, text string").repartition(5)
     rows = {r.id: r for r in scan(df, "id", as_of_year=YEAR).collect()}
     assert [len(rows[k].entities) for k in heavy] == [1, 1, 3000, 2000, 300]
+    assert (rows["labels"].entities[0].start, rows["labels"].entities[0].end) == (0, len(heavy["labels"]))
+    assert rows["labels"].anonymized_input == "[EMAIL]"
     assert rows["cards"].anonymized_input == " ".join(["[CREDIT_CARD], [SSN];"] * 1_000)
     wide = heavy["astral"].encode("utf-16-le")
     assert all(wide[2 * e.start:2 * e.end].decode("utf-16-le").endswith(".com") for e in rows["astral"].entities)
@@ -276,3 +278,21 @@ def test_offline_evaluation_set(spark):
     row = evaluate.metrics(evaluate.confusion(judged)).first()
     assert (row.tp, row.fp, row.fn, row.tn) == (400, 0, 100, 500)
     assert (row.precision, row.recall, row.f1, row.accuracy) == (1.0, 0.8, 0.8889, 0.9)
+
+
+def test_dedup_rows_equal_scan_rows(spark):
+    df = spark.createDataFrame([(1, "mail a@b.co"), (2, None), (3, "mail a@b.co"), (4, ""), (5, None)], "id int, text string")
+    assert sorted(scan_dedup(df, "id", as_of_year=YEAR).collect()) == sorted(scan(df, "id", as_of_year=YEAR).collect())
+
+
+def test_utf16_units(spark):
+    """Distances and offsets count UTF-16 units, in the DataFrame form and in SQL."""
+    face = "\N{GRINNING FACE}"
+    near, far = ("====" + face * n + "override" for n in (5, 30))
+    rows = {r.id: r for r in scan(spark.createDataFrame([(1, near), (2, far), (3, f"{face} a@b.co")], "id int, text string"), "id").collect()}
+    assert rows[1].verdict == "BLOCKED" and rows[2].verdict == "CLEARED"
+    sql.register_functions(spark, YEAR)
+    got = spark.sql(f"SELECT inline(e) FROM (SELECT pii_entities('{face} a@b.co') AS e)").collect()
+    assert [(r.start, r.end) for r in got] == [(e.start, e.end) for e in rows[3].entities] == [(3, 9)]
+    sized = admission.flag_oversize(spark.createDataFrame([(face * 4097,), ("x" * 8192,)], "t string"), "t").collect()
+    assert [r.raw_too_long for r in sized] == [True, False]

@@ -128,3 +128,14 @@ def test_sources_and_sinks(spark, tmp_path):
     assert sources.read_texts(spark, str(tmp_path / "j"), "id", "text", "json").columns == ["id", "text"]
     again = sinks.write_table(df, str(tmp_path / "t"))
     assert again.count() == 3
+
+
+def test_rows_without_key_or_time_stay(spark):
+    rows = [("a", 1, 1), ("a", 2, 2), (None, 3, 3), (None, 4, 4), ("a", None, 5)]
+    df = spark.createDataFrame(rows, "key string, sec int, id int").withColumn("ts", F.timestamp_seconds("sec"))
+    counted = {r.id: r.n for r in running.count_before(df, ["key"], "ts", "id", F.lit(True), "n").collect()}
+    assert counted == {5: 0, 1: 1, 2: 2, 3: 0, 4: 1}
+    limited = {r.id: (r.position, r.allowed, r.remaining) for r in rates.rate_limit(df, "key", "ts", "id", 1, 60_000).collect()}
+    assert limited == {1: (1, True, 0), 2: (2, False, 0), 3: (None, None, None), 4: (None, None, None), 5: (None, None, None)}
+    groups = evaluate.percentiles(df, "sec", by=["key"]).collect()
+    assert {r.key: r.p50 for r in groups} == {"a": 2.0, None: 4.0}
