@@ -34,7 +34,7 @@ from glyphgate.operators.joins import lookup_join
 NGRAM, PERCENT = 5, 80
 BAND_RATIO = 1.5
 COLLISION_WEIGHT, COLLISION_RATE = 1000.0, 0.3   # cost of sharing a key by chance, per n-gram of a segment
-BLOCK = 512                                      # sets of a cluster that a task compares with as many others
+BLOCK = 2048                                     # sets of a cluster that a task compares with as many others
 COLUMNS = 4096                                   # n-grams that are counted at a time
 _U = np.uint64
 
@@ -250,14 +250,15 @@ def _meet(packed: DataFrame, parts: int) -> DataFrame:
 
 
 def _stored_sets(docs: DataFrame, text_col: str, n: int) -> DataFrame:
-    """``node`` and its n-gram hashes, of one document per set."""
+    """``node`` and its n-gram hashes, from the documents that have that set (other texts under the same id don't)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in W.chunks(batch, "__text", 4 << 20):
                 s = sets_of(chunk.column("__text"), n)
                 edge = np.concatenate([[0], np.cumsum(s.counts)])
                 items = pa.LargeListArray.from_arrays(pa.array(edge, pa.int64()), pa.array(s.items.view(np.int64)))
-                yield pa.record_batch([chunk.column("node"), items.cast(pa.list_(pa.int64()))], ["node", "items"])
+                same = pa.array(fingerprints(s)[0].view(np.int64) == chunk.column("node").to_numpy())
+                yield pa.record_batch([chunk.column("node"), items.cast(pa.list_(pa.int64()))], ["node", "items"]).filter(same)
 
     return docs.select("node", F.col(text_col).alias("__text")).mapInArrow(run, "node long, items array<long>")
 
@@ -315,6 +316,7 @@ def _linked(tasks: DataFrame, percent: int, spanning: bool) -> DataFrame:
         if spanning:
             pairs = pairs[_forest(pairs, len(node))]
         a, b = node[pairs[:, 0]], node[pairs[:, 1]]
+        a, b = a[a != b], b[a != b]      # repeated rows
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return tasks.groupBy("cluster", "low", "high").applyInArrow(run, "a long, b long")
@@ -350,10 +352,10 @@ def self_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     clusters = components(met, folder).withColumnRenamed("component", "cluster")
     wanted = folder.kept(clusters.join(classes, "node").select("node", F.col("first").alias("__first")))
     texts = docs.select(F.col(id_col).cast("long").alias("__first"), F.col(text_col).alias("__t"))
-    found = lookup_join(texts, wanted, "__first", "inner").dropDuplicates(["node"])
+    found = lookup_join(texts, wanted, "__first", "inner")
     sets = folder.kept(_stored_sets(found, "__t", n))
     blocks = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    placed = clusters.join(blocks, "cluster").select("node", "cluster", "blocks", F.expr("pmod(xxhash64(node), blocks)").alias("block"))
+    placed = lookup_join(clusters, blocks, "cluster", "inner").select("node", "cluster", "blocks", F.expr("pmod(xxhash64(node), blocks)").alias("block"))
     tasks = sets.join(placed, "node").select(
         "cluster", "block", "node", "items", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other")).select(
         "cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "items")

@@ -534,3 +534,10 @@ def test_nothing_else_imports_the_subpackage():
         if "/llm/" not in path:
             with open(path) as f:
                 assert "glyphgate.llm" not in f.read(), path
+
+
+def test_jaccard_with_one_id_for_different_texts(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, text), (1, "quite another text of a few words"), (1, text), (2, text + " more"), (3, "quite another text of a few words indeed, or not")]
+    got = collections.Counter((r["id"], r["n"], r["component"]) for r in jaccard.grouped(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {(1, 56, 1): 2, (1, 3, 1): 1, (2, 57, 1): 1, (3, 6, 3): 1}
