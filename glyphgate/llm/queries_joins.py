@@ -2,11 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from glyphgate.llm import decontaminate, jaccard
+from glyphgate.llm import decontaminate, jaccard, oracle
 from glyphgate.llm.registry import query, table
 
 
-@query("op3_ngram_jaccard_join")
+@query("op3_ngram_jaccard_join", oracle.groups(4, 85))
 def op3_ngram_jaccard_join(spark, sf_dir):
     found = jaccard.grouped(table(spark, sf_dir, "documents"), n=4, percent=85)
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))

@@ -2,13 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from glyphgate.llm import licenses, quotes
+from glyphgate.llm import licenses, oracle, quotes
 from glyphgate.llm.registry import query, table
 
 SHORT_WORDS = 60
 
 
-@query("op5_chat_formatting")
+@query("op5_chat_formatting", oracle.conversations())
 def op5_chat_formatting(spark, sf_dir):
     return quotes.conversations(table(spark, sf_dir, "conversations")).withColumnsRenamed({"conv": "conv_id", "thread": "thread_id"})
 
@@ -21,6 +21,6 @@ def files(spark, sf_dir):
         F.col("doc_id").alias("id"), F.concat_ws("/", "source", "lang", name).alias("path"), "text")
 
 
-@query("op8_license_scans")
+@query("op8_license_scans", oracle.license_scan(SHORT_WORDS))
 def op8_license_scans(spark, sf_dir):
     return licenses.scan(files(spark, sf_dir)).select(F.col("id").alias("doc_id"), "path", "license", "origin", "cosine", "from_dir")

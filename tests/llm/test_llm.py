@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from glyphgate.llm import (
     decontaminate, html_text, jaccard, licenses, mixing, ngram_lm, quality, quotes, sharding, toxicity, words)
-from glyphgate.llm.catalog import QUERIES
+from glyphgate.llm.catalog import ORACLES, QUERIES
 from glyphgate.llm.work import Folder, components
 
 SF = "/root/testdata/sf0.001"
@@ -541,3 +541,31 @@ def test_jaccard_with_one_id_for_different_texts(spark):
     rows = [(1, text), (1, "quite another text of a few words"), (1, text), (2, text + " more"), (3, "quite another text of a few words indeed, or not")]
     got = collections.Counter((r["id"], r["n"], r["component"]) for r in jaccard.grouped(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == {(1, 56, 1): 2, (1, 3, 1): 1, (2, 57, 1): 1, (3, 6, 3): 1}
+
+
+def test_quote_statement_equals_spark_on_quoted_mail(spark, tmp_path):
+    """The statement behind op5, on a table that does hold quotes."""
+    import duckdb
+    rng = random.Random(8)
+    said, rows = [], []
+    for conv in range(40):
+        for turn in range(rng.randint(1, 6)):
+            lines = []
+            for _ in range(rng.randint(0, 2)):
+                if said:
+                    if rng.random() < 0.3:
+                        lines.append("On Friday Z wrote:")
+                    mark = rng.choice(["> ", ">", ">> ", " > > "])
+                    lines += [mark + x for x in rng.choice(said).split("\n")]
+            own = "\n".join(" ".join(f"word{rng.randint(0, 30)}" for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(1, 3)))
+            said.append(own)
+            rows.append((conv, turn, "user", "\n".join([*lines, own]) if rng.random() < 0.9 else None))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.write.parquet(f"{tmp_path}/conversations.parquet")
+    got = QUERIES["op5_chat_formatting"](spark, str(tmp_path))
+    columns = sorted(got.columns)
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = db.execute(f"SELECT {', '.join(columns)} FROM ({ORACLES['op5_chat_formatting']})").fetchall()
+    assert sorted(map(repr, map(tuple, got.select(*columns).collect()))) == sorted(map(repr, want))
+    assert got.where("parent_conv IS NOT NULL").count() > 20 and got.where("thread_id <> conv_id").count() > 5
