@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from glyphgate.functions import columns, fixed
-from glyphgate.operators import running, usage
+from glyphgate.operators import joins, running, usage
 
 OUTCOME_STATUS = {
     "OK": 200, "INVALID_BODY": 400, "INVALID_INPUT": 400, "MISSING_API_KEY": 401, "INVALID_API_KEY": 401,
@@ -17,11 +17,12 @@ def parse_requests(df: DataFrame, body: str = "body", max_chars: int = fixed.API
     """Add ``input``, ``modules``, ``options`` and ``body_ok``; malformed or oversized bodies are flagged, not dropped.
 
     An input that is not a JSON string, a module list that is not an array and options that
-    are not an object read as null.
+    are not an object read as null.  A missing or empty body is an empty object.
     """
     keep = [columns.name(c) for c in df.columns]
     text = columns.name(body)
-    parsed = df.selectExpr("*", f"CASE WHEN {columns.utf16_length_sql(text)} <= {max_chars} THEN try_parse_json({text}) END AS __json")
+    parsed = df.selectExpr("*", f"CASE WHEN {columns.utf16_length_sql(text)} > {max_chars} THEN NULL"
+                            f" ELSE try_parse_json(if(coalesce({text}, '') = '', '{{}}', {text})) END AS __json")
 
     def field(path: str, kind: str, type_: str) -> str:
         part = f"try_variant_get(__json, '$.{path}', 'variant')"
@@ -68,11 +69,14 @@ def authenticate(requests: DataFrame, free: DataFrame, paid: DataFrame, subs: Da
 
 
 def classify_requests(requests: DataFrame, free: DataFrame, paid: DataFrame, subs: DataFrame,
-                      ts: str = "ts", tie: str = "request_id", limit: Column | None = None) -> DataFrame:
+                      ts: str = "ts", tie: str = "request_id", limit: Column | None = None,
+                      stored: DataFrame | None = None) -> DataFrame:
     """Add ``outcome`` and ``http_status`` of each request, with the quota applied in ``(ts, tie)`` order.
 
     Checks run in a fixed order: key, revocation, subscription, quota, body, input.  Only
     requests that pass all of them count against the quota.  ``limit`` overrides the plan limit.
+    ``stored`` (``key_hash``, ``requests_this_month``, ``month_bucket``) says what keys had used before
+    the log begins; a counter of another month counts as zero.
     """
     parsed = parse_requests(requests)
     known = authenticate(parsed, free, paid, subs)
@@ -86,6 +90,11 @@ def classify_requests(requests: DataFrame, free: DataFrame, paid: DataFrame, sub
         checked.withColumn("__meter", F.when(accepted_key, F.col("key_hash")).otherwise(spread))
         .withColumn("month", columns.month_key(F.col(ts))),
         ["__meter", "month"], ts, tie, F.col("__valid"), "__before")
+    if stored is not None:
+        used = stored.select("key_hash", F.col("requests_this_month").alias("__stored"), F.col("month_bucket").alias("__stored_month"))
+        metered = joins.lookup_join(metered, used, "key_hash")
+        earlier = F.when(F.col("month") == F.col("__stored_month"), F.col("__stored"))
+        metered = metered.withColumn("__before", F.col("__before") + F.coalesce(earlier, F.lit(0))).drop("__stored", "__stored_month")
     outcome = (F.when(F.col("kind") == "missing", "MISSING_API_KEY")
                .when(F.col("kind") == "none", "INVALID_API_KEY")
                .when(F.col("kind") == "revoked", "REVOKED_API_KEY")

@@ -31,7 +31,9 @@ def lookup_join(facts: DataFrame, dim: DataFrame, on: str, how: str = "left",
         return facts.join(dim, on, how)
     hot = (facts.where(F.col(on).isNotNull()).groupBy(on).count()
            .orderBy(F.desc("count"), on).limit(hot_keys).select(on, F.lit(True).alias("__hot")))
-    row_salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in facts.columns]), F.lit(salts)).cast("int")
+    # maps and variants can't be hashed; the other columns tell rows apart well enough
+    hashable = [F.col(f"`{c}`") for c, kind in facts.dtypes if "map<" not in kind and "variant" not in kind]
+    row_salt = F.pmod(F.xxhash64(*hashable), F.lit(salts)).cast("int")
     spread = (facts.join(F.broadcast(hot), on, "left")
               .withColumn("__salt", F.when(F.col("__hot") | F.col(on).isNull(), row_salt).otherwise(0)).drop("__hot"))
     every = F.sequence(F.lit(0), F.lit(salts - 1))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from glyphgate.functions import columns, fixed
-from glyphgate.operators import admission, billing, evaluate, joins, rates, usage
+from glyphgate.operators import admission, billing, evaluate, flows, joins, rates, usage
 from glyphgate.plans import inputs, oracle, text_queries
 from glyphgate.plans.inputs import MONTH, derived, table
 from glyphgate.plans.registry import query
@@ -319,6 +319,56 @@ def adm_outcome(spark, sf_dir):
     return classified(spark, sf_dir).select("request_id", "outcome")
 
 
+_STORED = _OUTCOME.replace(
+    "v AS (SELECT *,", "u AS (SELECT a.*, CASE WHEN month = month_bucket THEN requests_this_month ELSE 0 END AS stored"
+    " FROM a LEFT JOIN free_keys USING (key_hash)), v AS (SELECT *,").replace(
+    "known FROM a),", "known FROM u),").replace("AS earlier FROM v)", "+ coalesce(stored, 0) AS earlier FROM v)")
+
+
+def processed(spark, sf_dir) -> DataFrame:
+    free = inputs.free_keys(spark, sf_dir)
+    return flows.process_requests(
+        requests(spark, sf_dir), free, inputs.paid_keys(spark, sf_dir), derived(spark, sf_dir, "subs"), stored=free,
+        secret=text_queries.SECRET, limit=F.lit(TEST_LIMIT).cast("bigint"), as_of_year=inputs.AS_OF_YEAR)
+
+
+_OK_REPORT = "CASE WHEN outcome = 'OK' THEN {} END"
+
+
+@query("req_pipeline", f"SELECT request_id, outcome, {_OK_REPORT.format(chr(39) + 'CLEARED' + chr(39))} AS verdict FROM ({_STORED})")
+def req_pipeline(spark, sf_dir):
+    """Key, stored counter, quota, body, scan of the admitted inputs (the fixture's inputs are harmless)."""
+    return processed(spark, sf_dir).select("request_id", "outcome", "verdict")
+
+
+@query("req_audit", f"WITH o AS ({_STORED}) SELECT key_hash, count(*) AS reports, count(*) FILTER (f.email IS NOT NULL) AS free_reports"
+                    f" FROM o JOIN ({_KEYED}) k USING (request_id) LEFT JOIN free_keys f USING (key_hash) WHERE outcome = 'OK' GROUP BY key_hash")
+def req_audit(spark, sf_dir):
+    """Audit rows by key, with the tier the request was admitted under."""
+    rows = flows.audit_of(processed(spark, sf_dir))
+    return rows.groupBy("key_hash").agg(F.count("*").alias("reports"), F.count_if(F.col("tier") == "FREE").alias("free_reports"))
+
+
+_SIGNUP_SQL = (
+    "WITH o AS (SELECT signup_id, client_ip AS k, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY client_ip"
+    " ORDER BY epoch_us(ts) // 1000, signup_id) AS rn FROM signups), w AS (SELECT signup_id, k, rn, ms, ms AS start, 1 AS pos"
+    " FROM o WHERE rn = 1 UNION ALL SELECT o.signup_id, o.k, o.rn, o.ms,"
+    " CASE WHEN o.ms - w.start > 3600000 THEN o.ms ELSE w.start END,"
+    " CASE WHEN o.ms - w.start > 3600000 THEN 1 ELSE w.pos + 1 END FROM w JOIN o ON o.k = w.k AND o.rn = w.rn + 1),"
+    " e AS (SELECT s.signup_id, s.ts, lower(trim(s.email)) AS mail, CASE WHEN pos > 3 THEN 'RATE_LIMIT_EXCEEDED'"
+    " WHEN NOT coalesce(regexp_matches(s.email, '^[^\\s@]+@[^\\s@]+\\.[^\\s@]+$'), false) THEN 'INVALID_EMAIL'"
+    " WHEN NOT coalesce(consent, false) THEN 'CONSENT_REQUIRED' WHEN f.email IS NOT NULL THEN 'EXISTING' END AS early"
+    " FROM signups s JOIN w USING (signup_id) LEFT JOIN free_keys f ON f.email = lower(trim(s.email)))"
+    " SELECT signup_id, CASE WHEN early IS NOT NULL THEN early WHEN row_number() OVER (PARTITION BY mail, early IS NULL ORDER BY ts, signup_id) = 1"
+    " THEN 'REGISTERED' ELSE 'EXISTING' END AS outcome FROM e")
+
+
+@query("signup_outcome", _SIGNUP_SQL)
+def signup_outcome(spark, sf_dir):
+    """Three sign-ups per hour and address, then e-mail, consent, existing key."""
+    return flows.signup_outcomes(derived(spark, sf_dir, "signups"), inputs.free_keys(spark, sf_dir)).select("signup_id", "outcome")
+
+
 @query("win_latest_sub",
        f"WITH ch AS ({_CHANGES}), made AS (SELECT subscription_id FROM ch WHERE creates GROUP BY 1)"
        " SELECT subscription_id, arg_max(customer_id, (ts, event_id)) FILTER (creates) AS customer_id,"
