@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from glyphgate.llm.work import Folder
 from glyphgate.operators.joins import lookup_join
 
 #: fixed values: short notices by which licences are named or granted
@@ -79,7 +80,8 @@ def own_licenses(files: DataFrame, known: DataFrame, min_cosine: float = MIN_COS
 
     unseen = float(spark.range(1).select(F.log(F.lit(1 + n)) + 1).first()[0])
     terms = _terms(statements(files), ["id", "path", "statement"], "statement")
-    terms = lookup_join(terms, rarity, "term").select(
+    # the templates' terms are few
+    terms = terms.join(F.broadcast(rarity), "term", "left").select(
         "id", "path", "statement", "term", ((1 + F.log("tf")) * F.coalesce("idf", F.lit(unseen))).alias("w"))
     lengths = terms.groupBy("id", "path", "statement").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     # a statement's terms times the few templates that have the term
@@ -106,19 +108,20 @@ def scan(files: DataFrame, known: DataFrame | None = None, min_cosine: float = M
     """
     known = templates(files.sparkSession) if known is None else known
     files = files.select("id", "path", "text")
-    own = own_licenses(files, known, min_cosine)
-    dirs = (own.where(F.col("path").rlike(LICENSE_FILE)).groupBy(_parent("path").alias("dir"))
+    folder = Folder(files.sparkSession)      # stored results are read back with their true sizes, which choose the joins
+    own = folder.kept(own_licenses(files, known, min_cosine))
+    dirs = folder.kept(own.where(F.col("path").rlike(LICENSE_FILE)).groupBy(_parent("path").alias("dir"))
             .agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b"))
             .select("dir", F.col("b.license").alias("dir_license"), (-F.col("b.c")).alias("dir_cosine")))
+    mine = folder.kept(own.select(F.xxhash64("id", "path").alias("key"), "license", "cosine"))
     narrow = files.select("id", "path").withColumn("key", F.xxhash64("id", "path"))
-    mine = own.select(F.xxhash64("id", "path").alias("key"), "license", "cosine")
-    rows = lookup_join(narrow, mine, "key").drop("key")
+    rows = folder.kept(lookup_join(narrow, mine, "key").drop("key"))
     # distinct directories, each with its ancestors
     held = rows.where("license IS NULL AND path IS NOT NULL").select(_parent("path").alias("leaf")).distinct()
     steps = F.split("leaf", "/")
     above = F.when(F.col("leaf") == "", F.array(F.lit(""))).otherwise(F.transform(
         F.sequence(F.lit(0), F.size(steps)), lambda k: F.array_join(F.slice(steps, F.lit(1), k), "/")))
-    near = (lookup_join(held.select("leaf", F.explode(above).alias("dir")), dirs, "dir", "inner")
+    near = folder.kept(lookup_join(held.select("leaf", F.explode(above).alias("dir")), dirs, "dir", "inner")
             .groupBy("leaf").agg(F.max(F.struct(F.length("dir").alias("n"), "dir", "dir_license", "dir_cosine")).alias("d"))
             .select("leaf", "d.dir", "d.dir_license", "d.dir_cosine"))
     joined = lookup_join(rows.withColumn("leaf", _parent("path")), near, "leaf")
