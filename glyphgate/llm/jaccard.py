@@ -9,13 +9,15 @@ the hash of a segment's content is a key under which they meet.  Three refinemen
   less any one n-gram (one-deletion neighbourhood).  :func:`plan` chooses by cost, per band, how
   many segments do, from the number of keys and the chance that unrelated sets share one.
 * There are ``spare`` more segments than needed, so linked sets agree on ``spare`` + 1 of them.
-  Each set leaves out its ``spare`` least telling ones (fewest n-grams, then by hash and position).
-  Both order equal contents alike, so the most telling agreed one is left out by neither.
+  Each set leaves out its ``spare`` least telling ones (fewest rare n-grams, fewest n-grams, then by hash and
+  position).  Both order equal contents alike, so the most telling agreed one is left out by neither.  Which
+  n-grams are common is estimated from a bounded sample; that estimate affects costs, never results.
 * A set of a size near the top of its band also emits the keys of the next band.
 
 Equal sets are collapsed first.  A group that shares a key isn't expanded into pairs: its sets join one
 *cluster*, and each cluster is compared in blocks of ``BLOCK`` sets against blocks, on the n-grams themselves, by
-counting common n-grams in a matrix product.  A task holds two blocks at most and returns links only.
+counting common n-grams in a matrix product.  Blocks hold sets of like size, so that only neighbours in
+size need comparing.  A task holds two blocks at most and returns links only.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ from glyphgate.llm.work import Folder, components
 from glyphgate.operators.joins import lookup_join
 
 NGRAM, PERCENT = 5, 80
-BAND_RATIO = 1.5
+BAND_RATIO = 1.25
+SAMPLE_DOCUMENTS, COMMON_FROM = 2000, 3           # n-grams that so many documents of the sample have are common
 COLLISION_WEIGHT, COLLISION_RATE = 1000.0, 0.3   # cost of sharing a key by chance, per n-gram of a segment
 BLOCK = 2048                                     # sets of a cluster that a task compares with as many others
 COLUMNS = 4096                                   # n-grams that are counted at a time
@@ -110,7 +113,7 @@ def fingerprints(s: Sets) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def _band_keys(s: Sets, chosen: np.ndarray, p: Plan, number: int) -> tuple[np.ndarray, np.ndarray]:
+def _band_keys(s: Sets, chosen: np.ndarray, p: Plan, number: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the chosen sets in one band, and the set of each."""
     m = p.deletion + p.exact
     place = np.full(len(s.counts), -1)
@@ -131,7 +134,8 @@ def _band_keys(s: Sets, chosen: np.ndarray, p: Plan, number: int) -> tuple[np.nd
     kept = np.tile(np.arange(m) < p.deletion, len(chosen))
     exact = np.flatnonzero(~kept)
     if p.exact:
-        rank = np.lexsort((exact, content[exact], -size[exact], exact // m)).reshape(len(chosen), p.exact)
+        rare = np.bincount(cell[~_among(items[order], common)], minlength=len(size))
+        rank = np.lexsort((exact, content[exact], -size[exact], -rare[exact], exact // m)).reshape(len(chosen), p.exact)
         kept[exact[rank[:, :p.exact - p.spare].ravel()]] = True
     keys, sets = [key[kept]], [chosen[np.flatnonzero(kept) // m]]
     if p.deletion:
@@ -141,8 +145,15 @@ def _band_keys(s: Sets, chosen: np.ndarray, p: Plan, number: int) -> tuple[np.nd
     return np.concatenate(keys), np.concatenate(sets)
 
 
-def keys_of(s: Sets, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Every key of every set, and the set of each."""
+def _among(items: np.ndarray, listed: np.ndarray) -> np.ndarray:
+    """Which items are in an ascending list."""
+    if not len(listed):
+        return np.zeros(len(items), bool)
+    return listed[np.minimum(np.searchsorted(listed, items), len(listed) - 1)] == items
+
+
+def keys_of(s: Sets, percent: int, common: np.ndarray = np.zeros(0, np.uint64)) -> tuple[np.ndarray, np.ndarray]:
+    """Every key of every set, and the set of each; ``common`` are the n-grams that tell least, ascending."""
     tops = np.array(bands(int(s.counts.max(initial=1))))
     own = np.searchsorted(tops, s.counts)
     keys, sets = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
@@ -153,7 +164,7 @@ def keys_of(s: Sets, percent: int) -> tuple[np.ndarray, np.ndarray]:
         near = (own == number - 1) & (100 * s.counts >= percent * (lower + 1))
         chosen = np.flatnonzero(((own == number) | near) & (s.counts > 0))
         if len(chosen):
-            k, v = _band_keys(s, chosen, plan(int(top), percent), number)
+            k, v = _band_keys(s, chosen, plan(int(top), percent), number, common)
             keys.append(k)
             sets.append(v)
     return np.concatenate(keys), np.concatenate(sets)
@@ -173,28 +184,54 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(np.ascontiguousarray(planes).view(_U).ravel(), dtype=_U), np.frombuffer(blob, _U, n, end)
 
 
-def _prepare(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, parts: int) -> DataFrame:
-    """One row per document (``part`` null) and one row of packed keys per chunk and key range.
+def _documents(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """``id``, ``n`` and two hashes of the set of each document."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in W.chunks(batch, "__text"):
+                s = sets_of(chunk.column("__text"), n)
+                one, two = fingerprints(s)
+                yield pa.record_batch([chunk.column("__id"), pa.array(s.counts, pa.int64()), pa.array(one.view(np.int64)),
+                                       pa.array(two.view(np.int64))], ["id", "n", "node", "second"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
+    return rows.mapInArrow(run, "id long, n long, node long, second long")
+
+
+def _common_ngrams(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, n: int) -> np.ndarray:
+    """N-grams of several documents of a bounded, repeatable sample of different sets, ascending."""
+    chosen = classes.select(F.col("first").alias("__id")).where("__id IS NOT NULL").orderBy(F.xxhash64("__id"), "__id").limit(SAMPLE_DOCUMENTS)
+    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), "__id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in W.chunks(batch, "__text"):
+                yield pa.record_batch([pa.array(sets_of(chunk.column("__text"), n).items.view(np.int64))], ["item"])
+
+    found = (rows.mapInArrow(run, "item long").groupBy("item").agg(F.count("*").alias("k")).where(f"k >= {COMMON_FROM}")
+             .select("item").toPandas()["item"].to_numpy(np.int64))
+    return np.sort(found.view(_U))
+
+
+def _packed_keys(docs: DataFrame, text_col: str, n: int, percent: int, parts: int, common: np.ndarray) -> DataFrame:
+    """One row of packed keys per chunk and key range.
 
     A chunk sends one set per key on; where it holds more, they are marked as meeting already.
     """
     top = (64 - (parts - 1).bit_length()) if parts > 1 else 64
+    known = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in W.chunks(batch, "__text"):
                 s = sets_of(chunk.column("__text"), n)
-                one, two = fingerprints(s)
-                yield pa.record_batch([
-                    chunk.column("__id"), pa.array(s.counts, pa.int64()), pa.array(one.view(np.int64)),
-                    pa.array(two.view(np.int64)), pa.nulls(len(one), pa.int32()), pa.nulls(len(one), pa.binary()),
-                    pa.nulls(len(one), pa.binary())], names)
+                one, _ = fingerprints(s)
                 firsts = np.sort(np.unique(one, return_index=True)[1])
                 keep = np.zeros(len(one), bool)
                 keep[firsts] = True
                 inside = keep[s.rows]
                 counts = np.where(keep, s.counts, 0)
-                key, owner = keys_of(Sets(s.rows[inside], s.items[inside], counts), percent)
+                key, owner = keys_of(Sets(s.rows[inside], s.items[inside], counts), percent, known.value)
                 node = one[owner]
                 order = np.lexsort((node, key))
                 key, node = key[order], node[order]
@@ -215,15 +252,11 @@ def _prepare(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int,
                         h, m = slice(a, b), np.flatnonzero(shared[a:b]) + a
                         first = head[h]
                         rows.append((number, _pack(key[h][first], node[h][first]), _pack(key[m], node[m])))
-                none = [pa.nulls(len(rows), t) for t in (id_type, pa.int64(), pa.int64(), pa.int64())]
                 yield pa.record_batch([
-                    *none, pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()),
-                    pa.array([r[2] for r in rows], pa.binary())], names)
+                    pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()),
+                    pa.array([r[2] for r in rows], pa.binary())], ["part", "heads", "met"])
 
-    names = ["id", "n", "node", "second", "part", "heads", "met"]
-    id_type = pa.int64()
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
-    return rows.mapInArrow(run, "id long, n long, node long, second long, part int, heads binary, met binary")
+    return docs.select(F.col(text_col).alias("__text")).mapInArrow(run, "part int, heads binary, met binary")
 
 
 def _meet(packed: DataFrame, parts: int) -> DataFrame:
@@ -322,6 +355,30 @@ def _linked(tasks: DataFrame, percent: int, spanning: bool) -> DataFrame:
     return tasks.groupBy("cluster", "low", "high").applyInArrow(run, "a long, b long")
 
 
+def _tasks(wanted: DataFrame, percent: int) -> DataFrame:
+    """``node``, its ``block``, and each pair of blocks (``cluster``, ``low``, ``high``) that it takes part in.
+
+    Clusters of more than one block are cut by size first: linked sets lie in one band of sizes or in neighbours.
+    """
+    totals = wanted.groupBy("cluster").agg(F.count("*").alias("total"))
+    ratio = 1.01 * 100 / percent
+    band = F.when(F.col("total") <= BLOCK, F.lit(0)).otherwise(F.floor(F.log("n") / F.log(F.lit(ratio)))).cast("long")
+    placed = lookup_join(wanted.select("node", "cluster", "n"), totals, "cluster", "inner").select("node", "cluster", band.alias("band"))
+    blocks = placed.groupBy("cluster", "band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    around = blocks.select("cluster", "band", "blocks")
+    for name, step in (("below", 1), ("above", -1)):
+        other = blocks.select("cluster", (F.col("band") + step).alias("band"), F.col("blocks").alias(name))
+        around = around.join(other, ["cluster", "band"], "left")
+    number = lambda band, k: f"(({band}) * 1048576L + ({k}))"
+    own = number("band", "part")
+    pairs = (f"concat(transform(sequence(0L, blocks - 1), o -> struct({number('band', 'least(part, o)')} AS low, {number('band', 'greatest(part, o)')} AS high)),"
+             f" if(above > 0, transform(sequence(0L, above - 1), o -> struct({own} AS low, {number('band + 1', 'o')} AS high)), array()),"
+             f" if(below > 0, transform(sequence(0L, below - 1), o -> struct({number('band - 1', 'o')} AS low, {own} AS high)), array()))")
+    return (placed.join(around, ["cluster", "band"]).withColumn("part", F.expr("pmod(xxhash64(node), blocks)"))
+            .select("node", "cluster", F.expr(own).alias("block"), F.explode(F.expr(pairs)).alias("pair"))
+            .select("node", "cluster", "block", "pair.low", "pair.high"))
+
+
 class Join(NamedTuple):
     documents: DataFrame    # id, n, node (64-bit hash of the set): one row per input row
     classes: DataFrame      # node, n, first (smallest id), copies: one row per distinct set
@@ -342,23 +399,19 @@ def self_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     folder = Folder(spark)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     parts = 1 << (parts - 1).bit_length()
-    made = folder.kept(_prepare(docs, id_col, text_col, n, percent, parts))
-    documents = made.where("n IS NOT NULL").select("id", "n", "node", "second")
+    documents = folder.kept(_documents(docs, id_col, text_col, n))
     classes = folder.kept(documents.where("n > 0").groupBy("node", "second", "n").agg(
         F.min("id").alias("first"), F.count("*").alias("copies")))
-    met = folder.kept(_meet(made.where("part IS NOT NULL").select("part", "heads", "met"), parts))
+    common = _common_ngrams(docs, classes, id_col, text_col, n)
+    met = folder.kept(_meet(_packed_keys(docs, text_col, n, percent, parts, common), parts))
     if met.isEmpty():
         return Join(documents.drop("second"), classes.drop("second"), spark.createDataFrame([], "a long, b long"))
     clusters = components(met, folder).withColumnRenamed("component", "cluster")
-    wanted = folder.kept(clusters.join(classes, "node").select("node", F.col("first").alias("__first")))
+    wanted = folder.kept(clusters.join(classes, "node").select("node", "cluster", "n", F.col("first").alias("__first")))
     texts = docs.select(F.col(id_col).cast("long").alias("__first"), F.col(text_col).alias("__t"))
-    found = lookup_join(texts, wanted, "__first", "inner")
+    found = lookup_join(texts, wanted.select("node", "__first"), "__first", "inner")
     sets = folder.kept(_stored_sets(found, "__t", n))
-    blocks = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    placed = lookup_join(clusters, blocks, "cluster", "inner").select("node", "cluster", "blocks", F.expr("pmod(xxhash64(node), blocks)").alias("block"))
-    tasks = sets.join(placed, "node").select(
-        "cluster", "block", "node", "items", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other")).select(
-        "cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "items")
+    tasks = sets.join(_tasks(wanted, percent), "node")
     return Join(documents.drop("second"), classes.drop("second"), folder.kept(_linked(tasks, percent, spanning).distinct()))
 
 
