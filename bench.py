@@ -14,6 +14,7 @@ HEADLINE = (
     "scan_full", "scan_verdict", "scan_pages", "scan_dedup", "scan_hybrid", "sig_all", "pii_entities", "pii_redact",
     "pii_pseudo", "flt_guard", "flt_guard_ctx", "adm_outcome", "win_admit", "win_rate", "win_rate_hot",
     "win_latest_sub", "agg_usage_key", "agg_quota", "agg_pct", "agg_metrics", "snk_audit", "str_scan",
+    "req_pipeline", "signup_outcome",
 )
 RUNS = 3
 

@@ -55,8 +55,8 @@ def percentiles(df: DataFrame, col: str, ps: Sequence[int] = (50, 95, 99), by: S
     """Exact percentiles by the rule: element ``min(n - 1, floor(p * n / 100))`` of the sorted values.
 
     Values are counted first (combined before the shuffle), binned by their place between
-    minimum and maximum, and ranked by bin totals; only the bin that holds a percentile is
-    sorted.  No task sees all values of a group.  One row per group, columns ``p50, p95, ...``.
+    minimum and maximum on a logarithmic scale, which a few outliers don't distort, and ranked by
+    bin totals; only the bin that holds a percentile is sorted.  One row per group, columns ``p50, p95, ...``.
     """
     keys = list(by)
     groups = keys or ["__all"]
@@ -65,7 +65,10 @@ def percentiles(df: DataFrame, col: str, ps: Sequence[int] = (50, 95, 99), by: S
               .agg(F.count("*").alias("__k")))
     bounds = values.groupBy(*groups).agg(
         F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__k").alias("__n"))
-    share = (F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))
+    def scaled(c):
+        return F.signum(c) * F.log1p(F.abs(c))
+
+    share = (scaled("__v") - scaled("__lo")) / (scaled("__hi") - scaled("__lo"))
     bin_ = F.when(F.col("__hi") > F.col("__lo"), F.least(F.floor(share * BINS), F.lit(BINS - 1))).otherwise(0)
     binned = null_safe_join(values, bounds, groups).withColumn("__bin", bin_.cast("int"))
     totals = binned.groupBy(*groups, "__bin").agg(F.sum("__k").alias("__b"), F.first("__n").alias("__n"))

@@ -166,3 +166,11 @@ def test_process_requests_scans_only_what_is_admitted(spark):
     audit = flows.audit_of(done).collect()
     assert sorted((r.verdict, r.tier, r.user_id) for r in audit) == [("ANONYMIZED", "TEAM", "7"), ("BLOCKED", "FREE", None), ("CLEARED", "FREE", None)]
     assert {r.key_hash: r.request_count for r in flows.counters_of(done).collect()} == {sha("free"): 2, sha("paid"): 1}
+
+
+def test_percentiles_with_one_outlier(spark):
+    values = [float(k) for k in range(2000)] + [1e12, -5.0, 0.25]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = evaluate.percentiles(df, "v").first()
+    ranked = sorted(values)
+    assert [got.p50, got.p95, got.p99] == [ranked[min(len(ranked) - 1, p * len(ranked) // 100)] for p in (50, 95, 99)]
