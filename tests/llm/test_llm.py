@@ -212,6 +212,33 @@ def test_jaccard_groups_equal_brute_force(spark, seed, n, percent):
     assert {tuple(sorted((r.a, r.b))) for r in join.links.collect()} == {tuple(sorted((node[a], node[b]))) for a, b in links if node[a] != node[b]}
 
 
+def test_jaccard_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 6)
+    rows = near_copies(12, 300)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want, links = brute_groups(rows, 2, 70)
+    assert {r["id"]: (r["n"], r["component"]) for r in jaccard.grouped(df, n=2, percent=70).collect()} == want
+    join = jaccard.self_join(df, n=2, percent=70, spanning=False)
+    node = {r["id"]: r["node"] for r in join.documents.collect()}
+    assert {tuple(sorted((r.a, r.b))) for r in join.links.collect()} == {tuple(sorted((node[a], node[b]))) for a, b in links if node[a] != node[b]}
+
+
+def test_common_ngrams_change_no_result(spark):
+    rows = near_copies(21, 200)
+    s = jaccard.sets_of(pa.array([t for _, t in rows]), 3)
+    for common in (np.zeros(0, np.uint64), np.unique(s.items), np.unique(s.items)[::3]):
+        key, owner = jaccard.keys_of(s, 75, common)
+        met = collections.defaultdict(set)
+        for k, o in zip(key.tolist(), owner.tolist(), strict=True):
+            met[k].add(o)
+        pairs = {(a, b) for v in met.values() for a in v for b in v if a < b}
+        place = {i: k for k, (i, _) in enumerate(rows)}
+        one = jaccard.fingerprints(s)[0]
+        for a, b in brute_groups(rows, 3, 75)[1]:
+            a, b = sorted((place[a], place[b]))
+            assert one[a] == one[b] or (a, b) in pairs
+
+
 def test_jaccard_keys_meet_for_every_link():
     """The pigeonhole itself: any two sets within the bound share a key, over many sizes."""
     rng = np.random.default_rng(3)
