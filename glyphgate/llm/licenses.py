@@ -79,17 +79,18 @@ def own_licenses(files: DataFrame, known: DataFrame, min_cosine: float = MIN_COS
     vectors = vectors.join(norms, "t").select("t", "license", "term", (F.col("w") / F.col("norm")).alias("tw"))
 
     unseen = float(spark.range(1).select(F.log(F.lit(1 + n)) + 1).first()[0])
-    terms = _terms(statements(files), ["id", "path", "statement"], "statement")
+    # terms carry a hash of their statement, not its text
+    stated = statements(files).withColumn("u", F.xxhash64("id", "path", "statement"))
+    terms = _terms(stated, ["u"], "statement")
     # the templates' terms are few
     terms = terms.join(F.broadcast(rarity), "term", "left").select(
-        "id", "path", "statement", "term", ((1 + F.log("tf")) * F.coalesce("idf", F.lit(unseen))).alias("w"))
-    lengths = terms.groupBy("id", "path", "statement").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+        "u", "term", ((1 + F.log("tf")) * F.coalesce("idf", F.lit(unseen))).alias("w"))
+    lengths = terms.groupBy("u").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     # a statement's terms times the few templates that have the term
-    dots = (terms.join(F.broadcast(vectors), "term").groupBy("id", "path", "statement", "t", "license")
+    dots = (terms.join(F.broadcast(vectors), "term").groupBy("u", "t", "license")
             .agg(F.sum(F.col("w") * F.col("tw")).alias("dot")))
-    same = lengths.id.eqNullSafe(dots.id) & lengths.path.eqNullSafe(dots.path) & (lengths.statement == dots.statement)
-    found = lengths.join(dots, same).select(lengths.id, lengths.path, "license", F.round(F.col("dot") / F.col("norm"), 4).alias("cosine"))
-    best = found.where(F.col("cosine") >= min_cosine).groupBy("id", "path", "license").agg(F.max("cosine").alias("cosine"))
+    found = lengths.join(dots, "u").select("u", "license", F.round(F.col("dot") / F.col("norm"), 4).alias("cosine"))
+    best = found.where(F.col("cosine") >= min_cosine).join(stated.select("u", "id", "path"), "u").groupBy("id", "path", "license").agg(F.max("cosine").alias("cosine"))
     return best.groupBy("id", "path").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b")).select(
         "id", "path", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"))
 
