@@ -1,7 +1,7 @@
 """From raw documents to shards: quality rules, near-duplicate removal, decontamination, mixing, sharding.
 
 Each stage takes the documents that the one before has kept, as Parquet, and returns them with the same columns;
-the last one returns the shard and slot of each document.
+mixing keeps all and adds their place, and the last one returns the shard and slot of each document.
 """
 
 from __future__ import annotations
@@ -43,13 +43,13 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of the mix with tempered source weights, up to where the first source runs out."""
-    return mixing.mixed(docs)
+    """All documents, with their place ``mix_at`` in the mix with tempered source weights."""
+    return mixing.ordered(docs)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id``, ``size``, ``text_crc32``, ``shard``, ``slot``."""
-    return sharding.shard(docs, shards=SHARDS).withColumnRenamed("id", "doc_id")
+    """``doc_id``, ``size``, ``text_crc32``, ``shard``, ``slot``; slots follow the mix."""
+    return sharding.shard(docs, shards=SHARDS, order_col="mix_at").withColumnRenamed("id", "doc_id")
 
 
 STAGES = [

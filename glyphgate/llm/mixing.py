@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from glyphgate.llm.ranks import numbered
 from glyphgate.llm.work import Folder
+from glyphgate.operators.joins import lookup_join
 
 SCALE = 1000             # slots of a period, about: weights are rounded to that
 MAX_SOURCES = 10_000
@@ -124,3 +125,13 @@ def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, block_row
     stops = schedule(docs, weights, block_rows, id_col, source_col, temperature).stops.withColumnRenamed("source", "__source")
     rows = docs.withColumn("__source", _source(source_col)).join(F.broadcast(stops), "__source", "left")
     return rows.where(F.col("stop").isNull() | (_rank_key(id_col) < F.col("stop"))).select(*(docs[c] for c in docs.columns))
+
+
+def ordered(docs: DataFrame, weights: Mapping[str, float] | None = None, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id",
+            source_col: str = "source", temperature: float = TEMPERATURE, out: str = "mix_at") -> DataFrame:
+    """All rows of ``docs`` with ``out``, their place in the mix.  Rows of one id and source share the first one's place."""
+    found = schedule(docs, weights, block_rows, id_col, source_col, temperature).schedule
+    places = Folder(docs.sparkSession).kept(
+        found.groupBy(F.xxhash64("id", "source").alias("__place")).agg(F.min(F.col("slot") * block_rows + F.col("offset")).alias(out)))
+    rows = docs.withColumn("__place", F.xxhash64(id_col, _source(source_col)))
+    return lookup_join(rows, places, "__place").select(*docs.columns, out)

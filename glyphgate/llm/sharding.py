@@ -56,20 +56,23 @@ def smallest_capacity(sizes: list[tuple[int, int]], shards: int) -> int:
 
 
 def shard(docs: DataFrame, shards: int | None = None, capacity: int | None = None, id_col: str = "doc_id",
-          text_col: str = "text") -> DataFrame:
+          text_col: str = "text", order_col: str | None = None) -> DataFrame:
     """``id``, ``size``, ``text_crc32``, ``shard``, ``slot`` of each row of ``docs``.
 
     Give the capacity in bytes, and as few shards as best fit needs are filled; or the number of shards, and the least
     capacity that does is used.  A row's size is the bytes of its text and one more.  Rows of equal texts are a group and
     share a shard; a null text equals an empty one.  A group over the capacity is no longer indivisible: it is cut into
-    the fewest parts that fit.  Slots number the rows of a shard from 0.  Repeated rows have slots of their own.
+    the fewest parts that fit.  Slots number the rows of a shard from 0, by ``order_col`` (places from 0 on, nulls last) or
+    else by a hash.  Repeated rows have slots of their own.
     """
     if (shards is None) == (capacity is None):
         raise ValueError("give either shards or capacity")
     folder = Folder(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
+    kept = ["id", "size", "text_crc32", "__order"]
     rows = folder.kept(docs.select(
-        F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.col(id_col).alias("id"), F.lit(None).cast("long").alias("__order") if order_col is None else F.col(order_col).cast("long").alias("__order"),
+        (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text.cast("binary")).alias("__text")))
     groups = folder.kept(rows.groupBy("__text").agg(F.sum("size").alias("bytes"), F.max("size").alias("size")))
     total, longest, n = groups.agg(F.sum("bytes"), F.max("size"), F.count("*")).first()
@@ -80,8 +83,8 @@ def shard(docs: DataFrame, shards: int | None = None, capacity: int | None = Non
     # each of them holds over total / shards bytes, so they are fewer than the shards
     order = F.xxhash64("id", "__text")
     cut = numbered(rows.join(F.broadcast(large), "__text"), ["__text"], order, ["id"], "__at")
-    cut = cut.select("id", "size", "text_crc32", F.concat_ws("/", "__text", F.expr("__at div __each")).alias("__unit"))
-    whole = rows.join(F.broadcast(large), "__text", "left_anti").select("id", "size", "text_crc32", F.col("__text").alias("__unit"))
+    cut = cut.select(*kept, F.concat_ws("/", "__text", F.expr("__at div __each")).alias("__unit"))
+    whole = rows.join(F.broadcast(large), "__text", "left_anti").select(*kept, F.col("__text").alias("__unit"))
     rows = folder.kept(whole.unionByName(cut))
     shift = F.greatest(F.lit(0), F.floor(F.log2("bytes")).cast("int") - 12)
     step = F.expr("shiftleft(1L, __shift)")
@@ -92,7 +95,11 @@ def shard(docs: DataFrame, shards: int | None = None, capacity: int | None = Non
     capacity = max(capacity, sizes[0][0]) if capacity else smallest_capacity(sizes, shards)
     runs, _ = best_fit(sizes, capacity)
     placed = folder.kept(_placed(numbered(units, ["__class"], F.xxhash64("__unit"), ["__unit"], "__at"), runs))
-    return numbered(lookup_join(rows, placed, "__unit", "inner"), ["shard"], order_of_rows(), ["id", "size", "text_crc32"], "slot").select(
+    order = order_of_rows()
+    if order_col is not None:
+        last = (rows.agg(F.max("__order")).first()[0] or 0) + 1
+        order = F.shiftleft(F.coalesce("__order", F.lit(last)), 64 - last.bit_length())    # even in its leading bits, as numbered() wants
+    return numbered(lookup_join(rows, placed, "__unit", "inner"), ["shard"], order, ["id", "size", "text_crc32"], "slot").select(
         "id", "size", "text_crc32", "shard", "slot")
 
 
