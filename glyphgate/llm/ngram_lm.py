@@ -9,6 +9,7 @@ n-gram that occurs r times (looked up in the finished higher order) adds 1/r, so
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from collections.abc import Iterator
@@ -23,7 +24,7 @@ from pyspark.sql.types import StructType
 from glyphgate.llm import words as W
 from glyphgate.sources.sinks import work_dir
 
-ORDER = 2
+ORDER = 3
 CHUNK = 6 << 20
 _U = np.uint64
 START, END = _U(0x5851F42D4C957F2D), _U(0x14057B7EF767814F)
@@ -188,12 +189,20 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER, where: Co
         sent = rows.mapInArrow(_counter(k, order, parts, higher), "part int, blob binary")
         done = (sent.repartition(parts, "part").mapInArrow(_merger(f"{home.path}/{k}", fields, parts),
                                                            "part int, stats array<double>").collect())
+        del sent
+        _release(spark)
         stats[k] = np.sum([r["stats"] for r in done] or [[0.0] * 8], axis=0)
         found.insert(0, discounts([int(x) for x in stats[k][:4]]))
     s = stats[1]
     return Model(home.path, order, parts, int(s[5]), int(s[6]), (float(s[4]), float(s[0]), float(s[1]), float(s[7])), tuple(found))
 
 
+def _release(spark) -> None:
+    """Have Spark delete the shuffle files of a pass that is over; else they stay until the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _counter(k: int, order: int, parts: int, higher):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Table(*higher) if higher else None

@@ -596,3 +596,11 @@ def test_quote_statement_equals_spark_on_quoted_mail(spark, tmp_path):
     want = db.execute(f"SELECT {', '.join(columns)} FROM ({ORACLES['op5_chat_formatting']})").fetchall()
     assert sorted(map(repr, map(tuple, got.select(*columns).collect()))) == sorted(map(repr, want))
     assert got.where("parent_conv IS NOT NULL").count() > 20 and got.where("thread_id <> conv_id").count() > 5
+
+
+def test_registered_lm_scores_with_triples(spark):
+    rows = docs(spark)
+    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    got = {r.doc_id: r.score for r in QUERIES["op1_lm_scoring"](spark, SF).collect()}
+    for (i, _), (*_, score) in zip(rows, brute_lm([t for _, t in rows], train, 3), strict=True):
+        assert got[i] == pytest.approx(score)
