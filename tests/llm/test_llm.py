@@ -545,6 +545,18 @@ def test_mix_places_every_row(spark):
     assert mixing.schedule(df.where("false")).schedule.count() == 0 and mixing.mixed(df.where("false")).count() == 0
 
 
+def test_schedule_follows_exact_weights_for_any_number_of_sources():
+    for counts in ({"hot": 100_000} | {f"s{k}": 10_000 for k in range(20)}, {"hot": 1_000_000} | {f"s{k}": 400 for k in range(5000)},
+                   {f"s{k}": 1 + k % 40 for k in range(12_000)}):
+        weights = {s: n ** 0.7 for s, n in counts.items()}
+        blocks, known = {s: -(-n // 16) for s, n in counts.items()}, sum(weights.values())
+        places, ends = mixing.slots(blocks, weights)
+        assert sorted(np.concatenate([*places.values()])) == list(range(sum(blocks.values())))
+        for s in [*counts][:25]:
+            for t in range(0, ends[0] + 1, 7):
+                assert abs(np.searchsorted(places[s], t) - t * weights[s] / known) < 1.001
+
+
 # --- queries -------------------------------------------------------------------------
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
