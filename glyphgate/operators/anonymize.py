@@ -72,13 +72,73 @@ def pseudonyms(df: DataFrame, id_col: str, text_col: str,
         F.concat_ws("_", "type", F.col("__n").cast("string")).alias("pseudonym"))
 
 
-def substitute(df: DataFrame, id_col: str, text_col: str, entities: DataFrame, shown: str) -> DataFrame:
-    """Texts with each entity replaced by its ``shown`` column (a token or pseudonym).
+def _shown(found: str, shown: str, types: Sequence[personal_data.DataType]) -> Column:
+    """Spans whose value is replaced by ``shown``, SQL over the span ``x``, its number ``i`` and its type ``kind``."""
+    kind = personal_data._type_of("x.p", types)
+    return F.expr(f"transform({found}, (x, i) -> named_struct('s', x.s, 'e', x.e, 'p', x.p,"
+                  f" 'v', transform(array({kind}), kind -> {shown})[0]))")
 
-    Entities are gathered per text, which is bounded by the text itself; offsets are code points.
+
+def tokenize_texts(df: DataFrame, text_col: str = "text", types: Sequence[personal_data.DataType] | None = None,
+                   keyed: Keyed | None = None, out_col: str = "tokenized") -> DataFrame:
+    """Add the text with each value replaced by its token (as in :func:`tokens`); null where the text holds none.
+
+    Works row by row, nothing is shuffled.  ``keyed`` takes a list of values and gives the list of their hashes:
+    :func:`secret_hashes` or :func:`prefix_hashes`.
+    """
+    if keyed is None:
+        raise ValueError("tokens need a keyed hash: secret_hashes(spark, secret) or prefix_hashes(key)")
+    types = types or personal_data.data_types()
+    keep = [F.col(f"`{c}`") for c in df.columns]
+    found = personal_data.find(df, text_col, types)
+    kind = personal_data._type_of("x.p", types)
+    hashed = found.withColumn("__hashes", keyed(F.expr(f"transform(__found, x -> concat({kind}, ':', x.v))")))
+    spans = hashed.withColumn("__shown", _shown("__found", "concat(kind, '_', left(__hashes[i], 12))", types))
+    return spans.select(*keep, personal_data.replace_spans(text_col, "__shown", "x.v").alias(out_col))
+
+
+def secret_hashes(spark: SparkSession, secret: str | bytes) -> Keyed:
+    """HMAC-SHA256 of each value of a list, under a secret that stays out of the plan."""
+    key = spark.sparkContext.broadcast(secret.encode() if isinstance(secret, str) else bytes(secret))
+
+    @F.pandas_udf("array<string>")
+    def hashed(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda vs: [hmac.new(key.value, v.encode(), hashlib.sha256).hexdigest() for v in vs], na_action="ignore")
+
+    return hashed.asNondeterministic()
+
+
+def prefix_hashes(key: str) -> Keyed:
+    """SHA-256 after a public prefix of each value of a list; stable, but not secret."""
+    return lambda values: F.transform(values, lambda v: F.sha2(F.concat(F.lit(key + ":"), v), 256))
+
+
+def pseudonymize_texts(df: DataFrame, text_col: str = "text", types: Sequence[personal_data.DataType] | None = None,
+                       folder: str | None = None, out_col: str = "pseudonymized") -> DataFrame:
+    """Add the text with each value replaced by its pseudonym (as in :func:`pseudonyms`); null where the text holds none.
+
+    Values are numbered over the whole table without the texts: spans, types and hashes of each distinct text are
+    kept under the text's digest (with ``folder`` stored there, so that texts are scanned once), numbered by hash
+    bucket, and gathered per digest.  The numbers come back by a lookup join on the digest: where they fit, they
+    are broadcast and texts stay where they are; beyond that, texts are shuffled once, frequent ones spread.
     """
-    listed = entities.groupBy(id_col).agg(F.array_sort(F.collect_list(
-        F.struct(F.col("start").alias("s"), F.col("end").alias("e"), F.col(shown).alias("v")))).alias("__found"))
-    joined = df.select(id_col, text_col).join(listed, id_col, "left")
-    replaced = personal_data.replace_spans(text_col, "__found", "x.v")
-    return joined.select(id_col, F.coalesce(replaced, F.col(text_col)).alias(text_col))
+    types = types or personal_data.data_types()
+    keep = [F.col(f"`{c}`") for c in df.columns]
+    tagged = df.withColumn("__digest", F.sha2(F.col(f"`{text_col}`"), 256))
+    found = personal_data.find(tagged.select("__digest", F.col(f"`{text_col}`").alias("__text")), "__text", types)
+    narrow = (found.where(F.size("__found") > 0)
+              .select("__digest", _shown("__found", "concat(kind, ':', sha2(x.v, 256))", types).alias("__spans"))
+              .groupBy("__digest").agg(F.any_value("__spans").alias("__spans")))
+    if folder:
+        narrow.write.mode("errorifexists").parquet(folder)
+        narrow = df.sparkSession.read.parquet(folder)
+    rows = narrow.select("__digest", F.explode("__spans").alias("x")).select(
+        "__digest", "x.s", "x.e", "x.p", F.col("x.v").alias("__key"), F.split_part("x.v", F.lit(":"), F.lit(1)).alias("type"),
+        F.split_part("x.v", F.lit(":"), F.lit(2)).alias("__hash"))
+    numbers = running.dense_numbers(rows, "type", "__hash", "__n").select(
+        F.concat_ws(":", "type", "__hash").alias("__key"), "__n")
+    named = joins.lookup_join(rows, numbers, "__key")
+    listed = named.groupBy("__digest").agg(F.array_sort(F.collect_list(F.struct(
+        "s", "e", "p", F.concat_ws("_", "type", F.col("__n").cast("string")).alias("v")))).alias("__shown"))
+    joined = joins.lookup_join(tagged, listed, "__digest")
+    return joined.select(*keep, personal_data.replace_spans(text_col, "__shown", "x.v").alias(out_col))

@@ -52,6 +52,11 @@ def resolve_users(changes: DataFrame, customers: DataFrame, subs: DataFrame | No
             .withColumn("user_id", F.coalesce("__meta", "__known")).drop("__meta", "__known"))
 
 
+def position_columns(changes: DataFrame) -> list[str]:
+    """Order of changes in event time; of two forms of one event the one with the later known user comes last."""
+    return ["ts", "event_id", *(["user_at"] if "user_at" in changes.columns else [])]
+
+
 def latest_subscription(changes: DataFrame, order: str = "event") -> DataFrame:
     """Current state per subscription: per field the last value set, in event time (ties by event id).
 
@@ -60,7 +65,7 @@ def latest_subscription(changes: DataFrame, order: str = "event") -> DataFrame:
     cannot precede the creation, because the creation sets every field.
     ``order='arrival'`` takes the order of an ``arrival`` column instead.
     """
-    position = F.struct("ts", "event_id") if order == "event" else F.struct("arrival")
+    position = F.struct(*position_columns(changes)) if order == "event" else F.struct("arrival")
     user = F.col("user_id") if "user_id" in changes.columns else F.lit(None).cast("string")
 
     def last(col, only):

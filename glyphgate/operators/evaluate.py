@@ -94,6 +94,25 @@ def approx_percentiles(df: DataFrame, col: str, ps: Sequence[int] = (50, 95, 99)
         *[F.percentile_approx(F.col(col), p / 100, accuracy).alias(f"p{p}") for p in ps])
 
 
+SKETCH_SIZE = 2048     # one rank error in a hundred sketches exceeds about 2.3 / SKETCH_SIZE ** 0.9, 0.25 %
+
+
+def sketches(df: DataFrame, col: str, by: Sequence[str], k: int = SKETCH_SIZE) -> DataFrame:
+    """One mergeable quantile sketch (``sketch``, ``n``) per group, to be stored, say per day, and merged by any later query."""
+    value = F.col(col).cast("double")
+    return df.where(value.isNotNull() & ~F.isnan(value)).groupBy(*by).agg(
+        F.kll_sketch_agg_double(value, F.lit(k)).alias("sketch"), F.count("*").alias("n"))
+
+
+def sketch_percentiles(stored: DataFrame, ps: Sequence[int] = (50, 95, 99), by: Sequence[str] = (), k: int = SKETCH_SIZE) -> DataFrame:
+    """Percentiles ``p50, p95, ...`` and ``n`` of merged sketches, in any order of merging.
+
+    A value's share of smaller rows is off by at most about 0.25 % (for the default size, in 99 of 100 sketches).
+    """
+    merged = stored.groupBy(*by).agg(F.kll_merge_agg_double("sketch", F.lit(k)).alias("sketch"), F.sum("n").alias("n"))
+    return merged.select(*by, "n", *[F.kll_sketch_get_quantile_double("sketch", F.lit(p / 100)).alias(f"p{p}") for p in ps])
+
+
 def long_metrics(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """One-row result as ``(metric, value)`` rows."""
     pairs = ", ".join(f"'{n}', cast({n} AS double)" for n in names)

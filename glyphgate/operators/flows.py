@@ -59,3 +59,27 @@ def signup_outcomes(signups: DataFrame, free: DataFrame, ip: str = "client_ip",
     found = joins.lookup_join(staged, first, "__email")
     last = F.when(F.col("__first") == F.col(signup_id), "REGISTERED").otherwise("EXISTING")
     return found.withColumn("outcome", F.coalesce("__early", last)).drop("allowed", "__email", "__known", "__early", "__first")
+
+
+def demo_view(requests: DataFrame, input_col: str = "input", ip: str = "client_ip", ts: str = "ts", request_id: str = "request_id",
+              rate: tuple[int, int] = fixed.DEMO_RATE, max_bytes: int = fixed.DEMO_INPUT_LIMIT, as_of_year: int | None = None) -> DataFrame:
+    """The keyless demo: every request with ``outcome``, ``http_status``, ``remaining``, ``retry_after_s`` and the public view.
+
+    Checks run in this order: rate limit per address, a non-empty input, the size of the input; only inputs that pass are
+    scanned, and nothing but the public view of their report is shown.
+    """
+    limited = rates.rate_limit(requests.select(request_id, ts, ip), ip, ts, request_id, *rate).select(
+        request_id, F.col("allowed").alias("__allowed"), "remaining", "retry_after_s")
+    joined = requests.select(request_id, input_col).join(limited, request_id)
+    outcome = (F.when(~F.coalesce("__allowed", F.lit(True)), "RATE_LIMITED")
+               .when(~columns.is_valid_input(F.col(input_col)), "INVALID_INPUT")
+               .when(F.octet_length(input_col) > max_bytes, "INPUT_TOO_LARGE").otherwise("OK"))
+    judged = joined.withColumn("outcome", outcome).withColumn("http_status", F.when(F.col("outcome") == "OK", 200)
+        .when(F.col("outcome") == "RATE_LIMITED", 429).when(F.col("outcome") == "INPUT_TOO_LARGE", 413).otherwise(400))
+    shown = judged.withColumn("__text", F.when(F.col("outcome") == "OK", F.col(input_col)))
+    kept = ["outcome", "http_status", "remaining", "retry_after_s"]
+    scanned = scan(shown, request_id, "__text", keep=kept, as_of_year=as_of_year)
+    view = report.public_view(scanned, request_id, kept)
+    passed = F.col("outcome") == "OK"
+    return view.select(request_id, "outcome", "http_status", F.when(passed, F.col("remaining")).alias("remaining"), "retry_after_s",
+                       *[F.when(passed, F.col(c)).alias(c) for c in view.columns if c not in (request_id, *kept)])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 BROADCAST_BYTES = 64 << 20
@@ -60,3 +62,20 @@ def assert_unique(df: DataFrame, *keys: str) -> DataFrame:
     if not duplicate_keys(df, *keys).isEmpty():
         raise ValueError(f"more than one row for a value of {', '.join(keys)}")
     return df
+
+
+def repair(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """One row per key, and a report of the keys that had more (``rows``, ``dropped``).
+
+    The survivor is the first row in the order of ``order``, then of all other columns, so that it is the same
+    however the rows are dealt.  Rows with a null in a key stay, as in a unique index.  Rows are combined before
+    the shuffle, so a key with very many rows is no bottleneck.  Columns must be orderable.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    place = F.struct(*[F.col(f"`{c}`") for c in [*order, *[c for c in df.columns if c not in order]]])
+    known = F.lit(True)
+    for key in keys:
+        known = known & F.col(f"`{key}`").isNotNull()
+    grouped = df.where(known).groupBy(*keys).agg(F.min_by(whole, place).alias("__row"), F.count("*").alias("rows"))
+    kept = grouped.select("__row.*").unionByName(df.where(~known))
+    return kept, grouped.where("rows > 1").select(*keys, "rows", (F.col("rows") - 1).alias("dropped"))

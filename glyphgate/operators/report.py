@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -108,16 +109,16 @@ def data_label(type_: Column) -> Column:
     return F.coalesce(columns.lookup(fixed.PERSONAL_DATA_LABELS, type_), F.lit(fixed.UNKNOWN_PERSONAL_DATA_LABEL))
 
 
-def public_view(scanned: DataFrame, id_col: str) -> DataFrame:
+def public_view(scanned: DataFrame, id_col: str, keep: Sequence[str] = ()) -> DataFrame:
     """Report without internal ids: categories instead of signatures, labels instead of types."""
     staged = scanned.select(
-        id_col, "verdict", "confidence",
+        id_col, *keep, "verdict", "confidence",
         F.transform("signatures", signature_label).alias("categories_matched"),
         F.transform("entities", lambda e: F.struct(
             data_label(e["type"]).alias("category"), F.lit(fixed.ENTITY_ACTION).alias("action"))).alias("pii_entities"))
     fallback = F.when(F.col("verdict") == "CLEARED", fixed.NO_THREAT_LABEL).otherwise(fixed.UNKNOWN_SIGNATURE_LABEL)
     return staged.select(
-        id_col, "verdict",
+        id_col, *keep, "verdict",
         F.coalesce(F.get("categories_matched", 0), F.get("pii_entities", 0)["category"], fallback)
         .alias("primary_category"),
         "categories_matched", (F.size("pii_entities") > 0).alias("pii_detected"), "pii_entities", "confidence")

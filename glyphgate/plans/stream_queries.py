@@ -10,7 +10,7 @@ from glyphgate.plans import inputs, oracle, text_queries, usage_queries
 from glyphgate.plans.inputs import AS_OF_YEAR, derive, table
 from glyphgate.plans.registry import ORACLES, query
 from glyphgate.plans.scan import scan
-from glyphgate.sources import sinks
+from glyphgate.sources import sinks, upserts
 from glyphgate.streaming import jobs, rates
 
 
@@ -65,6 +65,18 @@ def str_usage(spark, sf_dir):
 
 @_same_as("str_rate", "win_rate")
 def str_rate(spark, sf_dir):
+    return _rated_stream(spark, sf_dir, usage_queries._IP_KEY, usage_queries.IP_LIMIT, usage_queries.IP_WINDOW)
+
+
+@_same_as("str_rate_hot", "win_rate_hot")
+def str_rate_hot(spark, sf_dir):
+    """One key that holds every request."""
+    return _rated_stream(spark, sf_dir, "'all'", 10, 3_600_000)
+
+
+@_same_as("str_rate_state", "win_rate")
+def str_rate_state(spark, sf_dir):
+    """The form with one state per active key."""
     path = sinks.work_dir(spark)
     log = stream(spark, sf_dir, "requests").select("request_id", "ts", F.expr(usage_queries._IP_KEY).alias("ip"))
     limited = rates.rate_limit_stream(log, "ip", "ts", "request_id", usage_queries.IP_LIMIT, usage_queries.IP_WINDOW)
@@ -72,17 +84,64 @@ def str_rate(spark, sf_dir):
     return usage_queries._rated(spark.read.parquet(f"{path}/out"))
 
 
+def _rated_stream(spark, sf_dir: str, key: str, limit: int, window: int) -> DataFrame:
+    path = sinks.work_dir(spark)
+    log = stream(spark, sf_dir, "requests").select("request_id", "ts", F.expr(key).alias("ip"))
+    finish(rates.rate_limit_batches(log, f"{path}/out", f"{path}/checkpoint", "ip", "ts", "request_id", limit, window, once=True))
+    return usage_queries._rated(rates.read_decisions(spark, f"{path}/out"))
+
+
+def _customer_records(spark, sf_dir: str) -> DataFrame:
+    """Records of odd customers as a stream: each comes 20 minutes after an event that creates a subscription."""
+    users = usage_queries.customer_users(spark, sf_dir)
+    created = stream(spark, sf_dir, "billing").where("type = 'customer.subscription.created' AND CAST(substr(customer, 5) AS INT) % 2 = 1")
+    seen = created.select(F.col("customer").alias("customer_id"), (F.col("ts") + F.expr("INTERVAL 20 MINUTES")).alias("seen_at"))
+    return seen.join(users, "customer_id")
+
+
 @_same_as("str_subscription", "win_latest_sub")
 def str_subscription(spark, sf_dir):
+    """Subscription state with users: even customers are known beforehand, records of odd ones come later."""
     path = sinks.work_dir(spark)
     events = stream(spark, sf_dir, "billing").selectExpr(
         "event_id", "ts", "type", "named_struct('id', id, 'customer', customer, 'subscription', subscription,"
         " 'status', status, 'price_id', price_id, 'current_period_end', current_period_end) AS object")
     changes = billing.subscription_changes(events, inputs.prices(spark))
-    finish(jobs.subscription_stream(changes, f"{path}/out", f"{path}/checkpoint", once=True))
-    state = jobs.read_subscriptions(spark, f"{path}/out")
-    return state.select("subscription_id", "customer_id", "status", "plan",
-                        F.coalesce(F.unix_seconds("current_period_end"), F.lit(-1)).cast("bigint").alias("period_end"))
+    known = usage_queries.customer_users(spark, sf_dir).where("CAST(substr(customer_id, 5) AS INT) % 2 = 0")
+    owned = jobs.with_late_users(changes, _customer_records(spark, sf_dir), known, usage_queries.subscribed_users(spark, sf_dir))
+    finish(jobs.subscription_stream(owned, f"{path}/out", f"{path}/checkpoint", once=True))
+    jobs.fold_subscriptions(spark, f"{path}/out")
+    return usage_queries.latest_columns(jobs.read_subscriptions(spark, f"{path}/out"))
+
+
+@query("str_scan_audit",
+       f"WITH {text_queries.REP}, audit_ AS ({usage_queries._AUDIT}) SELECT doc_id, report_id, user_id, verdict, verdict AS audit_verdict,"
+       " sha256, latency_ms, tier, strftime(created_at, '%Y-%m-%d') AS dt FROM audit_")
+def str_scan_audit(spark, sf_dir):
+    """Reports and audit rows of one scan of the stream, joined by report."""
+    path = sinks.work_dir(spark)
+    moment = F.expr("TIMESTAMP '2024-01-01 00:00:00' + make_interval(0, 0, 0, CAST(doc_id % 7 AS INT))")
+    scanned = report.with_ids(scan(stream(spark, sf_dir, "texts"), "doc_id", as_of_year=AS_OF_YEAR, keep_text=True), "doc_id", "text", moment)
+    finish(jobs.scan_audit_stream(
+        scanned.select("doc_id", "report_id", "verdict", "sha256", "anonymized_input"), f"{path}/reports", f"{path}/audit", f"{path}/checkpoint",
+        moment, once=True, user=F.concat(F.lit("u"), F.col("doc_id") % 10),
+        tier=F.when(F.col("doc_id") % 3 == 0, "GROWTH"), latency_ms=F.col("doc_id") % 13))
+    audit = spark.read.parquet(f"{path}/audit").select(
+        "report_id", "user_id", F.col("verdict").alias("audit_verdict"), "latency_ms", "tier", F.col("dt").cast("string").alias("dt"))
+    return (jobs.read_reports(spark, f"{path}/reports").select("doc_id", "report_id", "verdict", "sha256").join(audit, "report_id")
+            .select("doc_id", "report_id", "user_id", "verdict", "audit_verdict", "sha256", "latency_ms", "tier", "dt"))
+
+
+@_same_as("str_upsert", "snk_upsert")
+def str_upsert(spark, sf_dir):
+    """The upsert as a stream: status changes that a batch holds replace the rows of their subscriptions."""
+    path = sinks.work_dir(spark)
+    base, news = usage_queries.upsert_inputs(spark, sf_dir)
+    upserts.upsert_partitions(base, f"{path}/table", "subscription_id", "updated_at", buckets=8)
+    sinks.write_table(news, f"{path}/news")
+    updates = jobs.read_parquet_stream(spark, f"{path}/news", news.schema, files_per_batch=2)
+    finish(jobs.upsert_stream(updates, f"{path}/table", f"{path}/checkpoint", "subscription_id", "updated_at", buckets=8, once=True))
+    return upserts.read_upserted(spark, f"{path}/table").select("subscription_id", "status")
 
 
 @query("str_dedup", "SELECT event_id, type FROM billing")

@@ -212,9 +212,11 @@ def pii_profile(spark, sf_dir):
 
 
 @query("join_overlap",
-       f"WITH {', '.join(oracle.candidate_ctes(AS_OF_YEAR))}, every AS MATERIALIZED ({_ALL_CANDIDATES})"
+       f"WITH {', '.join(oracle.candidate_ctes(AS_OF_YEAR))}, every AS MATERIALIZED ({_ALL_CANDIDATES}),"
+       " cells AS MATERIALIZED (SELECT *, unnest(range(s // 64, (e - 1) // 64 + 1)) AS cell FROM every)"
        " SELECT a.doc_id, a.type AS l_type, a.s AS l_start, a.e AS l_end, b.type AS r_type, b.s AS r_start, b.e AS r_end"
-       " FROM every a JOIN every b ON a.doc_id = b.doc_id AND a.p < b.p AND a.s < b.e AND b.s < a.e")
+       " FROM cells a JOIN cells b ON a.doc_id = b.doc_id AND a.cell = b.cell AND a.p < b.p AND a.s < b.e AND b.s < a.e"
+       " AND a.cell = greatest(a.s, b.s) // 64")
 def join_overlap(spark, sf_dir):
     rows = personal_data.overlaps(texts(spark, sf_dir), "doc_id", types=types())
     return rows.withColumns({c: F.col(c).cast("bigint") for c in ("l_start", "l_end", "r_start", "r_end")})
@@ -222,6 +224,8 @@ def join_overlap(spark, sf_dir):
 
 _KEYED = "'k:' || type || ':' || v"
 _KEYED_VALUE = "type || ':' || v"
+_TOKEN_SQL = f"type || '_' || left({oracle.hmac(SECRET, _KEYED_VALUE)}, 12)"
+_PSEUDO_SQL = "type || '_' || k"
 
 
 @query("pii_tokenize",
@@ -246,6 +250,22 @@ def pii_pseudo(spark, sf_dir):
                        F.col("end").cast("bigint").alias("end"), "pseudonym")
 
 
+@query("pii_tokenize_text", f"WITH {ENTS}, {oracle.redacted_cte(shown=_TOKEN_SQL)} SELECT doc_id, redacted AS tokenized FROM clean")
+def pii_tokenize_text(spark, sf_dir):
+    """Texts with a keyed token in place of each value."""
+    out = anonymize.tokenize_texts(texts(spark, sf_dir), types=types(), keyed=anonymize.secret_hashes(spark, SECRET))
+    return out.where("tokenized IS NOT NULL").select("doc_id", "tokenized")
+
+
+@query("pii_pseudo_text",
+       f"WITH {ENTS}, numbered AS (SELECT *, dense_rank() OVER (PARTITION BY type ORDER BY sha256(v)) AS k FROM ents),"
+       f" {oracle.redacted_cte(shown=_PSEUDO_SQL).replace('FROM ents', 'FROM numbered')} SELECT doc_id, redacted AS pseudonymized FROM clean")
+def pii_pseudo_text(spark, sf_dir):
+    """Texts with a pseudonym, numbered over all texts, in place of each value."""
+    out = anonymize.pseudonymize_texts(texts(spark, sf_dir), types=types(), folder=sinks.work_dir(spark))
+    return out.where("pseudonymized IS NOT NULL").select("doc_id", "pseudonymized")
+
+
 # --- scan and report -------------------------------------------------------------------
 
 @query("scan_verdict", f"WITH {REP} SELECT verdict, count(*) AS texts FROM rep GROUP BY verdict")

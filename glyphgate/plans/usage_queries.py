@@ -9,7 +9,7 @@ from glyphgate.operators import admission, billing, evaluate, flows, joins, rate
 from glyphgate.plans import inputs, oracle, text_queries
 from glyphgate.plans.inputs import MONTH, derived, table
 from glyphgate.plans.registry import query
-from glyphgate.sources import sinks
+from glyphgate.sources import sinks, upserts
 
 TEST_LIMIT = 20          # small, so that quotas bite on the test log
 IP_WINDOW, IP_LIMIT = 6 * 3_600_000, 3
@@ -200,11 +200,8 @@ def join_semi_sub(spark, sf_dir):
        f" FROM ({_CHANGES}) e LEFT JOIN customer c ON e.customer_id = 'cus_' || c.c_custkey"
        " LEFT JOIN subs s ON s.customer_id = e.customer_id")
 def join_user(spark, sf_dir):
-    customers = table(spark, sf_dir, "customer").selectExpr(
-        "concat('cus_', c_custkey) AS customer_id", "CASE WHEN c_nationkey < 12 THEN concat('u', c_custkey) END AS user_id")
-    earlier = derived(spark, sf_dir, "subs").selectExpr(
-        "customer_id", "concat('s', user_id) AS user_id", "TIMESTAMP '2024-01-01 00:00:00' AS updated_at")
-    return billing.resolve_users(changes(spark, sf_dir), customers, earlier).select("event_id", "user_id")
+    owned = billing.resolve_users(changes(spark, sf_dir), customer_users(spark, sf_dir), subscribed_users(spark, sf_dir))
+    return owned.select("event_id", "user_id")
 
 
 @query("chk_unique", "SELECT email, count(*) AS n FROM signups WHERE email IS NOT NULL GROUP BY email HAVING count(*) > 1")
@@ -369,18 +366,41 @@ def signup_outcome(spark, sf_dir):
     return flows.signup_outcomes(derived(spark, sf_dir, "signups"), inputs.free_keys(spark, sf_dir)).select("signup_id", "outcome")
 
 
-@query("win_latest_sub",
-       f"WITH ch AS ({_CHANGES}), made AS (SELECT subscription_id FROM ch WHERE creates GROUP BY 1)"
-       " SELECT subscription_id, arg_max(customer_id, (ts, event_id)) FILTER (creates) AS customer_id,"
-       " arg_max(status, (ts, event_id)) AS status, arg_max(plan, (ts, event_id)) FILTER (sets_plan) AS plan,"
-       " arg_max(coalesce(period, -1), (ts, event_id)) FILTER (sets_plan) AS period_end FROM ch"
-       " WHERE subscription_id IN (SELECT subscription_id FROM made) GROUP BY subscription_id")
-def win_latest_sub(spark, sf_dir):
-    state = billing.latest_subscription(changes(spark, sf_dir))
-    return state.select("subscription_id", "customer_id", "status", "plan",
+_CUSTOMER_USERS = "SELECT 'cus_' || c_custkey AS customer_id, 'u' || c_custkey AS meta FROM customer WHERE c_nationkey < 12"
+LATEST_SQL = (
+    f"WITH ch AS ({_CHANGES}), made AS (SELECT subscription_id FROM ch WHERE creates GROUP BY 1), cu AS ({_CUSTOMER_USERS}),"
+    " known AS (SELECT customer_id, max('s' || user_id) AS other FROM subs GROUP BY 1),"
+    " state AS (SELECT subscription_id, arg_max(customer_id, (ts, event_id)) FILTER (creates) AS customer_id,"
+    " arg_max(status, (ts, event_id)) AS status, arg_max(plan, (ts, event_id)) FILTER (sets_plan) AS plan,"
+    " arg_max(coalesce(period, -1), (ts, event_id)) FILTER (sets_plan) AS period_end FROM ch"
+    " WHERE subscription_id IN (SELECT subscription_id FROM made) GROUP BY subscription_id)"
+    " SELECT subscription_id, customer_id, coalesce(meta, other) AS user_id, status, plan, period_end"
+    " FROM state LEFT JOIN cu USING (customer_id) LEFT JOIN known USING (customer_id)")
+
+
+def customer_users(spark, sf_dir) -> DataFrame:
+    """Users that customer records name."""
+    return table(spark, sf_dir, "customer").where("c_nationkey < 12").selectExpr(
+        "concat('cus_', c_custkey) AS customer_id", "concat('u', c_custkey) AS user_id")
+
+
+def subscribed_users(spark, sf_dir) -> DataFrame:
+    """Users of earlier subscriptions."""
+    return derived(spark, sf_dir, "subs").selectExpr(
+        "customer_id", "concat('s', user_id) AS user_id", "TIMESTAMP '2024-01-01 00:00:00' AS updated_at")
+
+
+def latest_columns(state: DataFrame) -> DataFrame:
+    return state.select("subscription_id", "customer_id", "user_id", "status", "plan",
                         F.coalesce(F.unix_seconds("current_period_end"), F.lit(-1)).cast("bigint").alias("period_end"))
 
 
+@query("win_latest_sub", LATEST_SQL)
+def win_latest_sub(spark, sf_dir):
+    owned = billing.resolve_users(changes(spark, sf_dir), customer_users(spark, sf_dir), subscribed_users(spark, sf_dir))
+    return latest_columns(billing.latest_subscription(owned))
+
+
 def _rate_sql(key: str, limit: int, window: int) -> str:
     return (
         f"WITH o AS (SELECT request_id, {key} AS k, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY {key}"
@@ -487,11 +507,18 @@ def srt_recent(spark, sf_dir):
        " SELECT coalesce(n.subscription_id, b.id) AS subscription_id, coalesce(n.status, b.status) AS status"
        " FROM news n FULL JOIN (SELECT 'sub_' || user_id AS id, status FROM subs) b ON b.id = n.subscription_id")
 def snk_upsert(spark, sf_dir):
+    """Updates into a table of key-hash partitions: the partitions they touch are rewritten."""
+    path = sinks.work_dir(spark)
+    base, news = upsert_inputs(spark, sf_dir)
+    for rows in (base, news):
+        upserts.upsert_partitions(rows, path, "subscription_id", "updated_at", buckets=8)
+    return upserts.read_upserted(spark, path).select("subscription_id", "status")
+
+
+def upsert_inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     base = derived(spark, sf_dir, "subs").selectExpr(
         "concat('sub_', user_id) AS subscription_id", "status", "TIMESTAMP '2023-12-31 00:00:00' AS updated_at")
-    news = billing.latest_subscription(changes(spark, sf_dir)).select(*base.columns)
-    merged = billing.upsert(base, news, "subscription_id", "updated_at")
-    return sinks.write_table(merged, sinks.work_dir(spark)).select("subscription_id", "status")
+    return base, billing.latest_subscription(changes(spark, sf_dir)).select(*base.columns)
 
 
 _METRICS = ("tp", "fp", "tn", "fn", "precision", "recall", "f1", "accuracy")

@@ -43,6 +43,12 @@ def write_audit(rows: DataFrame, path: str) -> None:
      .write.mode("append").partitionBy("dt").parquet(path))
 
 
+def write_audit_batch(rows: DataFrame, path: str, run: str, number: int) -> None:
+    """Audit rows of one micro-batch, partitioned by day, query and batch; the same batch replaces its own partitions."""
+    (rows.select(*AUDIT_COLUMNS, F.to_date("created_at").alias("dt"), F.lit(run).alias("run"), F.lit(number).alias("batch"))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt", "run", "batch").parquet(path))
+
+
 def write_table(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
     """Write a new version of a table to a fresh path and read it back from there."""
     writer = df.write.mode("errorifexists")

@@ -12,9 +12,10 @@ from glyphgate.plans.scan import scan
 def register_functions(spark: SparkSession, as_of_year: int | None = None) -> None:
     """Temporary SQL functions; the optimizer inlines their expressions.
 
-    ``mask_value(v)``, ``sig_confidence(hits)``, ``sig_list(text)`` and ``pii_entities(text)``;
-    entity rows are ``SELECT id, inline(e) FROM (SELECT id, pii_entities(text) AS e FROM t)``.  For large
-    scans :func:`glyphgate.scan` is the faster form: it stages shared work.
+    ``mask_value(v)``, ``sig_confidence(hits)``, ``sig_list(text)`` and ``pii_entities(text)``, and the table
+    functions ``pii_rows(text)`` and ``sig_rows(text)``: ``SELECT id, r.* FROM t, LATERAL pii_rows(t.text) AS r`` gives
+    the entities as rows with their ordinal, without leaving the JVM.  For large scans :func:`glyphgate.scan` is the
+    faster form: it stages shared work.
     """
     ids = ", ".join(columns.sql_string(s.id) for s in integrity.SIGNATURES if s.layer == "structural")
     found = "array<struct<type:string,value:string,start:int,end:int>>"
@@ -27,6 +28,14 @@ def register_functions(spark: SparkSession, as_of_year: int | None = None) -> No
     }
     for head, body in functions.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
+    tables = {
+        "pii_rows(text STRING) RETURNS TABLE (ordinal INT, type STRING, value STRING, start INT, end INT)":
+            f"SELECT pos + 1, x.type, x.value, x.start, x.end FROM (SELECT posexplode({functions[f'pii_entities(text STRING) RETURNS {found}']}) AS (pos, x))",
+        "sig_rows(text STRING) RETURNS TABLE (ordinal INT, signature STRING)":
+            f"SELECT pos + 1, x FROM (SELECT posexplode({functions['sig_list(text STRING) RETURNS ARRAY<STRING>']}) AS (pos, x))",
+    }
+    for head, body in tables.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
 
 
 def register_scan(df: DataFrame, view: str, id_col: str, text_col: str = "text", **options) -> DataFrame:
