@@ -34,7 +34,7 @@ __all__ = ["CoverTree", "mine"]
 
 BLOCK = 4096          # candidates of one tree
 ANCHORS = 1024        # anchors of one group, on average
-LEAF = 64             # rows of a part that is verified without going further down
+LEAF = 256            # rows of a part that is verified without going further down
 SCALE = 1.3           # radius of a level against that of the next
 MIXED = -1            # mark of a subtree with several labels
 
@@ -56,30 +56,30 @@ class CoverTree:
         plain = vectors.astype(np.float64)
         square = (plain * plain).sum(1)
         points = np.concatenate([plain, np.sqrt(square.max(initial=0) - square)[:, None]], 1)
-        near = self._distance(points, points[0])
+        # all points have one norm, so a product gives a distance; radii are measured exactly below
+        twice = 2 * float(square.max(initial=0))
+        near = self._distance(points, points[0], twice)
         radius = max(float(near.max(initial=0)), 1.0)
         level, parent = np.zeros(n, np.int64), np.full(n, -1)
         nearest, covered = np.zeros(n, np.int64), np.zeros(n, np.int64)   # nearest centre now, and when the level began
         now, order = 0, [0]
-        taken = np.zeros(n, bool)
-        taken[0] = True
+        near[0] = -1.0
         for _ in range(n - 1):
-            far = int(np.argmax(np.where(taken, -1.0, near)))
+            far = int(np.argmax(near))
             at = 1 + int(np.floor(np.log(radius / max(float(near[far]), 1e-9)) / np.log(SCALE)))
             if at > now:
                 now, covered = at, nearest.copy()
             level[far], parent[far] = at, covered[far]
-            taken[far] = True
             order.append(far)
-            away = self._distance(points, points[far])
+            away = self._distance(points, points[far], twice)
             closer = away < near
             nearest[closer], near[closer] = far, away[closer]
+            near[far] = -1.0
         self._lay_out(points, level, parent, order)
 
     @staticmethod
-    def _distance(points, centre):
-        gap = points - centre
-        return np.sqrt(np.einsum("ij,ij->i", gap, gap))
+    def _distance(points, centre, twice):
+        return np.sqrt(np.maximum(twice - 2 * (points @ centre), 0))
 
     def _lay_out(self, points, level, parent, order):
         n = len(points)
@@ -130,17 +130,19 @@ class CoverTree:
         self.rest = np.array(rest, np.float64)
 
 
-def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Integer inner products of the rows of two matrices of integers."""
-    bound = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
-    if bound < 1 << 53:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    if bound < 1 << 63:
-        return a.astype(np.int64) @ b.astype(np.int64).T
-    exact = a.astype(object) @ b.astype(object).T
-    if exact.size and max(abs(x) for x in exact.ravel()) >= 1 << 63:
-        raise OverflowError("an inner product exceeds 63 bits")
-    return exact.astype(np.int64)
+class _Products:
+    """Integer inner products of the rows of a matrix with a query: in doubles while they are exact there."""
+
+    def __init__(self, matrix: np.ndarray, queries: np.ndarray):
+        bound = float(np.abs(matrix).max(initial=0)) * float(np.abs(queries).max(initial=0)) * matrix.shape[1]
+        self.kind = np.float64 if bound < 1 << 53 else np.int64 if bound < 1 << 63 else object
+        self.matrix, self.queries = matrix.astype(self.kind), queries.astype(self.kind)
+
+    def of(self, k: int, at: np.ndarray) -> np.ndarray:
+        out = self.matrix[at] @ self.queries[k]
+        if self.kind is object and len(out) and max(map(abs, out)) >= 1 << 63:
+            raise OverflowError("an inner product exceeds 63 bits")
+        return out.astype(np.int64)
 
 
 class _Best:
@@ -160,19 +162,20 @@ class _Best:
 class _Search:
     """Best-first descents in the tree of one block."""
 
-    def __init__(self, tree: CoverTree, vectors: np.ndarray, labels: np.ndarray, ranks: np.ndarray):
-        self.tree, self.vectors, self.labels, self.ranks = tree, vectors, labels, ranks
+    def __init__(self, tree: CoverTree, vectors: np.ndarray, queries: np.ndarray, labels: np.ndarray, ranks: np.ndarray):
+        self.tree, self.labels, self.ranks, self.products = tree, labels, ranks, _Products(vectors, queries)
+        self.norms = np.sqrt((queries.astype(np.float64) ** 2).sum(1))
         change = np.concatenate([[0], np.cumsum(labels[1:] != labels[:-1])])
         last = np.arange(len(labels)) + tree.size - 1
         self.pure = np.where(change[last] == change, labels, MIXED)   # the one label of a subtree
         self.centres = np.flatnonzero(tree.first >= 0)
         self.visited = 0
 
-    def fill(self, query: np.ndarray, label: int, same: bool, but: np.ndarray, windows: list[_Best]) -> None:
-        """Fill windows with rows of the label (or, if not ``same``, of the others), without the places ``but``."""
-        tree, norm = self.tree, float(np.sqrt((query.astype(np.float64) ** 2).sum()))
-        scores = np.zeros(len(self.vectors), np.int64)
-        scores[self.centres] = _products(query, self.vectors[self.centres])[0]
+    def fill(self, k: int, label: int, same: bool, but: np.ndarray, windows: list[_Best]) -> None:
+        """Fill the windows of query ``k`` with rows of the label (or, if not ``same``, of the others), without the places ``but``."""
+        tree, norm = self.tree, float(self.norms[k])
+        scores = np.zeros(len(self.labels), np.int64)
+        scores[self.centres] = self.products.of(k, self.centres)
         wanted = (self.labels == label) == same
         wanted[but] = False
 
@@ -180,9 +183,12 @@ class _Search:
             at = at[wanted[at]]
             self.visited += len(at)
             if len(at):
-                exact, ranks = _products(query, self.vectors[at])[0], self.ranks[at]
-                for w in windows:
-                    w.add(exact, ranks)
+                exact = self.products.of(k, at)
+                fit = np.flatnonzero((exact >= min(w.floor for w in windows)) & (exact <= max(w.high for w in windows)))
+                if len(fit):
+                    exact, ranks = exact[fit], self.ranks[at[fit]]
+                    for w in windows:
+                        w.add(exact, ranks)
 
         def open_(high, low):
             return any(high >= w.floor and low <= w.high for w in windows)
@@ -216,8 +222,10 @@ class _Search:
         high = np.where(size > 1, scores[small] + slack, np.inf)
         low = np.where(size > 1, scores[small] - slack, -np.inf)
         order = np.argsort(-high, kind="stable")
-        for k in range(0, len(order), 4 * LEAF):
-            some = order[k:k + 4 * LEAF]
+        k, step = 0, 4 * LEAF
+        while k < len(order):
+            some = order[k:k + step]
+            k, step = k + step, 4 * step          # the first ones raise the windows' floors for the rest
             open_ = np.zeros(len(some), bool)
             for w in windows:
                 open_ |= (high[some] >= w.floor) & (low[some] <= w.high)
@@ -284,13 +292,13 @@ def _found(anchors: DataFrame, trees: DataFrame, same: bool, count: int, low: in
             ranks = np.empty(len(by_rank), np.int64)
             ranks[by_rank] = np.arange(len(by_rank))
             codes = {label: k for k, label in enumerate(dict.fromkeys(labels.to_pylist()))}
-            search = _Search(tree, vectors, np.array([codes[x] for x in labels.to_pylist()]), ranks)
+            search = _Search(tree, vectors, queries, np.array([codes[x] for x in labels.to_pylist()]), ranks)
             place = rows.to_numpy()
             for k, (row, label, scores) in enumerate(zip(*(asked.column(c).to_pylist() for c in ("row", "label", "scores")), strict=True)):
                 windows = ([_Best(-1 << 63, (1 << 63) - 1, count)] if scores is None
                            else [_Best(-(-low * s // 100), high * s // 100, count) for s in scores])
                 if windows:
-                    search.fill(queries[k:k + 1], codes.get(label, MIXED - 1), same, place == row, windows)
+                    search.fill(k, codes.get(label, MIXED - 1), same, place == row, windows)
                 out += ((row, w, -score, int(by_rank[rank])) for w, best in enumerate(windows) for score, rank in best.rows)
             chosen = pa.array([o[3] for o in out], pa.int64())
             ids, rows = ids.take(chosen), rows.take(chosen)

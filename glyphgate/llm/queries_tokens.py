@@ -12,7 +12,8 @@ from glyphgate.llm.work import Folder
 def op11_token_files(spark, sf_dir):
     folder = Folder(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = folder.kept(token_files.encode(docs, public_tokenizers.path("byte_bpe_50k.json")))
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    encoded = folder.kept(token_files.encode(docs, vocabulary, packed=True))
     path = f"{folder.path}/files"
     token_files.write(encoded, path)
     rows = token_files.read(spark, path, docs.schema["doc_id"].dataType)

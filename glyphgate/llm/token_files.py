@@ -31,8 +31,8 @@ __all__ = ["documents", "encode", "manifest", "read", "token_range", "write"]
 
 SEGMENT = 256 << 10        # characters of a text that are taken at once
 JOINED = 2048              # characters of new pieces that are encoded as one text
-KNOWN = 1 << 18            # pieces whose ids a task remembers
-TOKENS_PER_FILE = 64 << 20
+KNOWN = 1 << 19            # pieces whose ids a task remembers
+TOKENS_PER_FILE = 16 << 20
 ROW_GROUP_BYTES = 32 << 20
 ROW_GROUP_ROWS = 1 << 16
 PAGE_BYTES = 256 << 10
@@ -41,7 +41,15 @@ FILE_COLUMNS = "part int, at long, until long, n_tokens int, ids array<int>"
 # a character that is no white space under any definition
 _SOLID = r"[^\s\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u206f\u3000\ufeff]"
 _CUT = re.compile(rf"(?<={_SOLID})(?= {_SOLID})")
-_ENDS_SOLID = re.compile(rf"(?s).*{_SOLID}\Z")
+# white space and controls but for the two that are looked at alone
+_RARE = re.compile(r"[\x00-\x09\x0b-\x1f\x7f-\xa0\u1680\u180e\u2000-\u206f\u3000\ufeff]")
+
+
+def _pieces(text: str) -> list[str]:
+    """The text cut before each single space between two solid characters."""
+    if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or _RARE.search(text):
+        return _CUT.split(text)
+    return text.replace(" ", "\0 ").split("\0")      # here every space is one
 
 
 def segments(text: str, limit: int = SEGMENT) -> Iterator[str]:
@@ -73,39 +81,47 @@ class _Coder:
         return [np.array(e.ids, "<i4") for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
-        """Remember pieces; those that begin with a space and end solid are encoded end to end."""
-        groups, alone, size = [[]], [], 0
+        """Remember pieces that begin with a space and end solid; they are encoded end to end."""
+        groups, size = [[]], 0
         for piece in new:
-            if piece[:1] != " " or not _ENDS_SOLID.match(piece):
-                alone.append(piece)
-                continue
-            if size + len(piece) > JOINED and groups[-1]:
+            if size > JOINED:
                 groups.append([])
                 size = 0
             groups[-1].append(piece)
             size += len(piece)
-        for group, ids in zip(groups, self._plain(["".join(g) for g in groups]), strict=True):
-            ends = np.cumsum([len(p.encode()) for p in group])
+        texts = ["".join(g) for g in groups]
+        for group, text, ids in zip(groups, texts, self._plain(texts), strict=True):
+            ends = np.cumsum(list(map(len, group)) if text.isascii() else [len(p.encode()) for p in group])
             reached = np.cumsum(self.bytes[ids])
             stops = np.searchsorted(reached, ends) + 1
-            if len(group) and (stops[-1] != len(ids) or (reached[stops - 1] != ends).any()):
-                alone += group
+            if stops[-1] != len(ids) or (reached[stops - 1] != ends).any():
+                self.known.update(zip(group, (i.tobytes() for i in self._plain(group)), strict=True))
                 continue
-            begin = 0
-            for piece, stop in zip(group, stops.tolist(), strict=True):
-                self.known[piece] = ids[begin:stop].tobytes()
-                begin = stop
-        for piece, ids in zip(alone, self._plain(alone), strict=True):
-            self.known[piece] = ids.tobytes()
+            raw, at = ids.tobytes(), [0, *(4 * stops).tolist()]
+            self.known.update(zip(group, (raw[i:j] for i, j in zip(at, at[1:])), strict=True))
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        cut = [_CUT.split(t) for t in texts]
+        cut = [_pieces(t) for t in texts]
         if len(self.known) > KNOWN:
             for piece in list(islice(self.known, KNOWN // 2)):
                 del self.known[piece]
-        if new := [p for p in dict.fromkeys(chain.from_iterable(cut)) if p not in self.known]:
-            self._learn(new)
-        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
+        inner = {*chain.from_iterable(p[1:-1] for p in cut)} - self.known.keys()
+        if inner:
+            self._learn(list(inner))
+        # a text's first piece may begin without a space, its last one may end in white space
+        edges = self._plain([x for p in cut for x in (p[0], p[-1] if len(p) > 1 else "")])
+        known = self.known
+        return [b"".join([edges[2 * k].tobytes(), *[known[x] for x in p[1:-1]], edges[2 * k + 1].tobytes()]) for k, p in enumerate(cut)]
+
+
+_CODERS: dict[str, _Coder] = {}
+
+
+def _coder(tokenizer: str) -> _Coder:
+    """One per worker process: its memory serves the tasks that follow, too."""
+    if tokenizer not in _CODERS:
+        _CODERS[tokenizer] = _Coder(tokenizer)
+    return _CODERS[tokenizer]
 
 
 def _groups(texts: list[str]) -> Iterator[tuple[list[str], list[int]]]:
@@ -123,16 +139,18 @@ def _groups(texts: list[str]) -> Iterator[tuple[list[str], list[int]]]:
         yield group, owner
 
 
-def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0,
+           packed: bool = False) -> DataFrame:
     """``id``, ``n_tokens`` and ``ids`` of each row: the text's ids without special ones added, then ``end_id``.
 
-    ``tokenizer`` is a file of the tokenizers library that every executor can open.
+    ``tokenizer`` is a file of the tokenizers library that every executor can open.  ``packed`` gives the ids as
+    little-endian 32-bit bytes, which cost less on their way to :func:`write`.
     """
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        coder = _Coder(tokenizer)
+        coder = _coder(tokenizer)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             parts, counts = [], np.zeros(len(texts), np.int64)
@@ -142,13 +160,25 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 parts += coded
             at = np.concatenate([[0], np.cumsum(counts)])
             flat = np.insert(np.frombuffer(b"".join(parts), "<i4"), at[1:], end_id)
-            offsets = pa.array(at + np.arange(len(at)), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts + 1, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))],
-                names=["id", "n_tokens", "ids"])
+            offsets = (at + np.arange(len(at))).astype(np.int32)
+            if packed:
+                ids = pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(4 * offsets), pa.py_buffer(flat.astype("<i4"))])
+            else:
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts + 1, pa.int32()), ids], names=["id", "n_tokens", "ids"])
 
     return (docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-            .mapInArrow(run, schema("n_tokens int, ids array<int>", id=kind)))
+            .mapInArrow(run, schema(f"n_tokens int, ids {'binary' if packed else 'array<int>'}", id=kind)))
+
+
+def _lists(ids: pa.Array) -> pa.Array:
+    """Ids as lists, from lists or packed bytes."""
+    if pa.types.is_list(ids.type) or pa.types.is_large_list(ids.type):
+        return ids
+    _, offsets, data = ids.cast(pa.large_binary()).buffers()
+    at = np.frombuffer(offsets, np.int64)[ids.offset:ids.offset + len(ids) + 1]
+    flat = np.frombuffer(data, np.uint8)[at[0]:at[-1]].view("<i4")
+    return pa.ListArray.from_arrays(pa.array((at - at[0]) // 4, pa.int32()), pa.array(flat, pa.int32()))
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +188,7 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = at + np.cumsum(n)
         yield pa.RecordBatch.from_arrays(
             [batch.column("id"), pa.array(np.full(len(n), part, np.int32)), pa.array(ends - n), pa.array(ends),
-             batch.column("n_tokens"), batch.column("ids")], names=["id", "part", "at", "until", "n_tokens", "ids"])
+             batch.column("n_tokens"), _lists(batch.column("ids"))], names=["id", "part", "at", "until", "n_tokens", "ids"])
         at = int(ends[-1]) if len(n) else at
 
 

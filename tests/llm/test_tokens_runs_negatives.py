@@ -318,11 +318,10 @@ def test_search_skips_what_cannot_be_returned():
     vectors = np.floor(np.repeat(centres, 100, 0) + rng.normal(size=(3000, 6)) * 20).astype(np.int64)
     tree = negatives.CoverTree(vectors)
     laid = vectors[tree.source]
-    search = negatives._Search(tree, laid, np.zeros(3000, np.int64), np.arange(3000))
-    query = laid[:1]
-    exact = (laid @ query[0]).tolist()
+    search = negatives._Search(tree, laid, laid[:1], np.zeros(3000, np.int64), np.arange(3000))
+    exact = (laid @ laid[0]).tolist()
     high = int(0.5 * max(exact))
     window = negatives._Best(0, high, 10)
-    search.fill(query, 1, False, np.zeros(3000, bool), [window])
+    search.fill(0, 1, False, np.zeros(3000, bool), [window])
     assert [(-s, k) for s, k in window.rows] == sorted(((s, k) for k, s in enumerate(exact) if 0 <= s <= high), key=lambda x: (-x[0], x[1]))[:10]
     assert search.visited < 1500
