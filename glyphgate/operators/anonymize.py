@@ -72,6 +72,19 @@ def pseudonyms(df: DataFrame, id_col: str, text_col: str,
         F.concat_ws("_", "type", F.col("__n").cast("string")).alias("pseudonym"))
 
 
+def substitute(df: DataFrame, id_col: str, text_col: str, entities: DataFrame, shown: str) -> DataFrame:
+    """Texts with each entity replaced by its ``shown`` column (a token or pseudonym).
+
+    Entities are gathered per text, which is bounded by the text itself; offsets are code points
+    (``personal_data(..., offsets="codepoint")``).
+    """
+    listed = entities.groupBy(id_col).agg(F.array_sort(F.collect_list(
+        F.struct(F.col("start").alias("s"), F.col("end").alias("e"), F.col(shown).alias("v")))).alias("__found"))
+    joined = df.select(id_col, text_col).join(listed, id_col, "left")
+    replaced = personal_data.replace_spans(text_col, "__found", "x.v")
+    return joined.select(id_col, F.coalesce(replaced, F.col(text_col)).alias(text_col))
+
+
 def _shown(found: str, shown: str, types: Sequence[personal_data.DataType]) -> Column:
     """Spans whose value is replaced by ``shown``, SQL over the span ``x``, its number ``i`` and its type ``kind``."""
     kind = personal_data._type_of("x.p", types)

@@ -15,7 +15,7 @@ from glyphgate.plans.inputs import AS_OF_YEAR, derived, table
 from glyphgate.plans.registry import query
 from glyphgate.sources import retention, sinks
 
-AS_OF = datetime(2024, 4, 20, tzinfo=timezone.utc)
+AUDIT_AS_OF, LOGS_AS_OF = datetime(2024, 4, 20, tzinfo=timezone.utc), datetime(2024, 2, 20, 6, tzinfo=timezone.utc)
 _TEXT_TABLE = "glyphgate_texts"
 
 
@@ -65,27 +65,27 @@ def agg_pct_sketch(spark, sf_dir):
 
 # --- retention -------------------------------------------------------------------------
 
-def _retained(spark, sf_dir, days: int):
+def _retained(spark, sf_dir, as_of: datetime, days: int):
     path = sinks.work_dir(spark)
     usage_queries.requests(spark, sf_dir).select("request_id", "ts", F.to_date("ts").alias("dt")).write.partitionBy("dt").parquet(path)
-    retention.drop_expired(spark, path, AS_OF, "ts", days)
+    retention.drop_expired(spark, path, as_of, "ts", days)
     return spark.read.schema("request_id bigint, ts timestamp, dt date").parquet(path).select("request_id")
 
 
-def _retention_sql(days: int) -> str:
-    return f"SELECT request_id FROM requests WHERE ts >= TIMESTAMP '2024-04-20 00:00:00' - INTERVAL {days} DAY"
+def _retention_sql(as_of: datetime, days: int) -> str:
+    return f"SELECT request_id FROM requests WHERE ts >= TIMESTAMP '{as_of:%Y-%m-%d %H:%M:%S}' - INTERVAL {days} DAY"
 
 
-@query("flt_retention_parts", _retention_sql(90))
+@query("flt_retention_parts", _retention_sql(AUDIT_AS_OF, 90))
 def flt_retention_parts(spark, sf_dir):
     """Audit rows older than 90 days leave a table of days: whole days unread, rows in the boundary day."""
-    return _retained(spark, sf_dir, fixed.AUDIT_RETENTION_DAYS)
+    return _retained(spark, sf_dir, AUDIT_AS_OF, fixed.AUDIT_RETENTION_DAYS)
 
 
-@query("flt_retention_logs", _retention_sql(30))
+@query("flt_retention_logs", _retention_sql(LOGS_AS_OF, 30))
 def flt_retention_logs(spark, sf_dir):
     """The same for server logs, which stay 30 days."""
-    return _retained(spark, sf_dir, fixed.LOG_RETENTION_DAYS)
+    return _retained(spark, sf_dir, LOGS_AS_OF, fixed.LOG_RETENTION_DAYS)
 
 
 # --- repair ----------------------------------------------------------------------------
@@ -111,13 +111,13 @@ _DEMO_SQL = (
     + "), lab AS (SELECT doc_id, string_agg(" + text_queries._DATA_LABEL_SQL + ", '|' ORDER BY s) AS pii, arg_min("
     + text_queries._DATA_LABEL_SQL + ", s) AS first FROM ents GROUP BY doc_id),"
     f" cats AS (SELECT *, list_transform(sigs, lambda s: {text_queries._LABEL_SQL}) AS c FROM rep),"
-    " judged AS (SELECT *, CASE WHEN NOT allowed THEN 'RATE_LIMITED' WHEN trim(text) = '' THEN 'INVALID_INPUT'"
+    " decided AS (SELECT *, CASE WHEN NOT allowed THEN 'RATE_LIMITED' WHEN trim(text) = '' THEN 'INVALID_INPUT'"
     " WHEN strlen(text) > 4096 THEN 'INPUT_TOO_LARGE' ELSE 'OK' END AS outcome FROM demo_log JOIN lim USING (request_id))"
     " SELECT request_id, outcome, CASE WHEN outcome = 'OK' THEN remaining END AS remaining, retry_after_s,"
     " CASE WHEN outcome = 'OK' THEN verdict END AS verdict,"
     " CASE WHEN outcome = 'OK' THEN coalesce(c[1], first, 'No threat detected') END AS primary_category,"
     " CASE WHEN outcome = 'OK' THEN array_to_string(c, '|') END AS categories_matched"
-    " FROM judged JOIN cats ON cats.doc_id = request_id LEFT JOIN lab ON lab.doc_id = request_id")
+    " FROM decided JOIN cats ON cats.doc_id = request_id LEFT JOIN lab ON lab.doc_id = request_id")
 
 
 @query("demo_view", _DEMO_SQL)
