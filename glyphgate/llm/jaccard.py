@@ -216,7 +216,8 @@ def _common_ngrams(docs: DataFrame, classes: DataFrame, id_col: str, text_col: s
 def _packed_keys(docs: DataFrame, text_col: str, n: int, percent: int, parts: int, common: np.ndarray) -> DataFrame:
     """One row of packed keys per chunk and key range.
 
-    A chunk sends one set per key on; where it holds more, they are marked as meeting already.
+    A chunk connects the sets that share keys in it, by one edge each, and sends every key once, for the set that
+    stands for those connected.
     """
     top = (64 - (parts - 1).bit_length()) if parts > 1 else 64
     known = docs.sparkSession.sparkContext.broadcast(common)
@@ -238,20 +239,13 @@ def _packed_keys(docs: DataFrame, text_col: str, n: int, percent: int, parts: in
                 repeat = np.zeros(len(key), bool)
                 repeat[1:] = (key[1:] == key[:-1]) & (node[1:] == node[:-1])
                 key, node = key[~repeat], node[~repeat]
-                head = np.ones(len(key), bool)
-                head[1:] = key[1:] != key[:-1]
-                shared = np.zeros(len(key), bool)
-                shared[1:] = ~head[1:]
-                shared[:-1] |= ~head[1:]
-                rows = []
-                part = (key >> _U(top)).astype(np.int64) if parts > 1 else np.zeros(len(key), np.int64)
-                cuts = np.searchsorted(part, np.arange((int(part[-1]) if len(part) else -1) + 2))
-                for number in range(len(cuts) - 1):
-                    a, b = cuts[number], cuts[number + 1]
-                    if a < b:
-                        h, m = slice(a, b), np.flatnonzero(shared[a:b]) + a
-                        first = head[h]
-                        rows.append((number, _pack(key[h][first], node[h][first]), _pack(key[m], node[m])))
+                first, root, joined = _spanned(key, node)
+                key, rows = key[first], []
+                sent, met = ((x >> _U(top)).astype(np.int64) if parts > 1 else np.zeros(len(x), np.int64) for x in (key, joined[:, 0]))
+                for number in np.union1d(sent, met).tolist():
+                    h = slice(*np.searchsorted(sent, (number, number + 1)))
+                    m = joined[met == number]
+                    rows.append((number, _pack(key[h], root[h]), _pack(m[:, 0], m[:, 1])))
                 yield pa.record_batch([
                     pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()),
                     pa.array([r[2] for r in rows], pa.binary())], ["part", "heads", "met"])
@@ -259,25 +253,47 @@ def _packed_keys(docs: DataFrame, text_col: str, n: int, percent: int, parts: in
     return docs.select(F.col(text_col).alias("__text")).mapInArrow(run, "part int, heads binary, met binary")
 
 
+def _spanned(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Connect nodes with a common key (rows sorted by key): first row of each key, the smallest node its nodes reach, and edges (root, node).
+
+    One edge per node that is not a root, however many keys it shares.
+    """
+    first = np.ones(len(key), bool)
+    first[1:] = key[1:] != key[:-1]
+    begin = np.flatnonzero(first)
+    names, at = np.unique(node, return_inverse=True)
+    label, centre = np.arange(len(names)), at[begin][np.cumsum(first) - 1]
+    while len(at):
+        least = np.minimum(label[centre], label[at])
+        before = label.copy()
+        for side in (label[centre], label[at], centre, at):
+            np.minimum.at(label, side, least)
+        label = label[label]
+        if (label == before).all():
+            break
+    other = np.flatnonzero(label != np.arange(len(names)))
+    return begin, names[label[at[begin]]], np.stack([names[label[other]], names[other]], 1)
+
+
 def _meet(packed: DataFrame, parts: int) -> DataFrame:
-    """Edges ``a``, ``b`` that connect all sets with a common key: from one of them to each other one."""
-    def star(key: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((node, key))
-        key, node = key[order], node[order]
-        first = np.ones(len(key), bool)
-        first[1:] = key[1:] != key[:-1]
-        centre = node[first][np.cumsum(first) - 1]
-        edges = np.unique(np.stack([centre, node], 1)[centre != node], axis=0).view(np.int64)
-        return pa.record_batch([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
+    """Edges ``a``, ``b`` that connect all sets with a common key.
+
+    Chunks give the edges that connect their own sets; of each range of keys come those that connect the chunks'.
+    """
+    def edges(pairs: np.ndarray) -> pa.RecordBatch:
+        pairs = pairs.view(np.int64)
+        return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads = []
         for batch in batches:
             for blob, more in zip(batch.column("heads").to_pylist(), batch.column("met").to_pylist(), strict=True):
                 heads.append(_unpack(blob))
-                yield star(*_unpack(more))
+                yield edges(np.stack(_unpack(more), 1))
         if heads:
-            yield star(*(np.concatenate(x) for x in zip(*heads, strict=True)))
+            key, node = (np.concatenate(x) for x in zip(*heads, strict=True))
+            order = np.lexsort((node, key))
+            yield edges(_spanned(key[order], node[order])[2])
 
     return packed.repartition(parts, "part").select("heads", "met").mapInArrow(run, "a long, b long").distinct()
 
