@@ -12,10 +12,8 @@ from glyphgate.llm.work import Folder
 def op11_token_files(spark, sf_dir):
     folder = Folder(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
-    encoded = folder.kept(token_files.encode(docs, vocabulary, packed=True))
     path = f"{folder.path}/files"
-    token_files.write(encoded, path)
+    token_files.write(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
     rows = token_files.read(spark, path, docs.schema["doc_id"].dataType)
     return token_files.with_start(token_files.digests(rows), token_files.manifest(rows)).select(
         F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")

@@ -6,7 +6,7 @@ Row groups and pages have set sizes, and Spark's writer adds column and offset i
 documents or of a stretch of the token stream touches the pages that hold them, and a reader of counts touches no ids.
 
 Nulls: a null text is empty and gets only the end id; null document ids come first.  Rows of one id are ordered by
-a hash of their ids, repeated rows stay.  An empty table gives files without rows.
+a hash of their text, repeated rows stay.  An empty table gives files without rows.
 
 Texts are encoded in pieces cut before single spaces, where the splitting pattern of byte-level vocabularies always
 cuts; pieces seen before in the task are looked up, so that memory depends on no text's length.
@@ -32,7 +32,7 @@ __all__ = ["documents", "encode", "manifest", "read", "token_range", "write"]
 SEGMENT = 256 << 10        # characters of a text that are taken at once
 JOINED = 2048              # characters of new pieces that are encoded as one text
 KNOWN = 1 << 19            # pieces whose ids a task remembers
-TOKENS_PER_FILE = 16 << 20
+TEXT_PER_FILE = 32 << 20
 ROW_GROUP_BYTES = 32 << 20
 ROW_GROUP_ROWS = 1 << 16
 PAGE_BYTES = 256 << 10
@@ -139,75 +139,67 @@ def _groups(texts: list[str]) -> Iterator[tuple[list[str], list[int]]]:
         yield group, owner
 
 
-def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0,
-           packed: bool = False) -> DataFrame:
-    """``id``, ``n_tokens`` and ``ids`` of each row: the text's ids without special ones added, then ``end_id``.
-
-    ``tokenizer`` is a file of the tokenizers library that every executor can open.  ``packed`` gives the ids as
-    little-endian 32-bit bytes, which cost less on their way to :func:`write`.
-    """
-    kind = docs.schema[id_col].dataType
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        coder = _coder(tokenizer)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            parts, counts = [], np.zeros(len(texts), np.int64)
-            for group, owner in _groups(texts):
-                coded = coder.ids(group)
-                np.add.at(counts, owner, [len(ids) // 4 for ids in coded])
-                parts += coded
-            at = np.concatenate([[0], np.cumsum(counts)])
-            flat = np.insert(np.frombuffer(b"".join(parts), "<i4"), at[1:], end_id)
-            offsets = (at + np.arange(len(at))).astype(np.int32)
-            if packed:
-                ids = pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(4 * offsets), pa.py_buffer(flat.astype("<i4"))])
-            else:
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts + 1, pa.int32()), ids], names=["id", "n_tokens", "ids"])
-
-    return (docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-            .mapInArrow(run, schema(f"n_tokens int, ids {'binary' if packed else 'array<int>'}", id=kind)))
-
-
-def _lists(ids: pa.Array) -> pa.Array:
-    """Ids as lists, from lists or packed bytes."""
-    if pa.types.is_list(ids.type) or pa.types.is_large_list(ids.type):
-        return ids
-    _, offsets, data = ids.cast(pa.large_binary()).buffers()
-    at = np.frombuffer(offsets, np.int64)[ids.offset:ids.offset + len(ids) + 1]
-    flat = np.frombuffer(data, np.uint8)[at[0]:at[-1]].view("<i4")
-    return pa.ListArray.from_arrays(pa.array((at - at[0]) // 4, pa.int32()), pa.array(flat, pa.int32()))
+def _encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -> Iterator[pa.RecordBatch]:
+    """Batches of (id, text) as (id, n_tokens, ids)."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    coder = _coder(tokenizer)
+    for batch in batches:
+        texts = [t or "" for t in batch.column(1).to_pylist()]
+        parts, counts = [], np.zeros(len(texts), np.int64)
+        for group, owner in _groups(texts):
+            coded = coder.ids(group)
+            np.add.at(counts, owner, [len(ids) // 4 for ids in coded])
+            parts += coded
+        at = np.concatenate([[0], np.cumsum(counts)])
+        flat = np.insert(np.frombuffer(b"".join(parts), "<i4"), at[1:], end_id)
+        offsets = pa.array(at + np.arange(len(at)), pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(counts + 1, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))],
+            names=["id", "n_tokens", "ids"])
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Encoded batches of one file, in order, with the place of each document in the file's stream."""
     part, at = TaskContext.get().partitionId(), 0
     for batch in batches:
         n = batch.column("n_tokens").to_numpy().astype(np.int64)
         ends = at + np.cumsum(n)
         yield pa.RecordBatch.from_arrays(
             [batch.column("id"), pa.array(np.full(len(n), part, np.int32)), pa.array(ends - n), pa.array(ends),
-             batch.column("n_tokens"), _lists(batch.column("ids"))], names=["id", "part", "at", "until", "n_tokens", "ids"])
+             batch.column("n_tokens"), batch.column("ids")], names=["id", "part", "at", "until", "n_tokens", "ids"])
         at = int(ends[-1]) if len(n) else at
 
 
-def write(encoded: DataFrame, path: str, tokens_per_file: int = TOKENS_PER_FILE, row_group_bytes: int = ROW_GROUP_BYTES,
-          row_group_rows: int = ROW_GROUP_ROWS, page_bytes: int = PAGE_BYTES, page_rows: int = PAGE_ROWS,
-          encoding: str = "dictionary") -> None:
-    """Write encoded documents in ascending order of id, about ``tokens_per_file`` ids a file.
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+
+
+def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
+    """``id``, ``n_tokens`` and ``ids`` of each row: the text's ids without special ones added, then ``end_id``.
+
+    ``tokenizer`` is a file of the tokenizers library that every executor can open.
+    """
+    return _rows(docs, id_col, text_col).mapInArrow(
+        lambda batches: _encoded(batches, tokenizer, end_id), schema("n_tokens int, ids array<int>", id=docs.schema[id_col].dataType))
+
+
+def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0,
+          text_per_file: int = TEXT_PER_FILE, row_group_bytes: int = ROW_GROUP_BYTES, row_group_rows: int = ROW_GROUP_ROWS,
+          page_bytes: int = PAGE_BYTES, page_rows: int = PAGE_ROWS, encoding: str = "dictionary") -> None:
+    """Encode documents and write them in ascending order of id, the ids of about ``text_per_file`` bytes of text a file.
 
-    ``encoded`` is read three times (size, ranges, rows): pass a stored table.  Ranges are cut by id, hash and
-    place in the table, so that one id with very many rows spreads over files.
+    Texts are dealt to files by ranges of id, hash and place in the input, so that one id with very many rows
+    spreads over files; they are encoded, once, by the tasks that write, and a lost task encodes its own file again.
     """
     if encoding not in ("dictionary", "delta"):
         raise ValueError(f"unknown encoding {encoding!r}")
-    total = encoded.agg(F.sum(F.col("n_tokens").cast("long"))).first()[0] or 0
-    files = max(1, -(-total // tokens_per_file))
+    rows = _rows(docs, id_col, text_col)
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files = max(1, -(-total // text_per_file))
     order = [F.col("id").asc_nulls_first(), F.col("__hash"), F.col("__row")]
-    (encoded.withColumn("__hash", F.xxhash64("ids")).withColumn("__row", F.monotonically_increasing_id())
-     .repartitionByRange(files, *order).sortWithinPartitions(*order)
-     .select("id", "n_tokens", "ids").mapInArrow(_placed, schema(FILE_COLUMNS, id=encoded.schema["id"].dataType))
+    (rows.withColumn("__hash", F.xxhash64("text")).withColumn("__row", F.monotonically_increasing_id())
+     .repartitionByRange(files, *order).sortWithinPartitions(*order).select("id", "text")
+     .mapInArrow(lambda batches: _placed(_encoded(batches, tokenizer, end_id)), schema(FILE_COLUMNS, id=docs.schema[id_col].dataType))
      .write.option("parquet.writer.version", "PARQUET_2_0")
      .option("parquet.enable.dictionary", "false")
      .option("parquet.enable.dictionary#ids.list.element", str(encoding == "dictionary").lower())

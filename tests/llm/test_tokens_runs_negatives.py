@@ -74,9 +74,8 @@ def test_pieces_give_the_same_ids(monkeypatch):
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
 def test_files_are_ordered_encoded_and_read_in_parts(spark, encoding):
     folder = Folder(spark)
-    coded = folder.kept(token_files.encode(spark.read.parquet(f"{SF}/documents.parquet"), VOCABULARY))
     path = f"{folder.path}/files"
-    token_files.write(coded, path, tokens_per_file=40_000, row_group_rows=20, page_bytes=4 << 10, page_rows=5,
+    token_files.write(spark.read.parquet(f"{SF}/documents.parquet"), path, VOCABULARY, text_per_file=100_000, row_group_rows=20, page_bytes=4 << 10, page_rows=5,
                       encoding=encoding)
     files = sorted(glob.glob(f"{path}/part-*"))
     assert len(files) > 2
@@ -116,22 +115,27 @@ def test_files_are_ordered_encoded_and_read_in_parts(spark, encoding):
     assert found.agg(F.sum("n_tokens")).first()[0] == len(stream)
 
 
+def test_encoded_rows(spark):
+    got = token_files.encode(edges(spark), VOCABULARY).collect()
+    assert sorted(((r.id, list(r.ids)) for r in got), key=repr) == sorted(encoded_by_hand(EDGES), key=repr)
+    assert all(r.n_tokens == len(r.ids) for r in got)
+
+
 def test_token_files_of_edge_cases(spark):
     folder = Folder(spark)
-    coded = folder.kept(token_files.encode(edges(spark), VOCABULARY))
-    token_files.write(coded, f"{folder.path}/files", tokens_per_file=9)
+    token_files.write(edges(spark), f"{folder.path}/files", VOCABULARY, text_per_file=9)
     rows = token_files.with_start(token_files.digests(token_files.read(spark, f"{folder.path}/files"))).orderBy("start").collect()
     want = sorted(((i, len(ids), digest(ids)) for i, ids in encoded_by_hand(EDGES)), key=repr)
     assert sorted(((r.id, r.n_tokens, r.ids_crc32) for r in rows), key=repr) == want
     assert [r.id for r in rows] == [None, *sorted(i for i, _ in EDGES if i is not None)]
     assert [r.start for r in rows] == [sum(r.n_tokens for r in rows[:k]) for k in range(len(rows))]
-    token_files.write(coded.limit(0), f"{folder.path}/none")
+    token_files.write(edges(spark).limit(0), f"{folder.path}/none", VOCABULARY)
     assert token_files.with_start(token_files.digests(token_files.read(spark, f"{folder.path}/none"))).collect() == []
-    text_ids = token_files.encode(spark.createDataFrame([("b", "x"), ("a", "y")], "doc_id string, text string"), VOCABULARY)
-    token_files.write(folder.kept(text_ids), f"{folder.path}/named")
-    assert [r.id for r in token_files.read(spark, f"{folder.path}/named", text_ids.schema["id"].dataType).collect()] == ["a", "b"]
+    named = spark.createDataFrame([("b", "x"), ("a", "y")], "doc_id string, text string")
+    token_files.write(named, f"{folder.path}/named", VOCABULARY)
+    assert [r.id for r in token_files.read(spark, f"{folder.path}/named", named.schema["doc_id"].dataType).collect()] == ["a", "b"]
     with pytest.raises(ValueError):
-        token_files.write(coded, f"{folder.path}/other", encoding="gzip")
+        token_files.write(named, f"{folder.path}/other", VOCABULARY, encoding="gzip")
 
 
 # --- periodic runs -----------------------------------------------------------------------
