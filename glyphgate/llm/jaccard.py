@@ -27,7 +27,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from glyphgate.llm import words as W
 from glyphgate.llm.work import Folder, components
@@ -450,3 +450,45 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
             percent: int = PERCENT) -> DataFrame:
     """``id``, ``n``, ``node``, ``component`` of each document (see :func:`self_join`)."""
     return with_components(self_join(docs, id_col, text_col, n, percent), Folder(docs.sparkSession))
+
+
+def _with_nodes(docs: DataFrame, text_col: str, n: int) -> DataFrame:
+    """All columns of ``docs``, ``__n`` and ``__node``: the size and hash of each row's set."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in W.chunks(batch, text_col):
+                s = sets_of(chunk.column(text_col), n)
+                node = pa.array(fingerprints(s)[0].view(np.int64))
+                yield chunk.append_column("__n", pa.array(s.counts, pa.int64())).append_column("__node", node)
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *T.StructType.fromDDL("__n long, __node long").fields]))
+
+
+def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group of linked texts, one row with its smallest id stays.
+
+    Groups are of sets, not of ids: different texts under one id are different rows, and each stays unless its own
+    group has another first row (smallest id, then smallest hash of the set).  Of equal rows one stays, and of rows with
+    one id and one set but different texts or other columns, too.  Rows without words and rows without id stay.
+    """
+    folder = Folder(docs.sparkSession)
+    found = self_join(docs, id_col, text_col, n, percent)
+    groups = components(found.links, folder).join(found.classes.select("node", "first"), "node")
+    firsts = groups.groupBy("component").agg(F.min(F.struct("first", "node"))["node"].alias("__kept"))
+    gone = folder.kept(groups.join(firsts, "component").where("node <> __kept").select("node"))
+    # what decides on a row: its set goes, or stays for its first id alone
+    rule = folder.kept(
+        found.classes.where("copies > 1").select("node", "first", F.lit(False).alias("gone"))
+        .unionByName(gone.select("node", F.lit(None).cast("long").alias("first"), F.lit(True).alias("gone")))
+        .groupBy("node").agg(F.max("first").alias("__first"), F.max("gone").alias("__gone")).withColumnRenamed("node", "__node"))
+    several = folder.kept(found.documents.where("n > 0 AND id IS NOT NULL").groupBy("id", "node").count().where("count > 1")
+                          .select(F.xxhash64("id", "node").alias("__pair"), F.lit(True).alias("__several")))
+    rows = lookup_join(_with_nodes(docs, text_col, n), rule, "__node")
+    known = F.col(f"`{id_col}`").isNotNull() & (F.col("__n") > 0)
+    kept = rows.where(~known | (~F.coalesce("__gone", F.lit(False)) & (F.col("__first").isNull() | (F.col(f"`{id_col}`") == F.col("__first")))))
+    if several.isEmpty():
+        return kept.select(*docs.columns)
+    marked = lookup_join(folder.kept(kept.withColumn("__pair", F.when(known, F.xxhash64(id_col, "__node")))), several, "__pair")
+    again = F.coalesce("__several", F.lit(False))
+    one = marked.where(again).groupBy("__pair").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("r")).select("r.*")
+    return marked.where(~again).select(*docs.columns).unionByName(one)

@@ -138,7 +138,11 @@ def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, block_row
 
 def ordered(docs: DataFrame, weights: Mapping[str, float] | None = None, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id",
             source_col: str = "source", temperature: float = TEMPERATURE, out: str = "mix_at") -> DataFrame:
-    """All rows of ``docs`` with ``out``, their place in the mix.  Rows of one id and source share the first one's place."""
+    """All rows of ``docs`` with ``out``, their place in the mix.  Rows of one id and source share the first one's place.
+
+    A column of the input that is already called ``out`` is replaced.
+    """
+    docs = docs.drop(out)
     found = schedule(docs, weights, block_rows, id_col, source_col, temperature).schedule
     places = Folder(docs.sparkSession).kept(
         found.groupBy(F.xxhash64("id", "source").alias("__place")).agg(F.min(F.col("slot") * block_rows + F.col("offset")).alias(out)))

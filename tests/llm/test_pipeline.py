@@ -1,5 +1,10 @@
 """Tests of the corpus pipeline's stages."""
 
+import collections
+import itertools
+import random
+import re
+
 import corpus_pipeline
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -19,3 +24,99 @@ def test_mixing_stage_keeps_every_row_and_orders_the_shards(spark):
     for shard in {r.shard for r in out}:
         places = [place[r.doc_id] for r in sorted((r for r in out if r.shard == shard), key=lambda r: r.slot)]
         assert places == sorted(places)
+
+
+def shingles(text, n=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(zip(*(words[k:] for k in range(n)))) if len(words) >= n else frozenset([tuple(words)] if words else [])
+
+
+def first_rows(rows):
+    """Brute force of the near-duplicate stage."""
+    sets = {shingles(r[1]) for r in rows} - {frozenset()}
+    group = {s: s for s in sets}
+
+    def root(s):
+        while group[s] != s:
+            s = group[s]
+        return s
+    for a, b in itertools.combinations(sets, 2):
+        if 100 * len(a & b) >= 80 * len(a | b):
+            group[root(a)] = root(b)
+    best, out, seen = {}, [], set()
+    for r in rows:
+        s = shingles(r[1])
+        if s and r[0] is not None:
+            best[root(s)] = min(best.get(root(s), (1 << 62,)), (r[0],))
+    for r in rows:
+        s = shingles(r[1])
+        if not s or r[0] is None:
+            out.append(r)
+        elif (r[0],) == best[root(s)]:
+            out.append((r[0], root(s)))
+    # of rows with the group's first id one stays
+    plain = [r for r in out if not (len(r) == 2 and isinstance(r[1], frozenset))]
+    return plain, {r for r in out if len(r) == 2 and isinstance(r[1], frozenset)}, root
+
+
+def text(rnd, n=40):
+    return " ".join(f"w{rnd.randint(0, 5000)}" for _ in range(n))
+
+
+def corpus():
+    rnd = random.Random(4)
+    a, b, c, d = (text(rnd) for _ in range(4))
+    rows = [(5, a, "en", "s", 1), (5, b, "en", "s", 1), (3, a, "en", "s", 1), (9, c, "en", "s", 1), (9, d, "en", None, 1), (9, d, "en", None, 1)]
+    for k in range(20, 60):
+        base = text(rnd)
+        rows.append((k, base, "en", "s", 2))
+        if k % 3 == 0:
+            rows.append((k + 100, base.upper() + " tail", "de", "t", 2))       # a near copy
+        if k % 5 == 0:
+            rows.append((k, base + " tail", "de", "one", 2))                    # a near copy under the same id
+    rows += [(None, a, "en", "s", 1), (None, None, None, None, None), (70, None, "en", "s", None), (71, "", "en", "s", 0), (72, " \n", "en", "s", 0),
+             (73, "two words", "en", "s", 0), (74, "Two words", "en", "lone", 0)]
+    return rows
+
+
+def test_near_duplicates_keep_every_distinct_text(spark):
+    rows = corpus()
+    out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOCS), "")
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    got = [tuple(r) for r in out.collect()]
+    plain, firsts, root = first_rows(rows)
+    assert sorted(map(repr, (r for r in got if r[0] is None or not shingles(r[1])))) == sorted(map(repr, plain))
+    kept = [(r[0], root(shingles(r[1]))) for r in got if r[0] is not None and shingles(r[1])]
+    assert len(kept) == len(set(kept)) and set(kept) == firsts
+    assert {(5, shingles(rows[1][1])), (9, shingles(rows[3][1])), (9, shingles(rows[4][1]))} <= {(r[0], shingles(r[1])) for r in got}
+    assert corpus_pipeline.near_duplicates(spark, spark.createDataFrame([], DOCS), "").collect() == []
+
+
+def test_mixing_replaces_a_column_of_its_name(spark):
+    df = spark.createDataFrame([(1, "a", "en", "s", 1, "old"), (2, "b", "en", None, 1, "old")], DOCS + ", mix_at string")
+    out = corpus_pipeline.source_mixing(spark, df, "")
+    assert out.columns.count("mix_at") == 1 and len({r.mix_at for r in out.collect()}) == 2
+
+
+def test_run_keeps_clean_texts_and_places_each_row_once(spark, tmp_path):
+    rows = corpus()
+    spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1, 0) for k in range(30, 40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    item = rows[20][1]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    passed = corpus_pipeline.quality_rules(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()
+    assert len(passed) < len(rows)
+    _, firsts, _ = first_rows([tuple(r) for r in passed])
+    texts = collections.Counter(i for i, s in firsts if s != shingles(item) and not s >= shingles(item))
+    got = collections.Counter(r.doc_id for r in out if r.doc_id is not None)
+    assert got == texts
+    for shard in {r.shard for r in out}:
+        assert sorted(r.slot for r in out if r.shard == shard) == list(range(sum(r.shard == shard for r in out)))
+
+
+def test_run_on_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
