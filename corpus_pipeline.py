@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from glyphgate.llm import decontaminate, jaccard, mixing, quality, sharding
 from glyphgate.llm.work import Folder
-from glyphgate.operators.joins import lookup_join
 
 SHARDS = 16
 ORACLE_SQL = None      # trained and packed stages; tests hold the stages against brute force
@@ -25,16 +24,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity of 0.8 or more): the smallest id.
 
-    Documents without words and null ids stay; of rows with one id, one stays.
+    Different texts under one id are told apart by their sets.  Documents without words and null ids stay; of
+    repeated rows one stays.
     """
-    found = Folder(spark).kept(jaccard.grouped(docs))
-    away = found.where("id <> component").select(F.col("id").alias("doc_id")).distinct()
-    kept = lookup_join(docs, away, "doc_id", "left_anti")
-    repeated = found.where("id = component").groupBy(F.col("id").alias("doc_id")).count().where("count > 1").select("doc_id")
-    if repeated.isEmpty():
-        return kept
-    return lookup_join(kept, repeated, "doc_id", "left_anti").unionByName(
-        lookup_join(kept, repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return jaccard.first_of_groups(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
