@@ -7,7 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from glyphgate.functions import fixed
+from glyphgate.functions import columns, fixed
+from glyphgate.operators.integrity import SIGNATURES
 from glyphgate.operators.joins import null_safe_join
 
 BINS = 65_536
@@ -47,6 +48,15 @@ def metrics(counts: DataFrame) -> DataFrame:
     return staged.withColumns(values).drop("__p", "__r")
 
 
+def with_header(measured: DataFrame, source: str, engine_version: str, signature_count: int = len(SIGNATURES),
+                generated_at: Column | None = None) -> DataFrame:
+    """Metrics behind what a published result states: when, by which engine, on what; only real data sets are fit for publication."""
+    at = columns.iso_millis(generated_at if generated_at is not None else F.current_timestamp())
+    return measured.select(
+        at.alias("generated_at"), F.lit(engine_version).alias("engine_version"), F.lit(signature_count).alias("signature_count"),
+        F.lit(source).alias("source"), F.lit(source != "synthetic").alias("marketing_grade"), "*")
+
+
 def mean_latency(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*by).agg(F.round(F.avg(col), 3).alias("mean"))
 

@@ -10,6 +10,7 @@ from glyphgate.plans import inputs, oracle, text_queries
 from glyphgate.plans.inputs import MONTH, derived, table
 from glyphgate.plans.registry import query
 from glyphgate.sources import sinks, upserts
+from glyphgate.sources.texts import read_dim
 
 TEST_LIMIT = 20          # small, so that quotas bite on the test log
 IP_WINDOW, IP_LIMIT = 6 * 3_600_000, 3
@@ -465,13 +466,19 @@ def agg_pct_by(spark, sf_dir):
 _DAY = "TIMESTAMP '2024-01-01 00:00:00' + to_days((doc_id % 7)::INT)"
 
 
-def audit_table(spark, sf_dir) -> DataFrame:
-    """Audit rows of the signed scan, appended to a day-partitioned table and read back."""
-    path = sinks.work_dir(spark)
+def audit_rows(spark, sf_dir) -> DataFrame:
+    """Audit rows of the signed scan, with their day."""
     moment = F.expr("TIMESTAMP '2024-01-01 00:00:00' + make_interval(0, 0, 0, CAST(doc_id % 7 AS INT))")
     rows = text_queries.signed(spark, sf_dir).withColumn("created_at", moment)
-    sinks.write_audit(sinks.audit_rows(rows, F.col("created_at"), user=F.concat(F.lit("u"), F.col("doc_id") % 10),
-                                       tier=F.when(F.col("doc_id") % 3 == 0, "GROWTH"), latency_ms=F.col("doc_id") % 13), path)
+    return sinks.audit_rows(rows, F.col("created_at"), user=F.concat(F.lit("u"), F.col("doc_id") % 10),
+                            tier=F.when(F.col("doc_id") % 3 == 0, "GROWTH"), latency_ms=F.col("doc_id") % 13
+                            ).withColumn("dt", F.to_date("created_at"))
+
+
+def audit_table(spark, sf_dir) -> DataFrame:
+    """Audit rows, appended to a day-partitioned table and read back."""
+    path = sinks.work_dir(spark)
+    sinks.write_audit(audit_rows(spark, sf_dir), path)
     return spark.read.parquet(path)
 
 
@@ -490,14 +497,14 @@ def snk_audit(spark, sf_dir):
 @query("agg_verdicts", f"WITH {text_queries.REP}, audit_ AS ({_AUDIT}) SELECT strftime(created_at, '%Y-%m-%d') AS dt, tier, verdict,"
                        " count(*) AS reports, round(avg(latency_ms), 3) AS mean_latency_ms FROM audit_ GROUP BY ALL")
 def agg_verdicts(spark, sf_dir):
-    summary = evaluate.verdict_summary(audit_table(spark, sf_dir))
+    summary = evaluate.verdict_summary(audit_rows(spark, sf_dir))
     return summary.withColumn("dt", F.col("dt").cast("string"))
 
 
 @query("srt_recent", f"WITH {text_queries.REP}, audit_ AS ({_AUDIT}) SELECT report_id, verdict FROM audit_"
                      " ORDER BY created_at DESC, report_id DESC LIMIT 20")
 def srt_recent(spark, sf_dir):
-    return usage.recent(audit_table(spark, sf_dir), 20).select("report_id", "verdict")
+    return usage.recent(audit_rows(spark, sf_dir), 20).select("report_id", "verdict")
 
 
 @query("snk_upsert",
@@ -536,6 +543,26 @@ def snk_metrics(spark, sf_dir):
     return evaluate.long_metrics(stored, _METRICS)
 
 
+@query("snk_metrics_header",
+       f"{text_queries._EVAL} SELECT 'fixture' AS source, TRUE AS marketing_grade, '2.0' AS engine_version, 22::BIGINT AS signature_count,"
+       " count(*) AS samples, count(*) FILTER (label = 1) AS positives, count(*) FILTER (label = 0) AS negatives FROM hits JOIN synth USING (id)")
+def snk_metrics_header(spark, sf_dir):
+    """The header of a written evaluation."""
+    path = sinks.work_dir(spark)
+    measured = evaluate.metrics(evaluate.confusion(text_queries.judged(spark, sf_dir)))
+    sinks.write_metrics(evaluate.with_header(measured, "fixture", "2.0"), path)
+    kinds = "source string, marketing_grade boolean, engine_version string, signature_count bigint, samples bigint, positives bigint, negatives bigint"
+    return spark.read.schema(kinds).json(path)
+
+
+@query("src_keys", "SELECT key_hash, email, requests_this_month::BIGINT AS requests_this_month, month_bucket FROM free_keys")
+def src_keys(spark, sf_dir):
+    """Free keys stored with more columns than the joins use, read as a dimension."""
+    base = sinks.work_dir(spark)
+    sinks.write_table(inputs.free_keys(spark, sf_dir).withColumn("created_by", F.lit("signup")), f"{base}/free_api_keys")
+    return read_dim(spark, base, "free_api_keys").withColumn("requests_this_month", F.col("requests_this_month").cast("bigint"))
+
+
 _RAW = "'live_' || sha256(email)"
 
 

@@ -250,8 +250,17 @@ def test_lookup_join_is_the_same_on_both_sides_of_its_limit(spark):
         assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
 
 
-def test_keys_and_prices_are_read(spark, tmp_path):
-    assert sources.spread(spark.range(10), ["id"]).count() == 10
+def test_key_tables_are_pruned(spark, tmp_path):
+    for name, columns in sources.DIMENSIONS.items():
+        spark.range(3).select(*[F.col("id").alias(c) for c in columns], F.lit("x").alias("extra")).write.parquet(f"{tmp_path}/{name}")
+        dim = sources.read_dim(spark, str(tmp_path), name)
+        assert dim.columns == list(columns) and dim.count() == 3
+        assert "extra" not in dim._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_header_names_the_data(spark):
+    row = evaluate.with_header(spark.createDataFrame([(5,)], "samples int"), "synthetic", "2.1").first()
+    assert (row.marketing_grade, row.engine_version, row.signature_count, row.samples) == (False, "2.1", 22, 5)
 
 
 def test_table_functions(spark):
