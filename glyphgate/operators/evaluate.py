@@ -65,8 +65,9 @@ def percentiles(df: DataFrame, col: str, ps: Sequence[int] = (50, 95, 99), by: S
     """Exact percentiles by the rule: element ``min(n - 1, floor(p * n / 100))`` of the sorted values.
 
     Values are counted first (combined before the shuffle), binned by their place between
-    minimum and maximum on a logarithmic scale, which a few outliers don't distort, and ranked by
-    bin totals; only the bin that holds a percentile is sorted.  One row per group, columns ``p50, p95, ...``.
+    minimum and maximum on a logarithmic scale and ranked by bin totals; only the bin that holds a
+    percentile is sorted, by one task.  Values that crowd into one bin, for example times of one week with an
+    outlier at 0, are all sorted there; :func:`sketches` has no such case.  One row per group, columns ``p50, p95, ...``.
     """
     keys = list(by)
     groups = keys or ["__all"]

@@ -13,12 +13,15 @@ FORMATS = ("parquet", "json", "csv", "orc", "text")
 
 
 def read_texts(spark: SparkSession, path: str, id_col: str | None, text_col: str, format: str = "parquet",
-               keep: Sequence[str] = (), stream: bool = False, schema: str | None = None, **options) -> DataFrame:
+               keep: Sequence[str] = (), stream: bool = False, schema: str | None = None, by_place: bool = False, **options) -> DataFrame:
     """Any table with texts as scan input ``(id, ..., text)``; only the named columns are read.
 
     Files of plain text have no id: lines then get their hash as id, so that equal lines
-    and repeated runs agree.
+    and repeated runs agree.  With ``by_place`` the id is made of the file, the split and the place in it: equal
+    lines are told apart, and ids repeat as long as files and split sizes do (not for streams).
     """
+    if by_place and stream:
+        raise ValueError("lines of a stream have no lasting place")
     if format not in FORMATS:
         raise ValueError(f"format must be one of {FORMATS}, not {format!r}")
     reader = (spark.readStream if stream else spark.read).format(format).options(**options)
@@ -28,7 +31,8 @@ def read_texts(spark: SparkSession, path: str, id_col: str | None, text_col: str
     if format == "text":
         df = df.withColumnRenamed("value", text_col)
     if id_col is None:
-        return df.select(F.sha2(text_col, 256).alias("id"), *keep, text_col)
+        place = F.concat_ws("|", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+        return df.select(F.sha2(place if by_place else F.col(text_col), 256).alias("id"), *keep, text_col)
     return df.select(id_col, *keep, text_col)
 
 

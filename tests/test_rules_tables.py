@@ -250,6 +250,17 @@ def test_lookup_join_is_the_same_on_both_sides_of_its_limit(spark):
         assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
 
 
+def test_lines_of_plain_text(spark, tmp_path):
+    for k in range(2):
+        (tmp_path / f"{k}.txt").write_text("same\nother\nsame\n")
+    shared = sources.read_texts(spark, str(tmp_path), None, "text", "text").collect()
+    assert len(shared) == 6 and len({r.id for r in shared}) == 2
+    placed = [sources.read_texts(spark, str(tmp_path), None, "text", "text", by_place=True).collect() for _ in range(2)]
+    assert len({r.id for r in placed[0]}) == 6 and sorted(placed[0]) == sorted(placed[1])
+    with pytest.raises(ValueError):
+        sources.read_texts(spark, str(tmp_path), None, "text", "text", stream=True, by_place=True)
+
+
 def test_key_tables_are_pruned(spark, tmp_path):
     for name, columns in sources.DIMENSIONS.items():
         spark.range(3).select(*[F.col("id").alias(c) for c in columns], F.lit("x").alias("extra")).write.parquet(f"{tmp_path}/{name}")
