@@ -183,3 +183,11 @@ def register_keys(signups: DataFrame, free: DataFrame, raw_key: Column, ts: str
 def leads(signups: DataFrame) -> DataFrame:
     """Waitlist rows with the default source."""
     return signups.withColumn("source", F.coalesce("source", F.lit(fixed.LEAD_SOURCE)))
+
+
+def unique_leads(signups: DataFrame, held: DataFrame | None = None, ts: str = "ts", tie: str = "signup_id") -> DataFrame:
+    """Leads as a table with a unique e-mail takes them: the first sign-up of each normalised e-mail that ``held`` doesn't hold yet."""
+    rows = leads(signups.where(F.col("email").isNotNull()).withColumn("email", columns.norm_email(F.col("email"))))
+    if held is not None:
+        rows = joins.lookup_join(rows, held.select("email").distinct(), "email", "left_anti")
+    return joins.repair(rows, ["email"], [ts, tie])[0].select(*signups.columns)

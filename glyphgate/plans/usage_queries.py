@@ -585,3 +585,15 @@ def snk_leads(spark, sf_dir):
     rows = usage.leads(derived(spark, sf_dir, "signups").where("email IS NOT NULL"))
     sinks.export_csv(rows.select("signup_id", "email", "source"), path)
     return spark.read.option("header", True).schema("signup_id bigint, email string, source string").csv(path)
+
+
+@query("snk_leads_unique",
+       "WITH l AS (SELECT *, lower(trim(email)) AS mail, coalesce(source, 'landing') AS src FROM signups WHERE email IS NOT NULL)"
+       " SELECT arg_min(signup_id, (ts, signup_id)) AS signup_id, mail AS email, arg_min(src, (ts, signup_id)) AS source"
+       " FROM l WHERE mail NOT IN (SELECT email FROM free_keys) GROUP BY mail")
+def snk_leads_unique(spark, sf_dir):
+    """Leads with a unique e-mail, beside those that hold a key already."""
+    path = sinks.work_dir(spark)
+    rows = usage.unique_leads(derived(spark, sf_dir, "signups"), inputs.free_keys(spark, sf_dir))
+    sinks.export_csv(rows.select("signup_id", "email", "source"), path)
+    return spark.read.option("header", True).schema("signup_id bigint, email string, source string").csv(path)

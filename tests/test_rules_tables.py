@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphgate import sql
-from glyphgate.operators import anonymize, evaluate, flows, joins, personal_data, rules
+from glyphgate.operators import anonymize, evaluate, flows, joins, personal_data, rules, usage
 from glyphgate.plans import inputs
 from glyphgate.sources import retention, texts as sources
 
@@ -238,6 +238,16 @@ def test_repair_keeps_the_same_row_however_rows_are_dealt(spark):
         assert sum(r.dropped for r in report.collect()) == 400 - len(got)
 
 
+def test_leads_with_a_unique_email(spark):
+    at = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    df = spark.createDataFrame([(3, at, " A@b.co ", None), (2, at, "a@B.co", "x"), (4, at - timedelta(1), "c@d.co", "y"), (5, at, None, "z"), (6, at, "held@b.co", "z")],
+                               "signup_id int, ts timestamp, email string, source string")
+    held = spark.createDataFrame([("held@b.co",)], "email string")
+    got = {r.email: (r.signup_id, r.source) for r in usage.unique_leads(df, held).collect()}
+    assert got == {"a@b.co": (2, "x"), "c@d.co": (4, "y")}
+    assert len(usage.unique_leads(df).collect()) == 3
+
+
 # --- joins, sources, SQL -----------------------------------------------------------------
 
 def test_lookup_join_is_the_same_on_both_sides_of_its_limit(spark):
