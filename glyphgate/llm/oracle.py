@@ -38,7 +38,7 @@ def _own(lines: str) -> str:
 def _units(text: str) -> str:
     normal = r"trim(regexp_replace(lower(x), '[ \t\r\n\f\x0B]+', ' ', 'g'))"
     return (rf"list_distinct(list_filter(list_transform([{text}] || regexp_split_to_array({text}, '\n[ \t]*\n')"
-            rf" || string_split({text}, chr(10)), lambda x: {normal}), lambda x: length(x) >= {quotes.MIN_CHARS}))")
+            rf" || string_split({text}, chr(10)), lambda x: {normal}), lambda x: x <> ''))")
 
 
 def conversations() -> str:
@@ -58,15 +58,15 @@ passages AS (SELECT conv, turn, level, string_agg(regexp_replace(line, {marks},
 quoted AS (SELECT conv, turn, level, unnest({_units('passage')}) AS unit FROM passages),
 here AS (SELECT unit, conv, min(turn) AS here_turn FROM (SELECT conv, turn, unnest({_units('text')}) AS unit FROM own
     WHERE conv IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL) GROUP BY unit, conv),
-first AS (SELECT unit, min(conv) AS conv, arg_min(here_turn, conv) AS turn FROM here GROUP BY unit),
+first AS (SELECT unit, min(conv) AS conv, arg_min(here_turn, conv) AS turn FROM here WHERE length(unit) >= {quotes.ACROSS_CHARS} GROUP BY unit),
 found AS (SELECT q.conv, q.turn, q.level, length(q.unit) AS size,
     CASE WHEN h.here_turn < q.turn THEN q.conv WHEN f.conv < q.conv THEN f.conv END AS parent_conv,
     CASE WHEN h.here_turn < q.turn THEN h.here_turn WHEN f.conv < q.conv THEN f.turn END AS parent_turn
     FROM quoted q LEFT JOIN here h ON h.unit = q.unit AND h.conv = q.conv LEFT JOIN first f ON f.unit = q.unit),
 linked AS (SELECT * FROM found WHERE parent_conv IS NOT NULL
     QUALIFY row_number() OVER (PARTITION BY conv, turn ORDER BY level, size DESC, parent_conv, parent_turn) = 1),
-edges AS MATERIALIZED (SELECT conv AS a, parent_conv AS b FROM linked WHERE conv <> parent_conv
-    UNION SELECT parent_conv, conv FROM linked WHERE conv <> parent_conv),
+edges AS MATERIALIZED (SELECT conv AS a, parent_conv AS b FROM found WHERE conv <> parent_conv
+    UNION SELECT parent_conv, conv FROM found WHERE conv <> parent_conv),
 reached AS (SELECT DISTINCT a AS start, a AS node FROM edges UNION SELECT start, b FROM reached JOIN edges ON node = a),
 threads AS (SELECT start AS conv, min(node) AS thread FROM reached GROUP BY start)
 SELECT o.conv AS conv_id, o.turn, o.role, o.text, coalesce(t.thread, o.conv) AS thread_id,

@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -420,6 +421,26 @@ def test_quotes_are_linked_and_removed(spark):
     assert quotes.conversations(df.where("false")).count() == 0
 
 
+def test_short_quotes_link_inside_and_all_matches_join_threads(spark):
+    rows = [
+        (1, 0, "a", "Shall I go on?"), (1, 1, "b", "Yes, please do."), (1, 2, "a", "> Yes, please do.\nDone."),
+        (2, 0, "a", "a first long line of conversation two"), (3, 0, "a", "a first long line of conversation three"),
+        (4, 0, "b", "> a first long line of conversation three\nand\n> a first long line of conversation two\nboth"),
+        (5, 0, "b", "> Yes, please do.\nwho?"), (5, 1, "b", "> who?\n>\nme"), (6, 0, "b", "> \nempty"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
+    out = quotes.conversations(df).collect()
+    got = {(r.conv, r.turn): r for r in out}
+    assert (got[1, 2].parent_conv, got[1, 2].parent_turn, got[1, 2].text) == (1, 1, "Done.")
+    assert {r.thread for r in out if r.conv in (2, 3, 4)} == {2} and got[4, 0].parent_conv == 3
+    assert got[5, 0].parent_conv is None and got[5, 1].parent_turn == 0 and {r.thread for r in out if r.conv in (5, 6)} == {5, 6}
+    columns = ["conv_id", "turn", "role", "text", "thread_id", "position", "parent_conv", "parent_turn", "level"]
+    con = duckdb.connect()
+    con.register("conversations", df.toArrow())
+    want = con.sql(ORACLES["op5_chat_formatting"]).select(*columns).fetchall()
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r[c] for c in ["conv", "turn", "role", "text", "thread", *columns[5:]])) for r in out)
+
+
 def test_one_line_that_everybody_quotes(spark):
     line = "the very same line in every message"
     df = spark.range(3000).select((F.col("id") % 3).alias("conv_id"), (F.col("id") / 3).cast("int").alias("turn"),
