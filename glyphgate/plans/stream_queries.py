@@ -14,11 +14,15 @@ from glyphgate.sources import sinks, upserts
 from glyphgate.streaming import jobs, rates
 
 
+def _table_stream(spark, sf_dir: str, name: str) -> DataFrame:
+    """A given table as a stream, be it one file or a folder of files."""
+    return jobs.read_parquet_stream(spark, f"{sf_dir}/{name}.parquet", table(spark, sf_dir, name).schema, "*")
+
+
 def stream(spark, sf_dir: str, name: str) -> DataFrame:
     """A derived input read as a stream."""
     source = inputs.DERIVED[name][1]
-    schema = table(spark, sf_dir, source).schema
-    return derive(jobs.read_parquet_stream(spark, sf_dir, schema, f"{source}.parquet"), name)
+    return derive(_table_stream(spark, sf_dir, source), name)
 
 
 def finish(streaming_query) -> None:
@@ -181,8 +185,7 @@ def str_verdict_rate(spark, sf_dir):
 def str_verdict_rate_stream(spark, sf_dir):
     """The same on a stream: update mode, newest count per window and verdict."""
     path = sinks.work_dir(spark)
-    events = jobs.read_parquet_stream(spark, sf_dir, table(spark, sf_dir, "events").schema, "events.parquet")
-    sent = scan(_requests_with_text(events), "event_id", keep=["ts"], as_of_year=AS_OF_YEAR)
+    sent = scan(_requests_with_text(_table_stream(spark, sf_dir, "events")), "event_id", keep=["ts"], as_of_year=AS_OF_YEAR)
     counted = jobs.verdict_rate(sent, "ts", delay="1 hour")
 
     def store(batch: DataFrame, number: int) -> None:

@@ -2,11 +2,13 @@
 
 from datetime import datetime, timedelta, timezone
 
+import pytest
 from pyspark.sql import functions as F
 
 from glyphgate import scan
 from glyphgate.operators import billing, rates as batch_rates, usage
 from glyphgate.plans import inputs
+from glyphgate.plans.catalog import QUERIES
 from glyphgate.streaming import jobs, rates
 
 SF = "/root/testdata/sf0.001"
@@ -73,3 +75,13 @@ def test_dedup_stream_drops_replays(spark, tmp_path):
     stream = jobs.dedup_stream(_read(spark, tmp_path, rows.schema), "id", "ts")
     jobs.write_files(stream, f"{tmp_path}/out", f"{tmp_path}/cp", once=True).awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 30
+
+
+@pytest.mark.parametrize("name, twin", [("str_scan", "scan_full"), ("str_audit", "snk_audit"), ("str_scan_audit", None)])
+def test_tables_in_several_files_stream_whole(spark, tmp_path, name, twin):
+    docs = spark.range(40).selectExpr("id AS doc_id", "'en' AS lang", "'web' AS source", "concat('text ', id) AS text")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES[name](spark, str(tmp_path))
+    if twin:
+        assert sorted(map(str, got.collect())) == sorted(map(str, QUERIES[twin](spark, str(tmp_path)).select(*got.columns).collect()))
+    assert sorted(r.sha256 for r in got.collect()) == sorted(r.sha256 for r in QUERIES["rep_sha"](spark, str(tmp_path)).collect())
