@@ -32,7 +32,8 @@ class DataType:
 
     ``check`` maps the name of a lambda variable to a SQL condition.  ``gate`` is a
     pattern implied by every match that passes the check; ``digit_tail`` likewise,
-    but as what follows some digit of the match.
+    but as what follows some digit of the match.  ``tail_always``: the pattern alone
+    implies the digit tail, so it also holds for matches that aren't checked.
     """
 
     type: str
@@ -40,6 +41,7 @@ class DataType:
     check: Callable[[str], str] | None = None
     gate: str | None = None
     digit_tail: str | None = None
+    tail_always: bool = False
 
     @classmethod
     def custom(cls, type: str, pattern: str, ignore_case: bool = False,
@@ -51,6 +53,7 @@ _LOCAL = "[A-Za-z0-9!#$%&'*+/=?^_`{|}~.-]"
 _GATES = {
     "EMAIL": r"@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z0-9]",
     "IPV6": r":(?::|[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]{1,4}:)",
+    "PASSPORT": r"[A-Z][0-9A-Z]{6}",
 }
 _DIGIT_TAILS = {
     "IBAN": r"\d[A-Za-z0-9]{11}",
@@ -65,6 +68,7 @@ _DIGIT_TAILS = {
     "DATE_OF_BIRTH": r"[/-]\d{1,2}[/-]\d",
     "PHONE": rf"\d[\s{regex.WIDE_SPACE}.-]\d{{2,4}}[\s{regex.WIDE_SPACE}.-]\d{{2}}",
 }
+_TAILS_BY_CHECK = ("PASSPORT",)     # a passport number holds a digit only because its check asks for one
 _CHECKS = {
     "IBAN": checks.iban, "CREDIT_CARD": checks.credit_card, "CPF": checks.cpf, "NHS_NUMBER": checks.nhs_number,
     "NIF_NIE": checks.nif_nie, "SSN": checks.ssn, "PASSPORT": checks.passport, "PHONE": checks.phone,
@@ -95,7 +99,7 @@ def data_types(as_of_year: int | None = None) -> tuple[DataType, ...]:
             def check(v, year=year):
                 return checks.date_of_birth(v, year)
         out.append(DataType(type_, _java_pattern(kind, pattern, fold), check,
-                            _GATES.get(kind), _DIGIT_TAILS.get(kind)))
+                            _GATES.get(kind), _DIGIT_TAILS.get(kind), kind in _DIGIT_TAILS and kind not in _TAILS_BY_CHECK))
     return tuple(out)
 
 
@@ -150,7 +154,7 @@ def _with_pieces(df: DataFrame, text: str, types: Sequence[DataType], when: Colu
     """Stage column ``__pieces``."""
     keep = df.columns
     if not checked:  # a digit tail may be implied by the check only
-        types = [replace(t, digit_tail=None) for t in types]
+        types = [t if t.tail_always else replace(t, digit_tail=None) for t in types]
     body = name(text)
     if when is not None:
         df, body = df.select("*", F.when(when, F.col(body)).alias("__body")), "__body"

@@ -5,6 +5,7 @@ import hmac
 import json
 import random
 import re
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from glyphgate import guard, scan, scan_dedup, scan_hybrid, sql
 from glyphgate.functions import fixed, regex
 from glyphgate.operators import admission, evaluate, integrity, personal_data, report
+from glyphgate.plans import inputs
 
 YEAR = 2026
 ENTITIES = {
@@ -296,3 +298,14 @@ def test_utf16_units(spark):
     assert [(r.start, r.end) for r in got] == [(e.start, e.end) for e in rows[3].entities] == [(3, 9)]
     sized = admission.flag_oversize(spark.createDataFrame([(face * 4097,), ("x" * 8192,)], "t string"), "t").collect()
     assert [r.raw_too_long for r in sized] == [True, False]
+
+
+def test_unchecked_candidates_run_patterns_behind_gates_only(spark):
+    """All matches come, those that fail their check too, and no pattern runs on a text that its gate rules out."""
+    types = personal_data.data_types(YEAR)
+    texts = [p for p in inputs.PAYLOADS] + ["HEADLINES", "AB123456", "x" * 50, "999999999999999 12 34 56 2024-99-99 00 00 00"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    bare = tuple(replace(t, gate=None, digit_tail=None) for t in types)
+    got, want = (sorted(map(str, personal_data.candidates(df, "text", t).select("id", "candidates").collect())) for t in (types, bare))
+    assert got == want
+    assert all(t.gate or t.digit_tail and t.tail_always for t in types)
