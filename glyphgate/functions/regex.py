@@ -18,7 +18,7 @@ import re
 WIDE_SPACE = r"\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 SPACE = rf"[\s{WIDE_SPACE}]"
 _WORD = "[0-9A-Za-z_]"
-_ENTER = rf"(?<!{_WORD})"
+WORD_START = _ENTER = rf"(?<!{_WORD})"
 _LEAVE = rf"(?!{_WORD})"
 _OPENS = re.compile(r"(?:\(\?:)*(?:[A-Za-z0-9]|\\d|\[[A-Z])")
 BOUNDARY = rf"(?:(?<={_WORD}){_LEAVE}|{_ENTER}(?={_WORD}))"
@@ -72,6 +72,23 @@ def java(pattern: str, ignore_case: bool = False) -> str:
     return "".join(out)
 
 
+def plain_bounds(pattern: str) -> str:
+    """Shorten boundaries beside a plain ASCII letter, digit or underscore: there one look-around says the same.
+
+    The character has to come once at least, and not as part of an escape.
+    """
+    first, *rest = pattern.split(BOUNDARY)
+    out = first
+    for part in rest:
+        if re.match(r"[0-9A-Za-z_](?![?*{])", part):
+            out += _ENTER + part
+        elif re.search(r"(?:^|[^\\]{5})[0-9A-Za-z_]\Z", out):
+            out += _LEAVE + part
+        else:
+            out += BOUNDARY + part
+    return out
+
+
 def tight(pattern: str) -> str:
     """Shorten boundaries whose word side is certain.
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphgate import sql
+from glyphgate.functions import regex
 from glyphgate.operators import anonymize, evaluate, flows, joins, personal_data, rules, usage
 from glyphgate.plans import inputs
 from glyphgate.sources import retention, texts as sources
@@ -303,3 +304,18 @@ def test_demo_view(spark):
     assert got[20].retry_after_s == 40 and got[20].verdict is None and got[19].remaining == 0
     assert [got[k].outcome for k in (30, 31, 32, 33, 34)] == ["INVALID_INPUT", "INPUT_TOO_LARGE", "OK", "OK", "INVALID_INPUT"]
     assert got[32].verdict == "ANONYMIZED" and got[32].primary_category == "Email Address" and got[30].categories_matched is None
+
+
+def test_rules_run_only_where_all_their_literals_start_words(spark):
+    patterns = [r"\bare\W+now\b", r"\bthe[ :]+[a-z0-9]+", r"\b(?:you|they)\W+are", r"own\b", r"\bx?and\W+card", r"card_\b", r"\bnot\b|\bnor\b", r"\W+\bthis is"]
+    given = rules.compile_rules([dict(id=f"{k}{fold}", layer="semantic", pattern=p, ignore_case=fold) for k, p in enumerate(patterns) for fold in (False, True)])
+    by_id = {r.id: r for r in given}
+    assert by_id["0True"].needs == (frozenset({"\bare"}), frozenset({"\bnow"})) and by_id["1True"].literals == {"\bthe ", "\bthe:"}
+    assert regex.BOUNDARY not in by_id["1True"].pattern
+    words = ["are", "Now", "the:", "THE", "The 5", "you", "are", "they", "own", "owner", "xand", "and", "card", "card_", "nor", "this", "is", "Kare", "é", "éare", "_the 1", "\U0001f600now"]
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice(words) + rnd.choice([" ", " ", "-", "", "\n"]) for _ in range(8)) for _ in range(400)]
+    got = rules.scan_rules(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", "text", given).collect()
+    for r in got:
+        want = {i for i in by_id if re.search(patterns[int(i[0])], texts[r.id], re.A | (re.I if i[1:] == "True" else 0))}
+        assert set(r.signatures) == want, texts[r.id]
