@@ -9,41 +9,49 @@ Finding the starts is the only sequential part, and it needs distinct times only
 slices of one window length no slice holds two starts, so all state between slices is
 tiny.  A key's timeline is cut where a gap makes the next request a start in any case;
 short stretches are folded in the JVM, and a stretch of very many requests is cut into
-blocks of slices that are solved in parallel for every way of entering them, chained,
+blocks of slices, bounded in slices and in times, that are solved in parallel for every way of entering them, chained,
 and then replayed.  Requests themselves are only joined by (key, slice).
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 STRETCH = 4_096   # distinct times folded in one row
-BLOCK = 256       # slices per block of a long stretch
+BLOCK = 256       # slices per block of a long stretch, at most
+BLOCK_TIMES = 1 << 19   # distinct times after which a block ends with its slice
 
 
 def _first_after(times: np.ndarray, end: float) -> int:
     return int(np.searchsorted(times, end, side="right"))
 
 
+def _group(table: pa.Table, names: Sequence[str], n: int) -> dict[str, pa.Array]:
+    """The key columns of a group, ``n`` times."""
+    return {c: pa.repeat(table[c][0], n) for c in names}
+
+
 def _solve_block(window: int):
     """Per block: for each request that may open its first window, the start of its last window."""
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ms")
-        times = pdf["ms"].to_numpy()
+    def solve(table: pa.Table) -> pa.Table:
+        times = np.sort(table["ms"].to_numpy())
         follow = np.searchsorted(times, times + window, side="right")
         # pointer doubling: a block has at most one start per slice
         last = np.where(follow < len(times), follow, np.arange(len(times)))
         for _ in range(BLOCK.bit_length() + 1):
             last = last[last]
-        opening = pdf["block"].iloc[0] * BLOCK * window
+        opening = table["block"][0].as_py() * window
         ways = min(_first_after(times, opening - 1 + window) + 1, len(times))
         leaves = times[last[:ways]]
         # of neighbours that end alike the latest stands for all
         kept = np.append(leaves[1:] != leaves[:-1], True)
-        return pd.DataFrame({"key": pdf["key"].iloc[0], "stretch": pdf["stretch"].iloc[0],
-                             "block": pdf["block"].iloc[0], "opens": times[:ways][kept], "leaves": leaves[kept]})
+        return pa.table(_group(table, ("key", "stretch", "block"), int(kept.sum()))
+                        | {"opens": times[:ways][kept], "leaves": leaves[kept]})
     return solve
 
 
@@ -64,16 +72,24 @@ def _chain_blocks(window: int):
 
 def _replay_block(window: int):
     """Per block: the window starts, given how it is entered."""
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(pdf["ms"].to_numpy())
-        starts, i = [], _first_after(times, int(pdf["until"].iloc[0]))
+    def replay(table: pa.Table) -> pa.Table:
+        times = np.sort(table["ms"].to_numpy())
+        starts, i = [], _first_after(times, table["until"][0].as_py())
         while i < len(times):
             starts.append(int(times[i]))
             i = _first_after(times, times[i] + window)
-        return pd.DataFrame({"key": pdf["key"].iloc[0], "anchor": np.array(starts, dtype="int64")})
+        return pa.table(_group(table, ("key",), len(starts)) | {"anchor": np.array(starts, dtype="int64")})
     return replay
 
 
+def _blocked(cut: DataFrame) -> DataFrame:
+    """Slices with their ``block`` in a long stretch, named by its first slice."""
+    upto = Window.partitionBy("key", "stretch").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
+    part = cut.withColumns({"__slices": F.expr(f"slice div {BLOCK}"),
+                            "__times": F.floor((F.sum("n").over(upto) - F.col("n")) / BLOCK_TIMES)})
+    return part.withColumn("block", F.min("slice").over(Window.partitionBy("key", "stretch", "__slices", "__times"))).drop("__slices", "__times")
+
+
 def window_starts(times: DataFrame, window: int, key_type: str, stretch: int = STRETCH) -> DataFrame:
     """Window starts ``(key, slice, anchor, earlier)`` from distinct ``(key, ms)``, one row per occupied slice.
 
@@ -87,7 +103,7 @@ def window_starts(times: DataFrame, window: int, key_type: str, stretch: int = S
     cut = (slices.withColumn("__new", gap.cast("int"))
            .withColumn("stretch", F.sum("__new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
            .withColumn("size", F.sum("n").over(Window.partitionBy("key", "stretch"))))
-    placed = sliced.join(cut.select("key", "slice", "stretch", "size"), ["key", "slice"])
+    placed = sliced.join(_blocked(cut).select("key", "slice", "stretch", "size", "block"), ["key", "slice"])
 
     fold = (f"aggregate(times, named_struct('until', -1L, 'starts', cast(array() AS array<bigint>)),"
             f" (a, t) -> if(t > a.until, named_struct('until', t + {window}, 'starts', concat(a.starts, array(t))), a),"
@@ -96,14 +112,13 @@ def window_starts(times: DataFrame, window: int, key_type: str, stretch: int = S
              .agg(F.array_sort(F.collect_list("ms")).alias("times"))
              .select("key", F.explode(F.expr(fold)).alias("anchor")))
 
-    blocked = (placed.where(F.col("size") > stretch)
-               .select("key", "stretch", F.expr(f"slice div {BLOCK}").alias("block"), "ms"))
-    solved = blocked.groupBy("key", "stretch", "block").applyInPandas(
+    blocked = placed.where(F.col("size") > stretch).select("key", "stretch", "block", "ms")
+    solved = blocked.groupBy("key", "stretch", "block").applyInArrow(
         _solve_block(window), f"key {key_type}, stretch bigint, block bigint, opens bigint, leaves bigint")
     entered = solved.groupBy("key", "stretch").applyInPandas(
         _chain_blocks(window), f"key {key_type}, stretch bigint, block bigint, until bigint")
     long = (blocked.join(entered, ["key", "stretch", "block"]).groupBy("key", "stretch", "block")
-            .applyInPandas(_replay_block(window), f"key {key_type}, anchor bigint"))
+            .applyInArrow(_replay_block(window), f"key {key_type}, anchor bigint"))
 
     anchors = short.unionByName(long).withColumn("slice", F.expr(f"anchor div {window}"))
     before = Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)

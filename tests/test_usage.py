@@ -174,3 +174,21 @@ def test_percentiles_with_one_outlier(spark):
     got = evaluate.percentiles(df, "v").first()
     ranked = sorted(values)
     assert [got.p50, got.p95, got.p99] == [ranked[min(len(ranked) - 1, p * len(ranked) // 100)] for p in (50, 95, 99)]
+
+
+def test_blocks_of_a_dense_stretch_are_bounded_by_their_times(spark, monkeypatch):
+    monkeypatch.setattr(rates, "BLOCK_TIMES", 100)
+    slices = spark.range(600).selectExpr("id % 2 AS key", "id div 2 + 3 AS slice", "1L AS stretch", "id % 45 + 1 AS n")
+    blocks = rates._blocked(slices).groupBy("key", "block").agg(F.sum("n").alias("n"), F.max("slice").alias("last"), F.count("*").alias("k")).collect()
+    assert max(b.n for b in blocks) < 100 + 45 and sum(b.k for b in blocks) == 600
+    assert all(b.last - b.block + 1 == b.k for b in blocks)     # neighbouring slices, named by the first one
+
+    rnd = random.Random(7)
+    times = sorted(rnd.randrange(40_000) for _ in range(900))
+    df = spark.createDataFrame([(i, "a") for i in times], "ms long, key string").distinct()
+    want, end = [], -1
+    for t in sorted(set(times)):
+        if t > end:
+            want, end = [*want, t], t + 500
+    got = rates.window_starts(df, 500, "string", stretch=10).where("anchor IS NOT NULL").select("anchor").collect()
+    assert sorted(r.anchor for r in got) == want
