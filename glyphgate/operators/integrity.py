@@ -24,6 +24,7 @@ class Signature:
 
     ``needs`` lists groups of lower-case literals: a matching text holds one of each
     group.  A matching text also satisfies ``gate`` or holds one of ``gate_words``.
+    ``late`` lists groups like ``needs`` that are looked for only where the tests before passed.
     """
 
     id: str
@@ -32,6 +33,7 @@ class Signature:
     needs: tuple[tuple[str, ...], ...] = ()
     gate: str | None = None
     gate_words: tuple[str, ...] = ()
+    late: tuple[tuple[str, ...], ...] = ()
 
     @property
     def language(self) -> str | None:
@@ -76,17 +78,29 @@ _NEEDS = {
 # a cheaper pattern that every match of the signature also satisfies
 _GATES = {
     "DELIMITER_INJECTION": r"[-=#*~_`<>|]{3}",
-    "JAILBREAK_DAN": r"(?i)dan(?![0-9a-z_])",
+    "JAILBREAK_DAN": r"(?i)dan(?<![0-9a-z_]dan)(?![0-9a-z_])",
     # "://" or a dot inside a name
     "DATA_EXFILTRATION": r"[.:](?:(?<=:)//|(?<=\.)[a-zA-Z0-9-])",
 }
 # literals that stand in for the gate pattern
 _GATE_WORDS = {"JAILBREAK_DAN": _MODES, "DATA_EXFILTRATION": ("curl", "wget", "exfiltrate")}
 
+# literals that every match contains as well, too many or too seldom asked for to be looked for in every text
+_LATE = {
+    "PROMPT_LEAKAGE_REQUEST": (
+        ("reveal", "repeat", "print", "show", "display", "output", "give me", "tell me", "what are", "what were"),),
+    "NESTED_INSTRUCTION": (
+        ("say", "read", "state", "contain", "tell"),
+        ("document", "text", "message", "note", "email", "content", "file", "comment", "review", "data", "paragraph")),
+    "DATA_EXFILTRATION": (
+        ("send", "post", "upload", "exfiltrate", "transmit", "forward", "leak", "deliver", "email", "curl", "wget", "fetch"),),
+    "AUTHORITY_CLAIM": (("as your ", "i'm your ", "i am your ", "override", "say", "said", "told", "instruct", "require", "demand"),),
+}
+
 
 def _fixed_signature(id: str, layer: str, pattern: str, fold: bool) -> Signature:
     return Signature(id, layer, regex.tight(regex.java(pattern, fold)),
-                     _NEEDS.get(id, ()), _GATES.get(id), _GATE_WORDS.get(id, ()))
+                     _NEEDS.get(id, ()), _GATES.get(id), _GATE_WORDS.get(id, ()), _LATE.get(id, ()))
 
 
 BASE64 = Signature(fixed.BASE64_ID, "structural", fixed.BASE64_RUN)
@@ -120,12 +134,13 @@ def _any_of(tests: Iterable[str]) -> str:
     return f"({' OR '.join(tests)})"
 
 
-def _flag(sig: Signature, text: str, has: Mapping[str, str]) -> str:
+def _flag(sig: Signature, text: str, has: Mapping[str, str], lower: str) -> str:
     if sig is BASE64:
         return base64_payload(text)
     tests = [_any_of(has[w] for w in group) for group in sig.needs]
     if sig.gate:
         tests.append(_any_of([*(has[w] for w in sig.gate_words), f"{text} RLIKE {sql_string(sig.gate)}"]))
+    tests += [_any_of(has.get(w, f"contains({lower}, {sql_string(w)})") for w in group) for group in sig.late]
     # bounded distances count UTF-16 units
     body = utf16_spread_sql(text) if "{0," in sig.pattern else text
     return " AND ".join([*tests, f"{body} RLIKE {sql_string(sig.pattern)}"])
@@ -141,11 +156,11 @@ def _flagged(df: DataFrame, text_col: str, sigs: Sequence[Signature],
         text = "__probe"
     words = _literals(sigs)
     has = {w: f"__has_{i}" for i, w in enumerate(words)}
-    if words:
+    if words or any(s.late for s in sigs):
         df = df.selectExpr("*", f"lower({text}) AS __lower")
-        df = df.selectExpr(*keep, *({text} - set(keep)),
+        df = df.selectExpr(*keep, *({text} - set(keep)), *(["__lower"] if any(s.late for s in sigs) else []),
                            *[f"contains(__lower, {sql_string(w)}) AS {has[w]}" for w in words])
-    return df, {s.id: f"coalesce({_flag(s, text, has)}, false)" for s in sigs}
+    return df, {s.id: f"coalesce({_flag(s, text, has, '__lower')}, false)" for s in sigs}
 
 
 def signature_flags(df: DataFrame, text_col: str = "text", sigs: Sequence[Signature] = SIGNATURES,
@@ -204,7 +219,7 @@ def signature_stats(df: DataFrame, text_col: str = "text",
 def signatures_expression(text: str, sigs: Sequence[Signature] = SIGNATURES) -> str:
     """The hit list as one SQL expression, for callers that have no DataFrame stages."""
     has = {w: f"contains(lower({text}), {sql_string(w)})" for w in _literals(sigs)}
-    listed = ", ".join(f"if(coalesce({_flag(s, text, has)}, false), {sql_string(s.id)}, NULL)" for s in sigs)
+    listed = ", ".join(f"if(coalesce({_flag(s, text, has, f'lower({text})')}, false), {sql_string(s.id)}, NULL)" for s in sigs)
     return f"array_compact(array({listed}))"
 
 

@@ -309,3 +309,22 @@ def test_unchecked_candidates_run_patterns_behind_gates_only(spark):
     got, want = (sorted(map(str, personal_data.candidates(df, "text", t).select("id", "candidates").collect())) for t in (types, bare))
     assert got == want
     assert all(t.gate or t.digit_tail and t.tail_always for t in types)
+
+
+def test_late_literals_and_first_letters_hide_no_match(spark):
+    """Signatures and data types without any gate find the same, on texts of the words that their patterns are made of."""
+    words = ("Reveal tell me what are the your initial system prompt rules message says you: ignore new instructions as your admin override"
+             " I'm your owner OpenAI told anthropic\tdemands post fetch email to http://a.io www.ab.cd x.dev curl endpoint DAN andan dan_ Dan. -dan"
+             " 4111111111111111 +1 (020) 7946 0958 12345678Z x1234567l AB1234567 1985-13-01 10.0.0.1 943 476 5919 123-45-6789 K").split(" ")
+    rnd = random.Random(11)
+    texts = inputs.PAYLOADS + tuple("".join(rnd.choice(words) + rnd.choice([" ", " ", " ", "", "\n"]) for _ in range(9)) for _ in range(600))
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    bare_sigs = [replace(s, needs=(), gate=None, gate_words=(), late=()) if s is not integrity.BASE64 else s for s in integrity.SIGNATURES]
+    got, want = ({r.id: r.signatures for r in integrity.signatures(df, "text", sigs).collect()} for sigs in (integrity.SIGNATURES, bare_sigs))
+    assert got == want and len({s for hits in got.values() for s in hits}) > 12
+    types = personal_data.data_types(YEAR)
+    bare = [replace(t, pattern=regex.tight(regex.java(p, f)) if t.type not in ("EMAIL",) else t.pattern, gate=None, digit_tail=None)
+            for t, (_, p, f) in zip(types, fixed.PERSONAL_DATA)]
+    found, plain = ({r.id: r.c for r in personal_data.candidates(df, "text", ts, "c").collect()} for ts in (types, bare))
+    assert found == plain
+    assert all(s.late for s in integrity.SIGNATURES if s.id in ("PROMPT_LEAKAGE_REQUEST", "NESTED_INSTRUCTION", "DATA_EXFILTRATION"))
