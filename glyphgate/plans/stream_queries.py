@@ -15,8 +15,11 @@ from glyphgate.streaming import jobs, rates
 
 
 def _table_stream(spark, sf_dir: str, name: str) -> DataFrame:
-    """A given table as a stream, be it one file or a folder of files."""
-    return jobs.read_parquet_stream(spark, f"{sf_dir}/{name}.parquet", table(spark, sf_dir, name).schema, "*")
+    """A given table as a stream, be it one file or a folder of files.
+
+    Spark takes a single file as the source of a stream only where the path is a pattern, here one that matches the table's name.
+    """
+    return jobs.read_parquet_stream(spark, f"{sf_dir}/{name}.parque[t]", table(spark, sf_dir, name).schema, "*")
 
 
 def stream(spark, sf_dir: str, name: str) -> DataFrame:

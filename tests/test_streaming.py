@@ -85,3 +85,8 @@ def test_tables_in_several_files_stream_whole(spark, tmp_path, name, twin):
     if twin:
         assert sorted(map(str, got.collect())) == sorted(map(str, QUERIES[twin](spark, str(tmp_path)).select(*got.columns).collect()))
     assert sorted(r.sha256 for r in got.collect()) == sorted(r.sha256 for r in QUERIES["rep_sha"](spark, str(tmp_path)).collect())
+
+
+def test_tables_in_one_file_stream_too(spark):
+    got, want = (QUERIES[name](spark, SF).select("doc_id", "sha256").collect() for name in ("str_scan", "rep_sha"))
+    assert sorted(got) == sorted(want)
