@@ -134,6 +134,53 @@ def test_lm_probabilities_sum_to_one_and_empty_training(spark):
         ngram_lm.score(df.withColumn("score", F.lit(1)), model)
 
 
+def test_lm_entries_are_small_and_exact_and_are_merged_in_rounds(tmp_path, monkeypatch):
+    rng = np.random.default_rng(3)
+    key = np.unique(rng.integers(0, 1 << 63, 40_000, dtype=np.uint64) * np.uint64(2))
+    values = np.repeat(np.array([[1.0], [1], [1], [1], [0], [0]]), len(key), axis=1)
+    some = rng.random(len(key)) < 0.2
+    values[:, some] = 1 / rng.integers(1, 9, (6, int(some.sum())))
+    blob = ngram_lm._pack(key, values)
+    again = ngram_lm._unpack(blob, 6)
+    assert (again[0] == key).all() and (again[1] == values).all()
+    values[:, some] = 1.0
+    blob = ngram_lm._pack(key, values)
+    assert len(blob) < 7 * len(key)
+    rare = rng.random(len(key)) < 0.02
+    values[:, rare] = rng.integers(0, 1 << 34, (6, int(rare.sum())))
+    ngram_lm._write(f"{tmp_path}/0", key, values)
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*") if f.is_file()) < 11 * len(key)    # six bytes of counts each took 14
+    table = ngram_lm.Table(str(tmp_path), 1, 6)
+    assert (table.get(key) == values).all() and not table.get(key + np.uint64(1)).any()
+
+    monkeypatch.setattr(ngram_lm, "MERGED", 50, raising=False)
+    packed, want = [], collections.Counter()
+    for _ in range(40):
+        k = np.unique(rng.integers(0, 300, 60).astype(np.uint64))
+        packed.append(ngram_lm._pack(k, np.full((1, len(k)), 2.0)))
+        want.update({x: 2 for x in k.tolist()})
+    batches = [pa.record_batch([pa.array([0], pa.int32()), pa.array([b], pa.binary())], ["part", "blob"]) for b in packed]
+    list(ngram_lm._merger(f"{tmp_path}/merged", 1, 1)(iter(batches)))
+    table = ngram_lm.Table(f"{tmp_path}/merged", 1, 1)
+    assert table.get(np.arange(300, dtype=np.uint64))[0].tolist() == [2 * want[x] / 2 for x in range(300)]
+
+
+def test_lm_training_leaves_no_shuffle_files_and_restores_the_setting(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    shown = []
+    real = ngram_lm._merger
+
+    def noted(*a):
+        shown.append(spark.conf.get(name, "false"))
+        return real(*a)
+
+    df = spark.createDataFrame([("a b a c",), ("b b a",)], "text string")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(ngram_lm, "_merger", noted)
+        ngram_lm.train(df)
+    assert shown == ["true"] * 3 and spark.conf.get(name, "false") == "false"
+
+
 # --- toxicity ------------------------------------------------------------------------
 
 def test_toxicity_on_held_out_rows_and_misspellings(spark):
