@@ -15,5 +15,7 @@ def op11_token_files(spark, sf_dir):
     path = f"{folder.path}/files"
     token_files.write(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
     rows = token_files.read(spark, path, docs.schema["doc_id"].dataType)
-    return token_files.with_start(token_files.digests(rows), token_files.manifest(rows)).select(
+    with token_files.small_batches(spark):
+        found = folder.kept(token_files.digests(rows))
+    return token_files.with_start(found, token_files.manifest(rows)).select(
         F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")

@@ -121,6 +121,31 @@ def test_encoded_rows(spark):
     assert all(r.n_tokens == len(r.ids) for r in got)
 
 
+def test_batches_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "BATCH_BYTES", 5000, raising=False)
+    batch = pa.record_batch([pa.array(range(40), pa.int64()), pa.array(["a word or two, " * 100] * 40)], ["id", "text"])
+    got = list(token_files._encoded(iter([batch]), VOCABULARY, 0))
+    assert [x for b in got for x in b.column("id").to_pylist()] == list(range(40)) and max(b.num_rows for b in got) <= 4
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    with token_files.small_batches(spark):
+        assert spark.conf.get(name) == "5000"
+        sizes = spark.range(0, 40, 1, 1).select(F.array_repeat(F.col("id"), 200)).mapInArrow(
+            lambda bs: (pa.record_batch([pa.array([b.num_rows])], ["n"]) for b in bs), "n long").collect()
+    assert max(r.n for r in sizes) <= 5 and spark.conf.get(name, None) is None
+
+
+def test_pieces_end_before_punctuation_only_where_the_tokenizer_cuts():
+    model = Tokenizer.from_file(VOCABULARY)
+    coder = token_files._Coder(VOCABULARY)
+    texts = ["So, a dog.\nA cat; it's: 'tis! Don't?! x.y a.b.c 1,2.3 e,f ,g .h", "\u00e9, \u00e9t\u00e9. z\u2028, q\u00a0. \u1e9e: \u3000,", ",", " ", "", "a", "a, ",
+             " lead", "tail ", "a  b", "a\t b", "<|endoftext|>,a<|endoftext|> b.<|endoftext|>", "\u65e5\u672c \u8a9e, \U0001f642 ok."]
+    want = [model.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):      # learned, then looked up
+        assert [np.frombuffer(x, "<i4").tolist() for x in coder.ids(texts)] == want
+    assert {chr(c) for c in np.flatnonzero(coder.ends)} == set(",.;:!?")
+    assert sum(x[1:].isalpha() for x in coder.known) > sum("," in x for x in coder.known)
+
+
 def test_token_files_of_edge_cases(spark):
     folder = Folder(spark)
     token_files.write(edges(spark), f"{folder.path}/files", VOCABULARY, text_per_file=9)
