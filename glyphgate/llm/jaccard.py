@@ -39,6 +39,8 @@ SAMPLE_DOCUMENTS, COMMON_FROM = 2000, 3           # n-grams that so many documen
 COLLISION_WEIGHT, COLLISION_RATE = 1000.0, 0.3   # cost of sharing a key by chance, per n-gram of a segment
 BLOCK = 2048                                     # sets of a cluster that a task compares with as many others
 COLUMNS = 4096                                   # n-grams that are counted at a time
+SLICE = 1 << 20                                  # bytes of text whose words are held at a time
+KEYS = 1 << 17                                   # keys of a range that are sorted at a time
 _U = np.uint64
 
 
@@ -102,6 +104,14 @@ def sets_of(texts: pa.Array, n: int) -> Sets:
     return Sets(rows[new], held[new], np.bincount(rows[new], minlength=len(texts)))
 
 
+def _sets_in_slices(batch: pa.RecordBatch, column: str, n: int) -> Sets:
+    """:func:`sets_of` a column, a slice of ``SLICE`` bytes at a time, which bounds the memory for words."""
+    made = [sets_of(part.column(column), n) for part in W.chunks(batch, column, SLICE)]
+    before = np.cumsum([0, *(len(s.counts) for s in made)])
+    return Sets(np.concatenate([s.rows + k for s, k in zip(made, before.tolist())]), np.concatenate([s.items for s in made]),
+                np.concatenate([s.counts for s in made]))
+
+
 def fingerprints(s: Sets) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes of each set."""
     out = []
@@ -181,7 +191,7 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     end = len(blob) - 8 * n
     gaps = pa.decompress(blob[8:end], 8 * n, "zstd", asbytes=True)
     planes = np.frombuffer(gaps, np.uint8).reshape(8, n).T
-    return np.cumsum(np.ascontiguousarray(planes).view(_U).ravel(), dtype=_U), np.frombuffer(blob, _U, n, end)
+    return np.cumsum(np.ascontiguousarray(planes).view(_U).ravel(), dtype=_U), np.frombuffer(blob, _U, n, end).copy()
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
@@ -225,7 +235,7 @@ def _packed_keys(docs: DataFrame, text_col: str, n: int, percent: int, parts: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in W.chunks(batch, "__text"):
-                s = sets_of(chunk.column("__text"), n)
+                s = _sets_in_slices(chunk, "__text", n)
                 one, _ = fingerprints(s)
                 firsts = np.sort(np.unique(one, return_index=True)[1])
                 keep = np.zeros(len(one), bool)
@@ -256,13 +266,16 @@ def _packed_keys(docs: DataFrame, text_col: str, n: int, percent: int, parts: in
 def _spanned(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Connect nodes with a common key (rows sorted by key): first row of each key, the smallest node its nodes reach, and edges (root, node).
 
-    One edge per node that is not a root, however many keys it shares.
+    One edge per node that is not a root, however many keys it shares.  Only rows whose key another row has, too, cost work memory.
     """
     first = np.ones(len(key), bool)
     first[1:] = key[1:] != key[:-1]
     begin = np.flatnonzero(first)
-    names, at = np.unique(node, return_inverse=True)
-    label, centre = np.arange(len(names)), at[begin][np.cumsum(first) - 1]
+    times = np.diff(begin, append=len(key))
+    several = times > 1
+    names, at = np.unique(node[np.repeat(several, times)], return_inverse=True)
+    times = times[several]
+    label, centre = np.arange(len(names)), np.repeat(at[np.cumsum(times) - times], times)
     while len(at):
         least = np.minimum(label[centre], label[at])
         before = label.copy()
@@ -272,7 +285,32 @@ def _spanned(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         if (label == before).all():
             break
     other = np.flatnonzero(label != np.arange(len(names)))
-    return begin, names[label[at[begin]]], np.stack([names[label[other]], names[other]], 1)
+    root = node[begin]
+    joined = np.flatnonzero(_among(root, names))
+    root[joined] = names[label[np.searchsorted(names, root[joined])]]
+    return begin, root, np.stack([names[label[other]], names[other]], 1)
+
+
+def _connected(heads: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Edges (root, node) that connect the nodes with a common key, from lists of ascending keys and their nodes.
+
+    About ``KEYS`` keys are sorted at a time; the edges of all stretches are connected once more, so that they are those of a single sort.
+    """
+    heads = [h for h in heads if len(h[0])]
+    if not heads:
+        return np.zeros((0, 2), _U)
+    low, high = min(int(k[0]) for k, _ in heads), max(int(k[-1]) for k, _ in heads)
+    steps = -(-sum(len(k) for k, _ in heads) // KEYS)
+    limits = np.array([low + (high - low) * s // steps for s in range(1, steps)], _U)
+    cuts = [[0, *np.searchsorted(k, limits).tolist(), len(k)] for k, _ in heads]
+
+    def spanned(lists: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        key, node = (np.concatenate(x) for x in zip(*lists, strict=True))
+        order = np.argsort(key)
+        return _spanned(key[order], node[order])[2]
+
+    found = [spanned([(k[c[s]:c[s + 1]], v[c[s]:c[s + 1]]) for (k, v), c in zip(heads, cuts, strict=True)]) for s in range(steps)]
+    return found[0] if steps == 1 else spanned([(e[:, 0], e[:, side]) for e in found for side in (0, 1)])
 
 
 def _meet(packed: DataFrame, parts: int) -> DataFrame:
@@ -287,13 +325,10 @@ def _meet(packed: DataFrame, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads = []
         for batch in batches:
-            for blob, more in zip(batch.column("heads").to_pylist(), batch.column("met").to_pylist(), strict=True):
-                heads.append(_unpack(blob))
-                yield edges(np.stack(_unpack(more), 1))
-        if heads:
-            key, node = (np.concatenate(x) for x in zip(*heads, strict=True))
-            order = np.lexsort((node, key))
-            yield edges(_spanned(key[order], node[order])[2])
+            for blob, more in zip(batch.column("heads"), batch.column("met"), strict=True):
+                heads.append(_unpack(blob.as_py()))
+                yield edges(np.stack(_unpack(more.as_py()), 1))
+        yield edges(_connected(heads))
 
     return packed.repartition(parts, "part").select("heads", "met").mapInArrow(run, "a long, b long").distinct()
 

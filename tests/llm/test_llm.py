@@ -5,6 +5,7 @@ import glob
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import duckdb
@@ -304,6 +305,35 @@ def test_jaccard_keys_meet_for_every_link():
             assert set(key[owner == 0].tolist()) & set(key[owner == 1].tolist())
 
 
+def test_keys_of_one_set_cost_no_memory_and_stretches_connect_alike(monkeypatch):
+    rng = np.random.default_rng(8)
+    key, node = np.sort(rng.choice(1 << 40, 200_000, replace=False)).astype(np.uint64), rng.integers(0, 1 << 62, 200_000).astype(np.uint64)
+    node[:4] = [7, 9, 5, 9]
+    key[:2] = key[0]
+    key[2:4] = key[2]
+    tracemalloc.start()
+    begin, root, pairs = jaccard._spanned(key, node)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50 * len(key)      # 81 bytes a row when each took part
+    assert len(begin) == len(key) - 2 and root[:2].tolist() == [5, 5] and (root[2:] == node[4:]).all()
+    assert pairs.tolist() == [[5, 7], [5, 9]]
+    for few in (True, False):        # many equal keys, or few
+        heads = []
+        for n in (0, 50, 1, 90, 70):
+            keys = rng.integers(0, 60, n).astype(np.uint64) << np.uint64(58) if few else rng.integers(0, 1 << 63, n).astype(np.uint64) // np.uint64(1 << 56)
+            heads.append((np.sort(keys), rng.integers(0, 120, n).astype(np.uint64)))
+        group = {}
+        for x, y in {(int(v[a]), int(w[b])) for k, v in heads for j, w in heads for a in range(len(k)) for b in range(len(j)) if k[a] == j[b]}:
+            one = group.get(x, {x}) | group.get(y, {y})
+            group.update(dict.fromkeys(one, one))
+        want = sorted([min(g), x] for x, g in group.items() if x != min(g))
+        for size in (1, 7, 1000):
+            monkeypatch.setattr(jaccard, "KEYS", size)
+            assert sorted(jaccard._connected(heads).tolist()) == want
+    assert jaccard._connected([]).shape == jaccard._connected(heads[:1]).shape == (0, 2)
+
+
 def test_jaccard_edges(spark):
     got = {(r["id"], r["n"], r["component"]) for r in jaccard.grouped(edges(spark)).collect()}
     assert (1, 0, 1) in got and (2, 0, 2) in got and (3, 0, 3) in got and (4, 1, 4) in got and (5, 1, 4) in got
