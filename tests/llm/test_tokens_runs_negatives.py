@@ -134,6 +134,32 @@ def test_batches_are_bounded_by_bytes(spark, monkeypatch):
     assert max(r.n for r in sizes) <= 5 and spark.conf.get(name, None) is None
 
 
+def test_a_different_piece_is_looked_up_once_a_group():
+    class Counted(dict):
+        lookups = 0
+
+        def __contains__(self, piece):
+            Counted.lookups += 1
+            return super().__contains__(piece)
+
+        def __getitem__(self, piece):
+            Counted.lookups += 1
+            return super().__getitem__(piece)
+
+        def get(self, piece, default=None):
+            Counted.lookups += 1
+            return super().get(piece, default)
+
+    coder = token_files._Coder(VOCABULARY)
+    coder.known = Counted()
+    text = "some words, some words and \x00 others again. " * 20
+    want = Tokenizer.from_file(VOCABULARY).encode(text, add_special_tokens=False).ids
+    for _ in range(2):
+        Counted.lookups = 0
+        assert np.frombuffer(coder.ids([text])[0], "<i4").tolist() == want
+    assert 0 < Counted.lookups <= len(coder.known)
+
+
 def test_pieces_end_before_punctuation_only_where_the_tokenizer_cuts():
     model = Tokenizer.from_file(VOCABULARY)
     coder = token_files._Coder(VOCABULARY)
