@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 from glyphgate.llm import negatives, runs, token_files
 from glyphgate.llm.catalog import QUERIES
@@ -172,6 +172,55 @@ def test_pieces_end_before_punctuation_only_where_the_tokenizer_cuts():
     assert sum(x[1:].isalpha() for x in coder.known) > sum("," in x for x in coder.known)
 
 
+def test_pieces_seen_again_are_remembered(monkeypatch):
+    coder, plain, encoded = token_files._Coder(VOCABULARY), token_files._Coder._plain, []
+    monkeypatch.setattr(token_files, "KNOWN", 400)
+    monkeypatch.setattr(token_files._Coder, "_plain", lambda self, texts: encoded.extend(texts) or plain(self, texts))
+    model, often = Tokenizer.from_file(VOCABULARY), " ".join(f"common{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(100))
+    for k in range(20):
+        text = f"go {often} " + " ".join(f"rare{chr(97 + k)}{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(150))
+        assert np.frombuffer(coder.ids([text])[0], "<i4").tolist() == model.encode(text, add_special_tokens=False).ids
+        assert len(coder.known) == len(coder.seen) == len(coder.at) - 1 <= 651 and coder.at[-1] == len(coder.flat)
+    assert sum(t.count(" common") for t in encoded) == 100 and sum(t.count(" rare") for t in encoded) == 3000
+
+
+def test_pieces_whose_ends_are_not_found_are_encoded_alone(monkeypatch):
+    monkeypatch.setattr(token_files, "JOINED", 40)
+    model = Tokenizer.from_file(VOCABULARY)
+    words_ = [f"{a}{b}{c}" for a in ("cat", "dog", "Z\u00fcrich", "\u65e5\u672c") for b in ("", "s", "ness", "q") for c in ("", "ly", "zx")]
+    texts = ["go " + " ".join(words_), "\n".join(reversed(words_)), "", "go"]
+    want = [model.encode(t, add_special_tokens=False).ids for t in texts]
+    for sizes in (lambda n: n, lambda n: n + (np.arange(len(n)) % 7 == 0), lambda n: n - (np.arange(len(n)) % 5 == 0), lambda n: 0 * n + 1, lambda n: n + 90):
+        coder = token_files._Coder(VOCABULARY)
+        coder.bytes = sizes(coder.bytes)
+        for _ in range(2):
+            assert [np.frombuffer(x, "<i4").tolist() for x in coder.ids(texts)] == want
+
+
+def test_pieces_begin_at_line_ends_only_where_the_tokenizer_cuts(tmp_path):
+    texts = ["One.\nTwo\nthree\n\nfour \n five\r\nsix;\n7\n8\n", "\n", "\na", "a\n", "a\n.\n\u00e9\n\u65e5\n\u2028\nx"]
+    for pattern in (None, r"[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"):
+        model = Tokenizer.from_file(VOCABULARY)
+        if pattern:
+            model.pre_tokenizer = pre_tokenizers.Sequence([
+                pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        path = str(tmp_path / f"{pattern is None}.json")
+        model.save(path)
+        coder = token_files._Coder(path)
+        assert np.flatnonzero(coder.gaps).tolist() == ([32] if pattern else [10, 32])
+        want = [model.encode(t, add_special_tokens=False).ids for t in texts]
+        for _ in range(2):
+            assert [np.frombuffer(x, "<i4").tolist() for x in coder.ids(texts)] == want
+
+
+def test_texts_longer_than_a_segment_between_others():
+    texts = ["short one", None, "many words, " * 40_000 + "\n" + "x" * 300_000, "", "last"]
+    batch = pa.record_batch([pa.array(range(5), pa.int64()), pa.array(texts)], ["id", "text"])
+    got = [tuple(r.values()) for b in token_files._encoded(iter([batch]), VOCABULARY, 0) for r in b.to_pylist()]
+    want = encoded_by_hand(enumerate(texts))
+    assert got == [(i, len(ids), ids) for i, ids in want]
+
+
 def test_token_files_of_edge_cases(spark):
     folder = Folder(spark)
     token_files.write(edges(spark), f"{folder.path}/files", VOCABULARY, text_per_file=9)
