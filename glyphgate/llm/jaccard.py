@@ -7,7 +7,8 @@ the hash of a segment's content is a key under which they meet.  Three refinemen
 
 * A segment may tolerate one error and then counts twice: its keys are its content and its content
   less any one n-gram (one-deletion neighbourhood).  :func:`plan` chooses by cost, per band, how
-  many segments do, from the number of keys and the chance that unrelated sets share one.
+  many segments do, from the number of keys and the chance that unrelated sets share one; contents
+  vary in size as Poisson numbers do, and it is the small ones that unrelated sets share.
 * There are ``spare`` more segments than needed, so linked sets agree on ``spare`` + 1 of them.
   Each set leaves out its ``spare`` least telling ones (fewest rare n-grams, fewest n-grams, then by hash and
   position).  Both order equal contents alike, so the most telling agreed one is left out by neither.  Which
@@ -18,11 +19,18 @@ Equal sets are collapsed first.  A group that shares a key isn't expanded into p
 *cluster*, and each cluster is compared in blocks of ``BLOCK`` sets against blocks, on the n-grams themselves, by
 counting common n-grams in a matrix product.  Blocks hold sets of like size, so that only neighbours in
 size need comparing.  A task holds two blocks at most and returns links only.
+
+Chance keys chain unrelated sets, so a cluster of more than one block is split before its sets are copied to
+its pairs of blocks.  A *sketch* of a set has a bit or two per n-gram: the parity of the number of n-grams that
+fall on it.  Two sketches differ in no more bits than their sets do in n-grams, so sets whose sketches differ in
+more than H bits don't link, and what the other pairs connect are clusters of their own (:func:`_split`).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from math import exp
 from typing import NamedTuple
 
 import numpy as np
@@ -30,14 +38,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from glyphgate.llm import words as W
-from glyphgate.llm.work import Folder, components
+from glyphgate.llm.ngram_lm import DROP
+from glyphgate.llm.work import Folder, components, setting
 from glyphgate.operators.joins import lookup_join
 
 NGRAM, PERCENT = 5, 80
 BAND_RATIO = 1.25
 SAMPLE_DOCUMENTS, COMMON_FROM = 2000, 3           # n-grams that so many documents of the sample have are common
 COLLISION_WEIGHT, COLLISION_RATE = 1000.0, 0.3   # cost of sharing a key by chance, per n-gram of a segment
+RARE_RATE = 0.1                                  # the same where common n-grams are left out first
 BLOCK = 2048                                     # sets of a cluster that a task compares with as many others
+SKETCH_BLOCK = 8192                              # the same for sketches
+SKETCH_ROWS = 512                                # sketches of a block that are compared at a time
 COLUMNS = 4096                                   # n-grams that are counted at a time
 SLICE = 1 << 20                                  # bytes of text whose words are held at a time
 KEYS = 1 << 17                                   # keys of a range that are sorted at a time
@@ -56,16 +68,29 @@ def bound(percent: int, total: int) -> int:
     return (100 - percent) * total // (100 + percent)
 
 
+def chance(mean: float, left_out: float) -> float:
+    """Chance that unrelated sets share a segment of ``mean`` n-grams (Poisson) and it isn't among the smallest share ``left_out``."""
+    out, before, p, size = 0.0, 0.0, exp(-mean), 0
+    while size <= mean or p > 1e-9:
+        out += min(p, max(0.0, before + p - left_out)) * RARE_RATE ** size
+        before, size = before + p, size + 1
+        p *= mean / size
+    return out
+
+
+@cache
 def plan(top: int, percent: int) -> Plan:
     """Cheapest allocation of the error budget of one band over one-deletion and exact segments."""
     need = bound(percent, 2 * top) + 1
     best = None
     for deletion in range(min(need // 2, 8) + 1):
         exact = need - 2 * deletion
-        spare = -(-exact // 4) if exact else 0
+        spare = -(-exact // 2)
         size = top / max(1, deletion + exact + spare)
-        cost = (exact * (1 + COLLISION_WEIGHT * COLLISION_RATE ** size)
-                + deletion * (size + 1) * (1 + COLLISION_WEIGHT * COLLISION_RATE ** (size - 1)))
+        shared = deletion * (size + 1) * exp(-size * (1 - COLLISION_RATE))
+        if exact:
+            shared += (exact + spare) * chance(size, spare / (exact + spare))
+        cost = exact + deletion * (size + 1) + COLLISION_WEIGHT * shared
         if best is None or cost < best[0]:
             best = (cost, Plan(top, deletion, exact + spare, spare))
     return best[1]
@@ -406,16 +431,16 @@ def _linked(tasks: DataFrame, percent: int, spanning: bool) -> DataFrame:
     return tasks.groupBy("cluster", "low", "high").applyInArrow(run, "a long, b long")
 
 
-def _tasks(wanted: DataFrame, percent: int) -> DataFrame:
-    """``node``, its ``block``, and each pair of blocks (``cluster``, ``low``, ``high``) that it takes part in.
+def _tasks(wanted: DataFrame, percent: int, size: int) -> DataFrame:
+    """``node``, its ``block``, and each pair of blocks of ``size`` (``cluster``, ``low``, ``high``) that it takes part in.
 
-    Clusters of more than one block are cut by size first: linked sets lie in one band of sizes or in neighbours.
+    Clusters of more than one block are cut by size of the sets first: linked sets lie in one band of sizes or in neighbours.
     """
     totals = wanted.groupBy("cluster").agg(F.count("*").alias("total"))
     ratio = 1.01 * 100 / percent
-    band = F.when(F.col("total") <= BLOCK, F.lit(0)).otherwise(F.floor(F.log("n") / F.log(F.lit(ratio)))).cast("long")
+    band = F.when(F.col("total") <= size, F.lit(0)).otherwise(F.floor(F.log("n") / F.log(F.lit(ratio)))).cast("long")
     placed = lookup_join(wanted.select("node", "cluster", "n"), totals, "cluster", "inner").select("node", "cluster", band.alias("band"))
-    blocks = placed.groupBy("cluster", "band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    blocks = placed.groupBy("cluster", "band").agg(F.ceil(F.count("*") / size).alias("blocks"))
     around = blocks.select("cluster", "band", "blocks")
     for name, step in (("below", 1), ("above", -1)):
         other = blocks.select("cluster", (F.col("band") + step).alias("band"), F.col("blocks").alias(name))
@@ -430,6 +455,97 @@ def _tasks(wanted: DataFrame, percent: int) -> DataFrame:
             .select("node", "cluster", "block", "pair.low", "pair.high"))
 
 
+def sketches_of(s: Sets) -> list[bytes]:
+    """Parities of each set: bit k, of a power of two of bits (64, or as many as n-grams and up to twice as many), tells
+    whether an odd number of its n-grams fall on k.  A longer sketch folds into a shorter one."""
+    bits = 1 << np.maximum(6, np.ceil(np.log2(np.maximum(s.counts, 1))).astype(np.int64))
+    start = np.cumsum(bits) - bits
+    mixed = W.mix(s.items ^ _U(0x2545F4914F6CDD1D))
+    place = start[s.rows] + (mixed % bits[s.rows].astype(_U)).astype(np.int64)
+    odd = np.bincount(place, minlength=int(bits.sum())) % 2 == 1
+    packed = np.packbits(odd, bitorder="little").tobytes()
+    return [packed[k // 8:(k + n) // 8] for k, n in zip(start.tolist(), bits.tolist(), strict=True)]
+
+
+def _parities(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of 64-bit words, folded to the shortest one's bits."""
+    short = min(map(len, sketches)) // 8
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, _U).reshape(-1, short), axis=0) for x in sketches])
+
+
+def _apart(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """In how many bits each left and each right sketch differ."""
+    out = np.zeros((len(left), len(right)), np.int32)
+    for a, b in zip(left.T, right.T, strict=True):
+        out += np.bitwise_count(a[:, None] ^ b[None, :])
+    return out
+
+
+def _may_link(tasks: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a``, ``b`` that connect, in each pair of blocks, all sets whose sketches leave a link possible."""
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        node, block, size = (table[c].to_numpy() for c in ("node", "block", "n"))
+        low, high = table["low"][0].as_py(), table["high"][0].as_py()
+        parity = _parities(table["sketch"].to_pylist())
+        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        group, found = np.arange(len(node)), [np.zeros((0, 2), np.int64)]
+        first, rows = 0, 16       # few rows connect most of a block whose sets are alike: the others' pairs are known then
+        while first < len(left):
+            i = left[first:first + rows]
+            total = size[i][:, None] + size[right][None, :]
+            near = _apart(parity[i], parity[right]) <= (100 - percent) * total // (100 + percent)
+            at = np.argwhere(near & (group[i][:, None] != group[right][None, :]))
+            pairs = np.stack([i[at[:, 0]], right[at[:, 1]]], 1)
+            pairs = pairs[_forest(group[pairs], len(node))]
+            if len(pairs):
+                found.append(pairs)
+                group = _merged(group, pairs)
+            first, rows = first + rows, min(2 * rows, SKETCH_ROWS)
+        pairs = np.concatenate(found)
+        return pa.table({"a": node[pairs[:, 0]], "b": node[pairs[:, 1]]})
+
+    return tasks.groupBy("cluster", "low", "high").applyInArrow(run, "a long, b long")
+
+
+def _merged(group: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Groups (each named by its smallest member) after the groups of each pair became one."""
+    name = np.arange(len(group))
+    ends = group[pairs]
+    while True:
+        least = name[ends].min(axis=1)
+        before = name.copy()
+        np.minimum.at(name, ends.ravel(), np.repeat(least, 2))
+        np.minimum.at(name, before[ends].ravel(), np.repeat(least, 2))
+        name = name[name]
+        if (name == before).all():
+            return name[group]
+
+
+def _split(sets: DataFrame, clusters: DataFrame, percent: int, folder: Folder) -> DataFrame:
+    """``node``, ``n``, ``cluster``: clusters of more than one block become those that their sketches connect.
+
+    Sets that may link with none are left out.
+    """
+    totals = folder.kept(clusters.groupBy("cluster").count().where(F.col("count") > BLOCK).select("cluster"))
+    if totals.isEmpty():
+        return clusters
+    large = folder.kept(clusters.join(totals, "cluster"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items = batch.column("items")
+            counts = np.diff(items.offsets.to_numpy())
+            s = Sets(np.repeat(np.arange(len(counts)), counts), items.flatten().to_numpy().view(_U), counts)
+            yield pa.record_batch([batch.column("node"), pa.array(counts, pa.int64()), pa.array(sketches_of(s), pa.binary())], ["node", "n", "sketch"])
+
+    sketches = folder.kept(sets.join(large.select("node"), "node", "left_semi").mapInArrow(run, "node long, n long, sketch binary").distinct())
+    near = folder.kept(_may_link(sketches.join(_tasks(large, percent, SKETCH_BLOCK), "node"), percent).distinct())
+    parts = components(near, folder).withColumnRenamed("component", "cluster")
+    return folder.kept(clusters.join(totals, "cluster", "left_anti").select("node", "n", "cluster").unionByName(
+        parts.join(large.select("node", "n"), "node").select("node", "n", "cluster")))
+
+
 class Join(NamedTuple):
     documents: DataFrame    # id, n, node (64-bit hash of the set): one row per input row
     classes: DataFrame      # node, n, first (smallest id), copies: one row per distinct set
@@ -446,6 +562,11 @@ def self_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     Repeated rows are copies.  A null id keeps its row and counts as a copy, but is nobody's smallest id;
     a set that only rows without id hold isn't compared.
     """
+    with setting(docs.sparkSession, DROP, "true"):      # else the shuffle files of every pass stay until the driver collects its garbage
+        return _self_join(docs, id_col, text_col, n, percent, spanning)
+
+
+def _self_join(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, spanning: bool) -> Join:
     spark = docs.sparkSession
     folder = Folder(spark)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -462,7 +583,8 @@ def self_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     texts = docs.select(F.col(id_col).cast("long").alias("__first"), F.col(text_col).alias("__t"))
     found = lookup_join(texts, wanted.select("node", "__first"), "__first", "inner")
     sets = folder.kept(_stored_sets(found, "__t", n))
-    tasks = sets.join(_tasks(wanted, percent), "node")
+    clusters = _split(sets, wanted.select("node", "n", "cluster"), percent, folder)
+    tasks = sets.join(_tasks(clusters, percent, BLOCK), "node")
     return Join(documents.drop("second"), classes.drop("second"), folder.kept(_linked(tasks, percent, spanning).distinct()))
 
 

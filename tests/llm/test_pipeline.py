@@ -6,6 +6,10 @@ import random
 import re
 
 import corpus_pipeline
+import numpy as np
+
+from glyphgate.llm import jaccard
+from glyphgate.llm.work import Folder
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -120,3 +124,77 @@ def test_run_on_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def random_sets(rng, sizes):
+    items = rng.integers(0, 1 << 62, int(sizes.sum())).astype(np.uint64)
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    return jaccard.Sets(rows, items[np.lexsort((items, rows))], sizes)
+
+
+def test_unrelated_sets_share_hardly_any_key():
+    """Segments that chance leaves without n-grams, or with one that a deletion takes, are no keys that thousands of sets have."""
+    s = random_sets(np.random.default_rng(5), np.random.default_rng(6).integers(60, 125, 4000))
+    key, owner = jaccard.keys_of(s, 80)
+    order = np.lexsort((owner, key))
+    _, _, joined = jaccard._spanned(key[order], owner[order].astype(np.uint64))
+    assert len(joined) < 20
+
+
+def test_sketches_differ_in_no_more_bits_than_their_sets():
+    rng = np.random.default_rng(7)
+    sizes = np.repeat([1, 5, 40, 63, 64, 65, 100, 130, 500], 6)
+    s = random_sets(rng, sizes)
+    whole = [s.items[s.rows == k] for k in range(len(sizes))]
+    changed = []
+    for x in whole:      # near copies of other sizes, whose sketches may be longer
+        out = rng.integers(0, max(1, len(x) // 8) + 1)
+        changed.append(np.sort(np.concatenate([x[out:], rng.integers(0, 1 << 62, len(x) // 10 + 1).astype(np.uint64)])))
+    t = jaccard.Sets(np.repeat(np.arange(len(sizes)), [len(x) for x in changed]), np.concatenate(changed), np.array([len(x) for x in changed]))
+    left, right = jaccard.sketches_of(s), jaccard.sketches_of(t)
+    for k, (a, b) in enumerate(zip(whole, changed, strict=True)):
+        for j in (k, (k + 6) % len(whole)):
+            parity = jaccard._parities([left[k], right[j]])
+            apart = int(jaccard._apart(parity[:1], parity[1:])[0, 0])
+            differ = len(np.setxor1d(a, changed[j]))
+            assert apart <= differ and (j != k or apart % 2 == differ % 2)
+    parity = jaccard._parities([x for x, n in zip(left, sizes, strict=True) if n >= 100])
+    total = np.repeat([100, 130, 500], 6)
+    apart = jaccard._apart(parity[:12], parity[:12]) > (total[:12, None] + total[None, :12]) // 9
+    assert (apart | np.eye(12, dtype=bool)).all()     # unrelated sets of like size don't pass
+
+
+def test_large_clusters_are_split_before_their_sets_are_copied(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 20)
+    monkeypatch.setattr(jaccard, "SKETCH_BLOCK", 16)
+    rng = np.random.default_rng(9)
+    s = random_sets(rng, rng.integers(80, 100, 150))
+    held = {k: s.items[s.rows == k].view(np.int64).tolist() for k in range(150)}
+    for k in range(30):           # k, 200 + k and 300 + k: a chain of near copies
+        held[200 + k] = held[k][4:] + rng.integers(0, 1 << 62, 4).tolist()
+        held[300 + k] = held[200 + k][:-8] + rng.integers(0, 1 << 62, 4).tolist()
+    held[400] = held[149]         # alone in a cluster of one block
+    sets = spark.createDataFrame([(k, v) for k, v in held.items()] + [(0, held[0])], "node long, items array<long>")
+    clusters = spark.createDataFrame([(k, len(v), -7 if k < 400 else -8) for k, v in held.items()], "node long, n long, cluster long")
+    out = jaccard._split(sets, clusters, 80, Folder(spark)).collect()
+    groups = collections.defaultdict(set)
+    for r in out:
+        assert r.n == len(held[r.node])
+        groups[r.cluster].add(r.node)
+    assert sorted(map(sorted, groups.values())) == sorted([*([k, 200 + k, 300 + k] for k in range(30)), [400]])
+    # every set goes to the one task of its cluster
+    assert jaccard._tasks(jaccard._split(sets, clusters, 80, Folder(spark)), 80, jaccard.BLOCK).count() == 91
+
+
+def test_near_duplicates_of_a_chained_cluster(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "SKETCH_BLOCK", 12)
+    rnd = random.Random(11)
+    line = text(rnd, 30)
+    rows = []
+    for k in range(120):          # texts that share a passage, each with a chain of near copies
+        base = line + " " + text(rnd, rnd.randint(10, 60))
+        rows += [(3 * k, base, "en", "s", 1), (3 * k + 1, base + " more", "en", "s", 1), (3 * k + 2, base + " more or less", "en", "s", 1)]
+    out = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOCS).repartition(3), "").collect()]
+    _, firsts, root = first_rows(rows)
+    assert sorted((r[0], root(shingles(r[1])) in {f[1] for f in firsts}) for r in out) == sorted((f[0], True) for f in firsts)
